@@ -176,10 +176,11 @@ def line_table(texts: list[str]) -> dict[str, np.ndarray]:
     point = np.flatnonzero((codes[1:-1] == 46) & (cls[2:] == DIGIT)) + 1 if len(codes) > 2 else np.zeros(0, np.int64)
     points = np.bincount(line_of[point], minlength=lines)
     commas = np.bincount(line_of[comma], minlength=lines)
-    # a letter next to a digit, or a capital after a small letter, in one word
+    # marks of wrongly decoded text; a letter next to one or to a digit, or a capital after a small letter, in one word
     is_letter, is_small = (cls == LOWER) | (cls == UPPER) | (cls == VOWEL), (codes >= 97) & (codes <= 122)
     is_digit, is_capital = cls == DIGIT, (codes >= 65) & (codes <= 90)
-    change = np.flatnonzero(is_letter[:-1] & is_digit[1:] | is_digit[:-1] & is_letter[1:] | is_small[:-1] & is_capital[1:])
+    odd = (codes == 0x20AC) | (codes == 0xA4) | (codes == 0xFFFD) | (codes == 0xBF) & np.concatenate([[False], is_letter[:-1]])
+    change = np.flatnonzero(is_letter[:-1] & is_digit[1:] | is_digit[:-1] & is_letter[1:] | is_small[:-1] & is_capital[1:] | is_letter[:-1] & odd[1:] | odd[:-1] & is_letter[1:])
     changes = np.bincount(line_of[change], minlength=lines)
     doc = np.searchsorted(offsets, starts[seen], side="right") - 1
     return {
@@ -234,7 +235,7 @@ def observations(t: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         "scrambled": cut(t["changes"] / visible, 0.05, 0.15),
         "cells": cut(cells, 1, 2),
         "digits": cut(c[:, DIGIT] / visible, 0.25, 0.6),
-        "vowels": np.where(letters + wide < 4, 3, np.where((wide > letters) | (vowel > 0.25), 0, np.where(vowel > 0.1, 1, 2))),
+        "vowels": np.where(letters + wide < 4, 3, np.where((wide > letters) | (vowel > 0.25), 0, np.where(vowel > 0.16, 1, 2))),
         "japanese": np.where(wide > 0.3 * visible, 1 + (t["jstop"] > 0), 0),
         "repeats": cut(times[back.ravel()], 2, 3),
         "running": running,
