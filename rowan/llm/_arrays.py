@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -94,7 +95,7 @@ def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
 def slices(batch: pa.RecordBatch, text: str, most: int) -> Iterator[pa.RecordBatch]:
     """The batch cut into row ranges of at most about ``most`` bytes of text, one row at least."""
     column = batch.column(batch.schema.get_field_index(text))
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0))
+    sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0))
     total, begin, used = len(sizes), 0, 0
     for i in range(total):
         if i > begin and used + sizes[i] > most:
