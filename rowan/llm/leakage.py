@@ -11,6 +11,7 @@ Windows of which a key agrees are verified exactly by a banded edit distance ove
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,7 +23,6 @@ from pyspark.sql import functions as F
 
 from rowan.llm._arrays import code_points, mix, slices, span_hashes, word_spans
 
-BITMAP_BITS = 22
 SEGMENT = 1 << 18
 BATCH_BYTES = 8 << 20
 CANDIDATES = 1 << 16
@@ -117,6 +117,7 @@ class _Class:
     owner: np.ndarray
     keys: list[tuple[np.ndarray, np.ndarray]]
     bitmap: list[np.ndarray]
+    shift: np.uint32
 
 
 class ItemIndex:
@@ -126,28 +127,37 @@ class ItemIndex:
         self.window, self.short_window = window, short_window
         self.ids = np.asarray(ids, np.int64)
         self.words, self.offsets = word_arrays(texts)
-        self.seed = np.uint64(seed)
+        self.sampled, self.repetitions, self.seed = sampled, repetitions, seed
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "classes"}
+
+    @functools.cached_property
+    def classes(self) -> list[_Class]:
+        """The tables; each Python worker builds them once, only the items' words are sent to it."""
         lengths = np.diff(self.offsets)
         symbols, bits = self.symbols(self.words)
-        self.classes: list[_Class] = []
-        for size, mine in ((window, lengths >= window), (short_window, (lengths >= short_window) & (lengths < window))):
+        out: list[_Class] = []
+        for size, mine in ((self.window, lengths >= self.window), (self.short_window, (lengths >= self.short_window) & (lengths < self.window))):
             if not mine.any():
                 continue
             items = np.flatnonzero(mine)
             starts = np.concatenate([np.arange(self.offsets[i], self.offsets[i + 1] - size + 1) for i in items])
             owner = np.repeat(items, lengths[items] - size + 1)
-            coordinates = walk_coordinates(size, sampled, repetitions, seed)
+            coordinates = walk_coordinates(size, self.sampled, self.repetitions, self.seed)
             tables, bitmaps = [], []
+            shift = np.uint32(32 - min(22, max(12, (16 * len(starts)).bit_length())))
             for k in walk_keys(symbols, bits, starts, size, coordinates):
                 order = np.argsort(k, kind="stable")
                 tables.append((k[order], order))
-                bitmap = np.zeros(1 << BITMAP_BITS, bool)
-                bitmap[k >> np.uint32(32 - BITMAP_BITS)] = True
+                bitmap = np.zeros(1 << (32 - int(shift)), bool)
+                bitmap[k >> shift] = True
                 bitmaps.append(bitmap)
-            self.classes.append(_Class(size, coordinates, starts, owner, tables, bitmaps))
+            out.append(_Class(size, coordinates, starts, owner, tables, bitmaps, shift))
+        return out
 
     def symbols(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return (words >> np.uint64(32)).astype(np.uint32), mix(words ^ mix(np.array([self.seed]))[0])
+        return (words >> np.uint64(32)).astype(np.uint32), mix(words ^ mix(np.array([self.seed], np.uint64))[0])
 
     def matches(self, words: np.ndarray, offsets: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, ...]]:
         """(text, item, word position, distance, equal run) of verified windows; equal run: words in a row shared there."""
@@ -164,7 +174,7 @@ class ItemIndex:
                 keys = walk_keys(symbols[lo:last], bits[lo:last], (starts - lo).astype(np.int32), c.window, c.coordinates)
                 pairs = []
                 for k, (table, order), bitmap in zip(keys, c.keys, c.bitmap):
-                    hit = np.flatnonzero(bitmap[k >> np.uint32(32 - BITMAP_BITS)])
+                    hit = np.flatnonzero(bitmap[k >> c.shift])
                     a, b = np.searchsorted(table, k[hit], "left"), np.searchsorted(table, k[hit], "right")
                     n = b - a
                     which = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
@@ -220,7 +230,7 @@ def leaked_passages(
     recall: float = 0.95,
     hamming: int = 4,
     seed: int = 20260619,
-    block_chars: int = 32_000_000,
+    block_chars: int = 2_000_000,
 ) -> DataFrame:
     """Documents that hold passages of items: one row for each document and item.
 
@@ -255,7 +265,7 @@ def leaked_passages(
         if texts:
             yield ids, texts
 
-    def search(shared, ids_type):
+    def search(shared):
         def run(batches):
             index = shared.value
             lengths = np.diff(index.offsets)
@@ -285,7 +295,7 @@ def leaked_passages(
     for ids, texts in blocks():
         number = {x: n for n, x in enumerate(dict.fromkeys(ids))}
         index = ItemIndex([number[x] for x in ids], texts, window, short_window, sampled, repetitions, seed)
-        found = search(spark.sparkContext.broadcast(index), None)
+        found = search(spark.sparkContext.broadcast(index))
         names = spark.createDataFrame([(n, ids[n], int(k)) for n, k in enumerate(np.diff(index.offsets))], f"item bigint, {item_id} {dict(items.dtypes)[item_id]}, item_words bigint")
         found = found.join(names, "item").drop("item")
         out = found if out is None else out.unionByName(found)
