@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,7 +102,7 @@ class Mixture:
                 for x in mine:
                     sent[mixture, i, x] = net.arc(k, len(known) + sources.index(x), int(p.tokens) * m["sources"][x][1], 0)
             for j, x in enumerate(sources):
-                net.arc(len(known) + j, t, round(m["sources"][x][0] / m["weights"] * m["budget"]), 0)
+                net.arc(len(known) + j, t, math.floor(m["sources"][x][0] / m["weights"] * m["budget"] + 0.5), 0)
             net.run(s, t)
             out |= {k: net.flow(e) for k, e in sent.items() if net.flow(e)}
         return out

@@ -78,12 +78,12 @@ def _mixture(spark: SparkSession, d: str, **options) -> Mixture:
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Sources too small for their share of a mixture."""
-    return p7_plan(spark, d).filter("short").select("mixture_id", "source").distinct()
+    return _mixture(spark, d).plan().filter("short").select("mixture_id", "source").distinct()
 
 
 def p7_plan(spark: SparkSession, d: str) -> DataFrame:
     """Tokens that each source has, should give and is allotted."""
-    return _mixture(spark, d).plan()
+    return _mixture(spark, d).plan().withColumn("wanted_tokens", F.round("wanted_tokens", 6))
 
 
 def p7_selection(spark: SparkSession, d: str) -> DataFrame:

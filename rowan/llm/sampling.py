@@ -179,18 +179,20 @@ def stable_sample(
         .filter("case_id is not null")
         .groupBy("case_id")
         .agg(F.min("first_batch").alias("first_batch"))
-        .withColumn("bucket", F.pmod(F.xxhash64("case_id"), F.lit(buckets)))
+        .withColumn("bucket", F.pmod(F.xxhash64("case_id"), F.lit(buckets).cast("bigint")))
     )
     earliest = records.filter(key(F.col(record_key)).isNotNull()).agg(F.min(F.col(batch).cast("bigint"))).first()[0]
     first = keys.filter(F.col("first_batch") == F.lit(earliest if earliest is not None else (1 << 63) - 1))
     held = first.groupBy("bucket").agg(F.count("*").alias("held"))
-    every = records.sparkSession.range(buckets).withColumnRenamed("id", "bucket").join(held, "bucket", "left").fillna(0, ["held"])
     sizes = plans.select("plan_id", F.coalesce("requested_size", F.lit(0)).alias("size"), F.coalesce("seed", F.lit(0)).alias("seed")).distinct()
     small = collect_small(sizes, "plans", 10_000)
     chosen = records.sparkSession.createDataFrame([tuple(r) for r in small], sizes.schema)
     order = Window.partitionBy("plan_id").orderBy(F.xxhash64("seed", "bucket"), "bucket")
     lists = (
-        every.join(F.broadcast(chosen), F.col("size") > 0)
+        chosen.filter("size > 0")
+        .withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(buckets - 1).cast("bigint"))))
+        .join(held, "bucket", "left")
+        .fillna(0, ["held"])
         .withColumn("position", F.row_number().over(order))
         .withColumn("before", F.sum("held").over(order) - F.col("held"))
         .filter("before < size")
