@@ -52,3 +52,53 @@ def p4_dag_objects(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p4_found, p4_trace_nodes, p4_trace_steps, p4_trace_details, p4_failing_nodes, p4_dag_objects)}
+
+_OBJECTS = """
+WITH j AS (
+  SELECT DISTINCT item_id AS rid, 'logic_dag' AS col, CAST(logic_dag AS JSON) AS v FROM work_items WHERE json_valid(logic_dag)
+  UNION SELECT DISTINCT result_id, 'traces', to_json(traces) FROM execution_results WHERE traces IS NOT NULL
+), e AS (
+  SELECT j.rid, j.col, t.fullkey, t.value FROM j, json_tree(j.v) t WHERE t.type = 'OBJECT' AND t.fullkey LIKE '%]'
+), r AS (
+  SELECT rid, col || replace(replace(substr(fullkey, 2), ']', ''), '[', '.') AS child_path, fullkey, col, value FROM e
+), p AS (
+  SELECT c.rid, c.child_path, c.value, c.col, max_by(p.child_path, length(p.fullkey)) AS parent_path
+  FROM r c LEFT JOIN r p ON p.rid = c.rid AND p.col = c.col AND p.fullkey <> c.fullkey AND starts_with(c.fullkey, p.fullkey)
+  GROUP BY ALL
+)"""
+
+ORACLES = {
+    "p4_found": _OBJECTS
+    + """
+SELECT rid AS record_id, child_path, coalesce(parent_path, '') AS parent_path FROM p
+UNION SELECT result_id, 'failing_node', '' FROM execution_results WHERE failing_node IS NOT NULL""",
+    "p4_trace_details": _OBJECTS
+    + """
+SELECT rid AS record_id, child_path AS path, parent_path, CAST(regexp_extract(child_path, '([0-9]+)$', 1) AS BIGINT) AS position, value->>'name' AS name, value->>'value' AS value
+FROM p WHERE col = 'traces' AND child_path LIKE '%details.%'""",
+    "p4_trace_steps": _OBJECTS
+    + """
+SELECT rid AS record_id, child_path AS path, parent_path, CAST(regexp_extract(child_path, '([0-9]+)$', 1) AS BIGINT) AS position, value->>'action' AS action,
+  CAST(value->>'tokens' AS BIGINT) AS tokens, value->'observation'->>'kind' AS observation_kind, CAST(value->'observation'->>'ok' AS BOOLEAN) AS observation_ok
+FROM p WHERE col = 'traces' AND regexp_matches(child_path, 'steps\\.[0-9]+$')""",
+    "p4_dag_objects": _OBJECTS
+    + """
+SELECT rid AS record_id, child_path AS path, coalesce(parent_path, '') AS parent_path, CAST(regexp_extract(child_path, '([0-9]+)$', 1) AS BIGINT) AS position,
+  value->>'id' AS id, value->>'op' AS op, value->>'output' AS output, value->>'type' AS type, value->>'name' AS name
+FROM p WHERE col = 'logic_dag'""",
+    "p4_failing_nodes": """
+SELECT DISTINCT result_id AS record_id, failing_node.id AS node_id, failing_node.op AS op, failing_node.output AS output,
+  'traces.' || (list_position(list_transform(traces, lambda t: t.node_id), failing_node.id) - 1) AS trace_path
+FROM execution_results WHERE failing_node IS NOT NULL""",
+    "p4_trace_nodes": """
+WITH t AS (
+  SELECT DISTINCT result_id, traces FROM execution_results
+), n AS (
+  SELECT result_id, traces[k] AS x, k - 1 AS k FROM (SELECT result_id, traces, unnest(range(1, len(traces) + 1)) AS k FROM t)
+)
+SELECT result_id AS record_id, 'traces.' || k AS path, '' AS parent_path, CAST(k AS BIGINT) AS position, x.node_id, x.node_index, x.op, x.output,
+  array_to_string(x.dependency, '|') AS dependency, array_to_string(x.input, '|') AS input, x.execution_path, x.fast_path_hit, x.status, x.elapsed_ms, x.soft_failure,
+  x.error.type AS error_type, x.error.message AS error_message, array_to_string(x.error.traceback_tail, '|') AS error_traceback_tail,
+  x.agent_loop.sequence_id AS agent_loop_sequence_id, x.agent_loop.iterations AS agent_loop_iterations
+FROM n WHERE x IS NOT NULL""",
+}

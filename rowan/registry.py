@@ -14,7 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return dict(queries_nested.ORACLES)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
