@@ -92,7 +92,7 @@ def parse(text: str) -> Parse:
     try:
         out.value = json.loads(content)
         out.is_json = True
-    except ValueError:
+    except (ValueError, RecursionError):
         if out.looks_json:
             stack += brackets(content)
     out.open = stack
@@ -161,7 +161,11 @@ def breaks_off(content: str) -> bool:
     name, a number or a few words are an answer of their own.
     """
     text = content.rstrip().rstrip("*_`").rstrip()
-    if not text or END.search(text):
+    if not text:
+        return False
+    if re.search(r"\n[ \t]*(?:\d{1,3}[.)]|[-*•–—])$", "\n" + text) and "\n" in text:
+        return True
+    if END.search(text):
         return False
     if text[-1] in ",;:(-–—/&、，：[{" or re.search(r"(?:\w[\"“«„(]|[\s(][\"“«„])$", text):
         return True
@@ -440,7 +444,7 @@ def _same_json(prompt: str, value: object) -> bool:
         return False
     try:
         return json.JSONDecoder().raw_decode(prompt, at)[0] == value
-    except ValueError:
+    except (ValueError, RecursionError):
         return False
 
 

@@ -85,8 +85,8 @@ EMISSIONS: dict[str, list[tuple[float, float, float, float]]] = {
     "vowels": [(0.97, 0.96, 0.70, 0.25), (0.02, 0.03, 0.08, 0.20), (0.005, 0.005, 0.02, 0.30), (0.005, 0.005, 0.20, 0.25)],
     # kana and ideographs: no, yes, with a Japanese full stop
     "japanese": [(0.90, 0.97, 0.97, 0.97), (0.02, 0.03, 0.03, 0.03), (0.08, 0.001, 0.001, 0.001)],
-    # times the same line occurs in the document: once, twice, three or more
-    "repeats": [(0.975, 0.97, 0.95, 0.40), (0.02, 0.02, 0.03, 0.10), (0.005, 0.01, 0.02, 0.50)],
+    # times the same line occurs in the document: once, twice, three or more, so often that it makes up a quarter of its lines
+    "repeats": [(0.9749, 0.9695, 0.949, 0.40), (0.02, 0.02, 0.03, 0.10), (0.005, 0.01, 0.02, 0.10), (0.0001, 0.0005, 0.001, 0.40)],
     # sentence ends within the line, a small letter at the line's start: neither, one, both
     "running": [(0.35, 0.75, 0.90, 0.85), (0.35, 0.245, 0.09, 0.14), (0.30, 0.005, 0.01, 0.01)],
     # wide gaps between words: none, one, two or more
@@ -221,6 +221,8 @@ def observations(t: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     letter = (t["head"] == 40) & (small("second") | digit("second")) & ((t["third"] == 41) | (t["fourth"] == 41)) | small("head") & _one_of(t["second"], ").") & (t["third"] == 32)
     pair = t["doc"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ t["hash"]
     _, back, times = np.unique(pair, return_inverse=True, return_counts=True)
+    times = times[back.ravel()]
+    much = (times >= 3) & (4 * times >= np.bincount(t["doc"])[t["doc"]])
     cells = c[:, CELL] - np.where(t["tail"] == 59, 1, 0) + t["tags"] + np.where(t["commas"] >= 2, t["commas"], 0)
     symbols = np.maximum(c[:, SYMBOL] - 2.5 * t["tags"], 0)  # angle brackets and slash of tags
     vowel = c[:, VOWEL] / np.maximum(letters, 1)
@@ -237,18 +239,19 @@ def observations(t: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         "digits": cut(c[:, DIGIT] / visible, 0.25, 0.6),
         "vowels": np.where(letters + wide < 4, 3, np.where((wide > letters) | (vowel > 0.25), 0, np.where(vowel > 0.16, 1, 2))),
         "japanese": np.where(wide > 0.3 * visible, 1 + (t["jstop"] > 0), 0),
-        "repeats": cut(times[back.ravel()], 2, 3),
+        "repeats": np.where(much, 3, cut(times, 2, 3)),
         "running": running,
         "gaps": cut(t["gaps"], 1, 2),
     }
 
 
 def emissions(t: dict[str, np.ndarray]) -> np.ndarray:
-    """Log likelihood (lines x states)."""
+    """Log likelihood (lines x states); of a line that is repeated over and over nothing else counts."""
+    seen = observations(t)
     out = np.zeros((len(t["doc"]), len(STATES)))
-    for name, value in observations(t).items():
+    for name, value in seen.items():
         out += np.log(np.array(EMISSIONS[name]))[value]
-    return out
+    return np.where((seen["repeats"] == 3)[:, None], np.log(np.array(EMISSIONS["repeats"]))[3], out)
 
 
 COLUMNS = (
