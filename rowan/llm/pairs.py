@@ -265,27 +265,25 @@ def tiles(a: list[str], b: list[str], least: int) -> tuple[list[bool], list[bool
     The longest common runs are taken first and never overlap.
     """
     used_a, used_b = [False] * len(a), [False] * len(b)
-    where: dict[str, list[int]] = {}
-    for j, w in enumerate(b):
-        where.setdefault(w, []).append(j)
+    where: dict[tuple[str, ...], list[int]] = {}
+    for j in range(len(b) - least + 1):
+        where.setdefault(tuple(b[j : j + least]), []).append(j)
+    starts = [i for i in range(len(a) - least + 1) if tuple(a[i : i + least]) in where]
     while True:
         best, found = least - 1, []
-        i = 0
-        while i < len(a):
-            longest = 1
-            if not used_a[i]:
-                for j in where.get(a[i], ()):
-                    if used_b[j]:
-                        continue
-                    k = 1
-                    while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k] and not used_a[i + k] and not used_b[j + k]:
-                        k += 1
-                    if k > best:
-                        best, found = k, [(i, j)]
-                    elif k == best and k >= least:
-                        found.append((i, j))
-                    longest = max(longest, 1)
-            i += longest
+        for i in starts:
+            if used_a[i]:
+                continue
+            for j in where[tuple(a[i : i + least])]:
+                if used_b[j]:
+                    continue
+                k = 1
+                while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k] and not used_a[i + k] and not used_b[j + k]:
+                    k += 1
+                if k > best:
+                    best, found = k, [(i, j)]
+                elif k == best and k >= least:
+                    found.append((i, j))
         if not found:
             return used_a, used_b
         for i, j in found:
@@ -305,8 +303,13 @@ def question_of(prompt: str) -> str:
     m = re.search(r"(?:question|frage|pregunta|質問)\s*[:：]\s*(.+)", prompt, re.I)
     if m:
         return m[1].strip()
-    asks = re.findall(r"¿?[^.!?？。\n¿]*(?:\.\d[^.!?？。\n¿]*)*[?？]", prompt)
-    return asks[-1].strip() if asks else prompt
+    end = max(prompt.rfind("?"), prompt.rfind("？"))
+    if end < 0:
+        return prompt
+    begin = 0
+    for m in re.finditer(r"[.!?](?!\d)|[？。！\n¿]", prompt[:end]):
+        begin = m.end()
+    return prompt[begin : end + 1].strip()
 
 
 def words_of(text: str) -> list[str]:
@@ -394,7 +397,7 @@ def asked_languages(prompt: str) -> set[str]:
 def natural(text: str) -> str:
     """A text without what has no language: identifiers, quoted keys, file names."""
     text = re.sub(r'"[\w-]+"\s*:', " ", text)
-    return re.sub(r"[A-Za-z]*[_\d][A-Za-z_\d]*(?:\.[A-Za-z]+)?", " ", text)
+    return re.sub(r"[A-Za-z_\d]+(?:\.[A-Za-z]+)?", lambda m: " " if "_" in m[0] or any(map(str.isdigit, m[0])) else m[0], text)
 
 
 def in_other_language(prompt: str, content: str) -> bool:
