@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowan import queries_nested
+from rowan import queries_core, queries_nested
+
+MODULES = (queries_core, queries_nested)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(queries_nested.QUERIES)
+    return {n: q for m in MODULES for n, q in m.QUERIES.items()}
 
 
 def oracles() -> dict[str, str]:
-    return dict(queries_nested.ORACLES)
+    return {n: q for m in MODULES for n, q in m.ORACLES.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries_nested.p4_found(spark, sf_dir)
+    return queries_core.QUERIES["flagship_revenue"](spark, sf_dir)
