@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowan import queries_core, queries_nested
+from rowan import queries_core, queries_nested, queries_tables
 
-MODULES = (queries_core, queries_nested)
+MODULES = (queries_core, queries_nested, queries_tables)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
