@@ -12,6 +12,7 @@ from pyspark.sql.types import NumericType, StringType
 from rowan.functions.coerce import to_number
 from rowan.operators.ranks import average_ranks
 from rowan.plans.expr import quoted
+from rowan.session import cut_lineage
 
 MOST_COLUMNS = 40
 MOST_PAIRS = 20
@@ -82,11 +83,28 @@ def correlation_evidence(df: DataFrame, columns: list[str] | None = None) -> Dat
         packed.append(F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.count(F.when(both, 1)).alias("n"), F.corr(F.when(both, x[a]), F.when(both, x[b])).alias("pearson")))
     best = df.agg(F.array(*packed).alias("m")).select(F.inline("m")).filter("n >= 2 and pearson is not null and not isnan(pearson)")
     best = best.orderBy(F.abs("pearson").desc(), "left", "right").limit(MOST_PAIRS)
-    long = df.select(F.inline(F.array(*[F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), x[a].alias("x"), x[b].alias("y")) for a, b in pairs])))
-    long = long.filter("x is not null and y is not null").join(F.broadcast(best.select("left", "right")), ["left", "right"])
-    ranks = [average_ranks(long, ["left", "right"], c).withColumnRenamed("rank", f"r{c}") for c in ("x", "y")]
-    ranked = long.join(ranks[0], ["left", "right", "x"]).join(ranks[1], ["left", "right", "y"])
-    spearman = ranked.groupBy("left", "right").agg(F.corr("rx", "ry").alias("spearman"))
+    rows = df.count()
+    chosen = [(r.left, r.right, r.n == rows) for r in best.select("left", "right", "n").collect()]
+    parts = []
+    whole = sorted({c for a, b, complete in chosen if complete for c in (a, b)})
+    if whole:  # without NULLs a column's ranks are the same in every pair
+        wide = df.select(*[x[c].alias(f"x{i}") for i, c in enumerate(whole)])
+        long = wide.select(F.inline(F.array(*[F.struct(F.lit(i).alias("c"), F.col(f"x{i}").alias("v")) for i in range(len(whole))])))
+        ranks = cut_lineage(average_ranks(long, ["c"], "v"))
+        for i in range(len(whole)):
+            wide = wide.join(ranks.filter(F.col("c") == i).select(F.col("v").alias(f"x{i}"), F.col("rank").alias(f"r{i}")), f"x{i}")
+        at = {c: f"r{i}" for i, c in enumerate(whole)}
+        packed = [F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.corr(at[a], at[b]).alias("spearman")) for a, b, complete in chosen if complete]
+        parts.append(wide.agg(F.array(*packed).alias("m")).select(F.inline("m")))
+    gaps = [(a, b) for a, b, complete in chosen if not complete]
+    if gaps:
+        long = df.select(F.inline(F.array(*[F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), x[a].alias("x"), x[b].alias("y")) for a, b in gaps]))).filter("x is not null and y is not null")
+        ranks = [average_ranks(long, ["left", "right"], c).withColumnRenamed("rank", f"r{c}") for c in ("x", "y")]
+        ranked = long.join(ranks[0], ["left", "right", "x"]).join(ranks[1], ["left", "right", "y"])
+        parts.append(ranked.groupBy("left", "right").agg(F.corr("rx", "ry").alias("spearman")))
+    if not parts:
+        return best.withColumn("spearman", F.lit(None).cast("double"))
+    spearman = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return best.join(spearman, ["left", "right"], "left").orderBy(F.abs("pearson").desc(), "left", "right")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,9 +16,11 @@ from rowan.operators.answer import format_answer
 from rowan.operators.evidence import evidence
 from rowan.operators.recursion import repeat_union
 from rowan.operators.repair import repair_filter
-from rowan.plans.expr import PlanError, Scope, aggregate, quoted, sort_key
+from rowan.plans.expr import PlanError, Scope, aggregate, prepare, quoted, sort_key
 
 OPS = ("Scan", "Filter", "Project", "Derive", "Group", "Aggregate", "Sort", "Limit", "Distinct", "Join", "SetOp", "RepeatUnion", "FormatAnswer", "AnalyzeEvidence")
+# Aggregates that hold many values.
+HELD = ("MEDIAN", "PERCENTILE_CONT", "PERCENTILE_DISC", "ARRAY_AGG", "LIST", "STRING_AGG", "GROUP_CONCAT", "LISTAGG")
 JOINS = {
     "": "inner", "INNER": "inner", "CROSS": "cross", "LEFT": "left", "LEFT OUTER": "left", "RIGHT": "right", "RIGHT OUTER": "right",
     "FULL": "full", "FULL OUTER": "full", "OUTER": "full", "SEMI": "left_semi", "LEFT SEMI": "left_semi", "ANTI": "left_anti", "LEFT ANTI": "left_anti",
@@ -188,10 +191,10 @@ class Runner:
 
     def _Aggregate(self, n: Node, made: dict) -> Table:  # noqa: N802
         table = self._first(n, made)
-        scope = self._scope(table.df, made)
-        aggs = [aggregate(scope, a).alias(a["alias"]) for a in n.params.get("aggregations", [])]
+        scope, wanted = prepare(self._scope(table.df, made), n.params.get("aggregations", []))
+        aggs = [aggregate(scope, a).alias(a["alias"]) for a in wanted]
         if not n.params.get("grouped") and table.keys is None:
-            return Table(table.df.agg(*aggs))
+            return Table(scope.df.agg(*aggs))
         keys = []
         for i, k in enumerate(table.keys or []):
             name = scope.name_of(k) if k.get("type") == "column" else None
@@ -199,7 +202,15 @@ class Runner:
         if self.lenient:  # other columns keep a value of the group's rows
             taken = {a["alias"] for a in n.params.get("aggregations", [])} | {scope.name_of(k) for k in table.keys or [] if k.get("type") == "column"}
             aggs += [F.first(quoted(c)).alias(c) for c in table.df.columns if c not in taken]
-        return Table(table.df.groupBy(*keys).agg(*(aggs or [F.count(F.lit(1)).alias("_rows")])))
+        apart = [i for i, a in enumerate(wanted) if a.get("distinct") and str(a.get("function", "")).upper() in ("COUNT", "SUM", "AVG")]
+        if keys and apart and len(apart) < len(wanted) and any(str(a.get("function", "")).upper() in HELD for a in wanted):
+            # DISTINCT would make the other aggregates keep a state for each distinct value, so it is aggregated by itself
+            one = scope.df.groupBy(*[k.alias(f"_k{i}") for i, k in enumerate(keys)]).agg(*[aggs[i] for i in apart])
+            rest = scope.df.groupBy(*keys).agg(*[a for i, a in enumerate(aggs) if i not in apart])
+            names = rest.columns[: len(keys)]
+            same = [F.col(quoted(n)).eqNullSafe(F.col(f"_k{i}")) for i, n in enumerate(names)]
+            return Table(rest.join(one, reduce(lambda x, y: x & y, same)).select(*[quoted(c) for c in [*names, *[a["alias"] for a in wanted], *[c for c in rest.columns[len(keys):] if c not in {a["alias"] for a in wanted}]]]))
+        return Table(scope.df.groupBy(*keys).agg(*(aggs or [F.count(F.lit(1)).alias("_rows")])))
 
     def _Sort(self, n: Node, made: dict) -> Table:  # noqa: N802
         df = self._first(n, made).df

@@ -41,6 +41,7 @@ class Scope:
     df: DataFrame
     lenient: bool = False
     outputs: dict[str, DataFrame] = field(default_factory=dict)
+    _kinds: dict = field(default_factory=dict, repr=False)
 
     # ------------------------------------------------------------ names
 
@@ -67,7 +68,10 @@ class Scope:
 
     def kind(self, c: Column):
         """The type of a column expression."""
-        return self.df.select(c.alias("x")).schema["x"].dataType
+        key = c._jc.toString()
+        if key not in self._kinds:
+            self._kinds[key] = self.df.select(c.alias("x")).schema["x"].dataType
+        return self._kinds[key]
 
     # ------------------------------------------------------------ expressions
 
@@ -258,26 +262,27 @@ def sort_key(scope: Scope, key: dict, numeric: bool = False) -> Column:
 def _ordered_values(scope: Scope, a: dict, value: Column, cond: Column | None) -> Column:
     """Values of a group as an array that keeps NULLs, in the order and up to the limit asked for."""
     keys = a.get("order") or []
-    fields = [value.alias("v")]
-    ranks = []
+    fields, ranks, natural = [], [], True
     for i, k in enumerate(keys):
-        fields.append(scope.eval(k["expr"]).alias(f"k{i}"))
-        ranks.append((f"k{i}", str(k.get("direction", "ASC")).upper() == "DESC", str(k.get("nulls") or "LAST").upper() == "FIRST"))
-    item = F.struct(*fields)
+        c, down, nulls_first = scope.eval(k["expr"]), str(k.get("direction", "ASC")).upper() == "DESC", str(k.get("nulls") or "LAST").upper() == "FIRST"
+        if down and isinstance(scope.kind(c), NumericType):
+            c, down = -c, False
+        fields += [(c.isNotNull() if nulls_first else c.isNull()).alias(f"n{i}"), c.alias(f"k{i}")]
+        ranks.append((f"n{i}", f"k{i}", down))
+        natural = natural and not down
+    item = F.struct(*fields, value.alias("v"))
     rows = F.collect_list(item if cond is None else F.when(cond, item))
     if a.get("distinct"):
         rows = F.array_distinct(rows)
-    if ranks:
+    if ranks and natural and not isinstance(scope.kind(value), (ArrayType, StructType)):
+        rows = F.sort_array(rows)  # fields in order: NULL or not, key, and last the value
+    elif ranks:
 
         def compare(x: Column, y: Column) -> Column:
             out = F.lit(0)
-            for name, down, nulls_first in reversed(ranks):
+            for null, name, down in reversed(ranks):
                 less, more = (F.lit(1), F.lit(-1)) if down else (F.lit(-1), F.lit(1))
-                null_side = F.lit(-1) if nulls_first else F.lit(1)
-                out = (
-                    F.when(x[name].isNull() & y[name].isNull(), out).when(x[name].isNull(), null_side).when(y[name].isNull(), -null_side)
-                    .when(x[name] < y[name], less).when(x[name] > y[name], more).otherwise(out)
-                )
+                out = F.when(x[null] != y[null], F.when(x[null], F.lit(1)).otherwise(F.lit(-1))).when(x[name] < y[name], less).when(x[name] > y[name], more).otherwise(out)
             return out
 
         rows = F.array_sort(rows, compare)
@@ -352,6 +357,8 @@ def _percentile(name: str) -> Callable:
         if name == "cont":
             return F.percentile(c, F.lit(_share(a, scope)))
         # the element at position ceil(share x number of values)
+        if a.get("prepared"):  # a column of the values, with which the parser's form can be used
+            return F.expr(f"percentile_disc({_share(a, scope)!r}D) WITHIN GROUP (ORDER BY {quoted(a['prepared'])})")
         values = F.array_sort(F.collect_list(c))
         at = F.greatest(F.lit(1), F.ceil(F.lit(_share(a, scope)) * F.size(values))).cast("int")
         return F.try_element_at(values, at)
@@ -388,6 +395,18 @@ AGGREGATES: dict[str, Callable] = {
     **dict.fromkeys(("BOOL_AND", "EVERY", "LOGICAL_AND", "LOGICALAND"), _flag(F.bool_and, True)),
 }
 
+def prepare(scope: Scope, aggregations: list[dict]) -> tuple[Scope, list[dict]]:
+    """Aggregations of which the engine's function takes columns only get their values as columns of a new scope."""
+    extra, out = {}, []
+    for i, a in enumerate(aggregations):
+        if str(a.get("function", "")).upper() == "PERCENTILE_DISC":
+            c = scope.number(scope.eval(a["argument"]))
+            extra[f"_values_{i}"] = c if a.get("filter") is None else F.when(scope.truth(a["filter"]), c)
+            a = a | {"prepared": f"_values_{i}"}
+        out.append(a)
+    return (Scope(scope.df.withColumns(extra), scope.lenient, scope.outputs), out) if extra else (scope, out)
+
+
 # ---------------------------------------------------------------- window functions
 
 
