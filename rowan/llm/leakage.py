@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowan.llm._arrays import code_points, mix, slices, span_hashes, word_spans
+from rowan.llm._arrays import code_points, mix, slices, span_hashes, spread, word_spans
 
 SEGMENT = 1 << 18
 BATCH_BYTES = 8 << 20
@@ -249,7 +249,7 @@ def leaked_passages(
     spark = documents.sparkSession
     repetitions = repetitions_for(recall, window, sampled, hamming)
     schema = f"{doc_id} {dict(documents.dtypes)[doc_id]}, item bigint, exact boolean, edits int, windows bigint, first_word bigint"
-    docs = documents.select(doc_id, text).filter(F.col(text).isNotNull())
+    docs = spread(documents.select(doc_id, text).filter(F.col(text).isNotNull()))
 
     def blocks() -> Iterator[tuple[list, list[str]]]:
         ids: list = []

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rowan.llm._arrays import spread
+
 DEFECTS = ("empty", "refusal", "copy", "truncated", "other_language")
 INVISIBLE = dict.fromkeys([0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0xAD], None)
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
@@ -458,8 +460,8 @@ def response_defects(pairs: DataFrame, pair_id: str = "result_id", prompt: str =
     empty: NULL, no letter or digit, or only null values, whatever wraps it. A NULL prompt counts as an empty
     one: its responses are never copies or in another language. A row that occurs twice, or in several
     versions, gives one row for each defect found; a NULL pair_id is kept. Very long responses are read
-    whole. Other columns are not looked at. Pairs are judged one by one, without a shuffle; only the
-    defective ones are shuffled to make them distinct.
+    whole. Other columns are not looked at. Pairs are judged one by one; only the defective ones are
+    shuffled to make them distinct.
     """
     schema = f"{pair_id} {dict(pairs.dtypes)[pair_id]}, defect string"
 
@@ -471,7 +473,7 @@ def response_defects(pairs: DataFrame, pair_id: str = "result_id", prompt: str =
                 keep = pa.array([i for i, x in enumerate(found) if x is not None], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), pa.array([x for x in found if x is not None], pa.string())], names=[pair_id, "defect"])
 
-    return pairs.select(pair_id, prompt, response).mapInArrow(run, schema).distinct()
+    return spread(pairs.select(pair_id, prompt, response)).mapInArrow(run, schema).distinct()
 
 
 def defect_report(pairs: DataFrame, **names: str) -> DataFrame:

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from rowan.llm._arrays import category_table, code_points, slices, span_hashes, word_spans
+from rowan.llm._arrays import category_table, code_points, slices, span_hashes, spread, word_spans
 
 STATES = ("prose", "list", "table", "junk")
 BATCH_BYTES = 4 << 20
@@ -289,7 +289,7 @@ def text_quality(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
     kind is ``prose``, or the largest of ``list``, ``table`` and ``junk`` if lines that are not prose make
     up at least ``share`` of the characters, or ``blank`` for a text that is NULL or only white space (its
     counts and ratios are 0). A very long text is read whole; a row that occurs twice gives two rows.
-    Other columns are not looked at. No shuffle: each batch of rows is measured by itself.
+    Other columns are not looked at. Each batch of rows is measured by itself.
     """
     schema = f"{doc_id} {dict(documents.dtypes)[doc_id]}, {COLUMNS}"
     names = np.array([*STATES, "blank"], object)
@@ -301,4 +301,4 @@ def text_quality(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
                 m["kind"] = names[m["kind"]]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v) for v in m.values())], names=[doc_id, *m])
 
-    return documents.select(doc_id, text).mapInArrow(run, schema)
+    return spread(documents.select(doc_id, text)).mapInArrow(run, schema)
