@@ -4,8 +4,10 @@ A text is a sequence of words (maximal runs of letters or digits, ignoring case)
 ``window`` words are searched by their windows of that many words, shorter items of at least
 ``short_window`` words by windows of ``short_window`` words. Each window is embedded by the CGK random
 walk: step j emits the word under a pointer and moves the pointer on if bit j of that word's hash is
-set. Two windows at a small edit distance yield walks at a small Hamming distance, and equal windows
-yield equal walks, so keys made of sampled steps always agree for equal windows and often for near ones.
+set. Two windows at a small edit distance yield walks at a small Hamming distance, unless the walks drift
+apart at the edit, which another walk with other bits seldom does too; equal windows yield equal walks.
+So keys made of sampled steps of several walks always agree for equal windows, and nearly always some
+agree for near ones.
 Windows of which a key agrees are verified exactly by a banded edit distance over words.
 """
 
@@ -42,11 +44,19 @@ def walk_coordinates(window: int, sampled: int, repetitions: int, seed: int) ->
     return np.stack([np.sort(rng.choice(informative_steps(window), sampled, replace=False)) for _ in range(repetitions)])
 
 
-def walk_keys(words: np.ndarray, bits: np.ndarray, starts: np.ndarray, window: int, coordinates: np.ndarray) -> np.ndarray:
+def walk_keys(words: np.ndarray, bits: list[np.ndarray], starts: np.ndarray, window: int, coordinates: np.ndarray) -> np.ndarray:
     """LSH keys (repetition x window) of the windows that begin at starts.
 
-    words: 32-bit symbols, bits: 64 walk bits of each word; every window lies within them.
+    words: 32-bit symbols, bits: for each walk 64 bits of each word; every window lies within them. The
+    repetitions are dealt out to the walks in turn.
     """
+    keys = np.zeros((len(coordinates), len(starts)), np.uint32)
+    for g, own in enumerate(bits):
+        keys[g :: len(bits)] = _one_walk(words, own, starts, window, coordinates[g :: len(bits)])
+    return keys
+
+
+def _one_walk(words: np.ndarray, bits: np.ndarray, starts: np.ndarray, window: int, coordinates: np.ndarray) -> np.ndarray:
     repetitions, sampled = coordinates.shape
     need: dict[int, list[tuple[int, int]]] = {}
     for r in range(repetitions):
@@ -64,7 +74,7 @@ def walk_keys(words: np.ndarray, bits: np.ndarray, starts: np.ndarray, window: i
                 for r, k in need[j]:
                     keys[r] += (symbol ^ (symbol >> np.uint32(15))) * factor[r * sampled + k]
                     keys[r] ^= keys[r] >> np.uint32(13)
-            at += ((bits[inside] >> np.uint64(j)) & np.uint64(1)).astype(at.dtype)
+            at += ((bits[inside] >> bits.dtype.type(j)) & bits.dtype.type(1)).astype(at.dtype)
     return keys
 
 
@@ -123,11 +133,11 @@ class _Class:
 class ItemIndex:
     """LSH tables of a block of items."""
 
-    def __init__(self, ids: list[int], texts: list[str], window: int, short_window: int, sampled: int, repetitions: int, seed: int):
+    def __init__(self, ids: list[int], texts: list[str], window: int, short_window: int, sampled: int, repetitions: int, seed: int, walks: int = 4):
         self.window, self.short_window = window, short_window
         self.ids = np.asarray(ids, np.int64)
         self.words, self.offsets = word_arrays(texts)
-        self.sampled, self.repetitions, self.seed = sampled, repetitions, seed
+        self.sampled, self.repetitions, self.seed, self.walks = sampled, repetitions, seed, min(walks, repetitions)
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "classes"}
@@ -156,8 +166,10 @@ class ItemIndex:
             out.append(_Class(size, coordinates, starts, owner, tables, bitmaps, shift))
         return out
 
-    def symbols(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return (words >> np.uint64(32)).astype(np.uint32), mix(words ^ mix(np.array([self.seed], np.uint64))[0])
+    def symbols(self, words: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        seeds = mix(np.arange(self.walks, dtype=np.uint64) + np.uint64(self.seed))
+        bits = [mix(words ^ s) for s in seeds]
+        return (words >> np.uint64(32)).astype(np.uint32), [b.astype(np.uint32) for b in bits] if informative_steps(self.window) <= 32 else bits
 
     def matches(self, words: np.ndarray, offsets: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, ...]]:
         """(text, item, word position, distance, equal run) of verified windows; equal run: words in a row shared there."""
@@ -171,7 +183,7 @@ class ItemIndex:
                     continue
                 # a segment's own arrays stay in the processor's cache
                 last = int(starts[-1]) + c.window
-                keys = walk_keys(symbols[lo:last], bits[lo:last], (starts - lo).astype(np.int32), c.window, c.coordinates)
+                keys = walk_keys(symbols[lo:last], [b[lo:last] for b in bits], (starts - lo).astype(np.int32), c.window, c.coordinates)
                 pairs = []
                 for k, (table, order), bitmap in zip(keys, c.keys, c.bitmap):
                     hit = np.flatnonzero(bitmap[k >> c.shift])
@@ -226,9 +238,10 @@ def leaked_passages(
     window: int = 12,
     short_window: int = 8,
     most_edits: int = 2,
-    sampled: int = 6,
-    recall: float = 0.95,
+    sampled: int = 5,
+    recall: float = 0.98,
     hamming: int = 4,
+    walks: int = 5,
     seed: int = 20260619,
     block_chars: int = 2_000_000,
 ) -> DataFrame:
@@ -294,7 +307,7 @@ def leaked_passages(
     out = None
     for ids, texts in blocks():
         number = {x: n for n, x in enumerate(dict.fromkeys(ids))}
-        index = ItemIndex([number[x] for x in ids], texts, window, short_window, sampled, repetitions, seed)
+        index = ItemIndex([number[x] for x in ids], texts, window, short_window, sampled, repetitions, seed, walks)
         found = search(spark.sparkContext.broadcast(index))
         names = spark.createDataFrame([(n, ids[n], int(k)) for n, k in enumerate(np.diff(index.offsets))], f"item bigint, {item_id} {dict(items.dtypes)[item_id]}, item_words bigint")
         found = found.join(names, "item").drop("item")

@@ -68,7 +68,7 @@ def test_recall_of_changed_passages():
             words = words[:k] + rng.choice([[], ["new"], [words[k], "more"]]) + words[k + 1 :]
         texts.append(" ".join(rng.choice(VOCABULARY) for _ in range(50)) + " " + " ".join(words) + " end")
         truth.append(i % 60)
-    index = ItemIndex(list(range(60)), [" ".join(x) for x in items], 12, 8, 6, repetitions_for(0.95, 12, 6, 4), 1)
+    index = ItemIndex(list(range(60)), [" ".join(x) for x in items], 12, 8, 5, repetitions_for(0.98, 12, 5, 4), 1)
     words, offsets = word_arrays(texts)
     found = {(int(t), int(i)) for m in index.matches(words, offsets, 2) for t, i in zip(m[0], m[1])}
     recall = sum((t, i) in found for t, i in enumerate(truth)) / len(truth)
