@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from rowan.llm._arrays import code_points, mix, slices, span_hashes, spread, word_spans
 
-SEGMENT = 1 << 18
+SEGMENT = 1 << 16
 BATCH_BYTES = 8 << 20
 CANDIDATES = 1 << 16
 
@@ -65,16 +65,22 @@ def _one_walk(words: np.ndarray, bits: np.ndarray, starts: np.ndarray, window: i
     keys = np.zeros((repetitions, len(starts)), np.uint32)
     end = starts + window
     at = starts.copy()
-    with np.errstate(over="ignore"):
-        factor = mix(np.arange(1, repetitions * sampled + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
-        for j in range(int(coordinates.max()) + 1):
-            inside = np.minimum(at, end - 1)
-            if j in need:
-                symbol = np.where(at < end, words[inside], np.uint32(0x5BD1E995))
-                for r, k in need[j]:
-                    keys[r] += (symbol ^ (symbol >> np.uint32(15))) * factor[r * sampled + k]
-                    keys[r] ^= keys[r] >> np.uint32(13)
-            at += ((bits[inside] >> bits.dtype.type(j)) & bits.dtype.type(1)).astype(at.dtype)
+    factor = mix(np.arange(1, repetitions * sampled + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
+    step, pad = np.empty(len(starts), bits.dtype), np.uint32(0x5BD1E995)
+    for j in range(int(coordinates.max()) + 1):
+        # the pointer has moved j words at most, so it can't have left the window before step ``window``
+        inside = at if j < window else np.minimum(at, end - 1)
+        if j in need:
+            symbol = words.take(inside)
+            if j >= window:
+                symbol[at >= end] = pad
+            for r, k in need[j]:
+                keys[r] += symbol * factor[r * sampled + k]
+                keys[r] ^= keys[r] >> np.uint32(13)
+        bits.take(inside, out=step, mode="clip")
+        step >>= bits.dtype.type(j)
+        step &= bits.dtype.type(1)
+        at += step.astype(at.dtype, copy=False)
     return keys
 
 
@@ -169,7 +175,8 @@ class ItemIndex:
     def symbols(self, words: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         seeds = mix(np.arange(self.walks, dtype=np.uint64) + np.uint64(self.seed))
         bits = [mix(words ^ s) for s in seeds]
-        return (words >> np.uint64(32)).astype(np.uint32), [b.astype(np.uint32) for b in bits] if informative_steps(self.window) <= 32 else bits
+        symbols = (words >> np.uint64(32)).astype(np.uint32)
+        return symbols, [b.astype(np.uint32) for b in bits] if informative_steps(self.window) <= 32 else bits
 
     def matches(self, words: np.ndarray, offsets: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, ...]]:
         """(text, item, word position, distance, equal run) of verified windows; equal run: words in a row shared there."""
@@ -191,7 +198,8 @@ class ItemIndex:
                     n = b - a
                     which = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
                     pairs.append(np.repeat(starts[hit], n) * len(c.starts) + order[which])
-                pairs = np.unique(np.concatenate(pairs))
+                pairs = np.sort(np.concatenate(pairs))
+                pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])] if len(pairs) else pairs
                 for x in range(0, len(pairs), CANDIDATES):
                     at, w = np.divmod(pairs[x : x + CANDIDATES], len(c.starts))
                     yield from self._verified(c, words, offsets, text_of, at, w, most)
