@@ -26,8 +26,8 @@ BATCH_ROWS = 2000
 
 # ---------------------------------------------------------------- pushdown parser
 
-FENCE = re.compile(r"```+|~~~+")
-TAG = re.compile(r"<(/?)([A-Za-z][\w-]*)[^<>]*?(/?)>")
+OPENING = re.compile(r"```+|~~~+|<(?P<close>/?)(?P<name>[A-Za-z][\w-]*)[^<>]*?(?P<alone>/?)>")
+INFO = re.compile(r"[^\s{\[`~]*")
 OPENERS = {"{": "}", "[": "]", "(": ")"}
 CLOSERS = {v: k for k, v in OPENERS.items()}
 VOID_TAGS = {"br", "hr", "img", "input", "meta", "link"}
@@ -54,41 +54,28 @@ def parse(text: str) -> Parse:
     text = text.translate(INVISIBLE)
     stack: list[str] = []
     kept: list[str] = []
-    info = False  # inside the word after an opening fence
-    i, n = 0, len(text)
-    while i < n:
-        ch = text[i]
-        if info:
-            if ch in " \t\r\n{[":
-                info = False
-            elif ch not in "`~":
-                i += 1
-                continue
-        if ch in "`~" and (m := FENCE.match(text, i)):
-            marks = m.end() - i
-            while marks >= 3:  # six marks in a row open and close
-                if "```" in stack:
-                    del stack[stack.index("```") :]
-                    info = False
-                else:
-                    stack.append("```")
-                    info = True
-                marks -= 3
-            kept.append(" ")
-            i = m.end()
+    at = 0
+    for m in OPENING.finditer(text):
+        if m.start() < at:
             continue
-        if ch == "<" and (m := TAG.match(text, i)):
-            name = m[2].lower()
-            if m[1]:
+        kept += [text[at : m.start()], " "]
+        at = m.end()
+        if m[0][0] == "<":
+            name = m["name"].lower()
+            if m["close"]:
                 if f"<{name}>" in stack:
                     del stack[len(stack) - 1 - stack[::-1].index(f"<{name}>") :]
-            elif not m[3] and name not in VOID_TAGS:
+            elif not m["alone"] and name not in VOID_TAGS:
                 stack.append(f"<{name}>")
-            kept.append(" ")
-            i = m.end()
             continue
-        kept.append(ch)
-        i += 1
+        for _ in range(len(m[0]) // 3):  # six marks in a row open and close
+            if "```" in stack:
+                del stack[stack.index("```") :]
+            else:
+                stack.append("```")
+        if "```" in stack:  # the word after an opening fence is its language
+            at = INFO.match(text, at).end()
+    kept.append(text[at:])
     content = "".join(kept).strip()
     out = Parse(content, looks_json=content[:1] in ("{", "["))
     try:
@@ -242,12 +229,16 @@ REFUSALS = [
         r"(?:お断り(?:し|いた|させ|しま)|辞退(?:し|いた|させ)|拒否(?:し|いた))",
     )
 ]
+# Each refusal has one of these.
+HINT = re.compile(r"\b(?:i|we|me|us|my|our|ours|request|access|question|query|content|topic|something|else|different|another|other|answer|reply|response|help|ich|wir|mir|je|nous|il|no|debo|tengo|prefiero|veo|rechazo|declino)\b|[ぁ-ん]", re.I)
 QUOTED = re.compile(r"\"[^\"]*\"|“[^”]*”|«[^»]*»|„[^“]*“|「[^」]*」")
 LEAD = re.compile(r"^(?:\W*(?:i['’]?m\s+sorry|i\s+am\s+sorry|sorry|i\s+apologi[sz]e|apologies|unfortunately|thanks\s+for\s+asking|thank\s+you|hmm+|well|as\s+an?\s+[\w ]{2,30}|leider|entschuldigung|es\s+tut\s+mir\s+leid|tut\s+mir\s+leid|malheureusement|désolée?|je\s+suis\s+désolée?|lo\s+siento|lamentablemente|perdón|申し訳(?:ありません|ございません)(?:が)?|すみません(?:が)?|残念ながら|but|aber|mais|pero|that|this|das|dies)\b[\s,.:;–—-]*)*", re.I)
 
 
 def is_refusal(content: str) -> bool:
     """A sentence among the first three declines, in the writer's own words (what is quoted is not)."""
+    if not HINT.search(content):
+        return False
     text = QUOTED.sub("«»", content)
     for sentence in [s for s in SENTENCE.split(text) if s.strip()][:3]:
         rest = sentence[LEAD.match(sentence).end() :]
@@ -320,7 +311,7 @@ def words_of(text: str) -> list[str]:
     return [w.casefold() for w in WORD.findall(text)]
 
 
-def is_copy(prompt: str, content: str) -> bool:
+def is_copy(prompt: str, content: str, question: str | None = None) -> bool:
     """The response is made of the prompt: tiles cover it but for a fifth, and most of the prompt's question."""
     a = words_of(content)
     if len(a) < 4:
@@ -328,7 +319,10 @@ def is_copy(prompt: str, content: str) -> bool:
     b = words_of(prompt)
     if len(a) > 3 * len(b) + 10:
         return False
-    q = words_of(question_of(prompt))
+    known = set(b)
+    if sum(w in known for w in a) < 0.8 * len(a):
+        return False
+    q = words_of(question_of(prompt) if question is None else question)
     in_a, in_b = tiles(a, b + ["\n"] + q + ["\n"] + q, 3)  # the question may be given back more than once
     if sum(in_a) < 0.8 * len(a):
         return False
@@ -359,6 +353,11 @@ LANGUAGE_NAMES = {
 }
 
 
+KANA, IDEOGRAPH = re.compile(r"[぀-ヿ]"), re.compile(r"[一-鿿]")
+ELISIONS = ((re.compile(r"\b[lcdnsj]['’](?=\w)|\bqu['’]", re.I), "fr"),)
+ACCENTS = tuple((re.compile(p, re.I), lang) for p, lang in ((r"[äöüß]", "de"), (r"[èêàçùœ]", "fr"), (r"[ñ¿¡ó]", "es")))
+
+
 @functools.cache
 def _weights() -> dict[str, dict[str, float]]:
     out: dict[str, dict[str, float]] = {}
@@ -370,17 +369,19 @@ def _weights() -> dict[str, dict[str, float]]:
 
 def language_scores(text: str) -> dict[str, float]:
     """Weight of each language's function words in a text; Japanese by its script."""
-    kana = len(re.findall(r"[぀-ヿ]", text))
-    wide = kana + len(re.findall(r"[一-鿿]", text))
-    letters = sum(c.isalpha() for c in text)
     scores = dict.fromkeys(WORDS, 0.0)
-    scores["ja"] = float(wide) if kana and wide * 4 >= letters else 0.0
+    plain = text.isascii()
+    kana = 0 if plain else len(KANA.findall(text))
+    wide = kana + len(IDEOGRAPH.findall(text)) if kana else 0
+    scores["ja"] = float(wide) if kana and wide * 4 >= sum(c.isalpha() for c in text) else 0.0
     table = _weights()
     for w in WORD.findall(text):
-        for lang, x in table.get(w.lower().replace("’", "'"), {}).items():
-            scores[lang] += x
-    for pattern, lang in ((r"[äöüß]", "de"), (r"[èêàçùœ]|\b[lcdnsj]['’](?=\w)|\bqu['’]", "fr"), (r"[ñ¿¡ó]", "es")):
-        scores[lang] += 0.5 * len(re.findall(pattern, text, re.I))
+        found = table.get(w.lower().replace("’", "'"))
+        if found:
+            for lang, x in found.items():
+                scores[lang] += x
+    for pattern, lang in ELISIONS if plain else (*ELISIONS, *ACCENTS):
+        scores[lang] += 0.5 * len(pattern.findall(text))
     return scores
 
 
@@ -393,25 +394,36 @@ def language_of(text: str, least: float = 1.0) -> str | None:
 
 def asked_languages(prompt: str) -> set[str]:
     """Languages that a prompt names."""
-    return {lang for lang, p in LANGUAGE_NAMES.items() if re.search(rf"(?<!\w)(?:{p})(?!\w)" if lang != "ja" else p, prompt, re.I)}
+    return {lang for lang, p in _asking().items() if p.search(prompt)}
+
+
+@functools.cache
+def _asking() -> dict[str, re.Pattern]:
+    return {lang: re.compile(rf"(?<!\w)(?:{p})(?!\w)" if lang != "ja" else p, re.I) for lang, p in LANGUAGE_NAMES.items()}
+
+
+KEYED = re.compile(r'"[\w-]+"\s*:')
+# a word with a digit or underscore; the look-behind keeps the search linear
+MARKED = re.compile(r"(?<![A-Za-z_\d])[A-Za-z]*+[_\d][A-Za-z_\d]*+(?:\.[A-Za-z]+)?")
 
 
 def natural(text: str) -> str:
     """A text without what has no language: identifiers, quoted keys, file names."""
-    text = re.sub(r'"[\w-]+"\s*:', " ", text)
-    return re.sub(r"[A-Za-z_\d]+(?:\.[A-Za-z]+)?", lambda m: " " if "_" in m[0] or any(map(str.isdigit, m[0])) else m[0], text)
+    return MARKED.sub(" ", KEYED.sub(" ", text))
 
 
-def in_other_language(prompt: str, content: str) -> bool:
+def in_other_language(prompt: str, content: str, question: str | None = None) -> bool:
     answer = language_of(natural(content))
     if answer is None:
         return False
+    own = language_of(natural(question_of(prompt) if question is None else question))
+    if own == answer:
+        return False
     asked = asked_languages(prompt)
     if asked:
-        expected = asked | {language_of(natural(question_of(prompt)))}
-        return answer not in expected
-    question = language_of(natural(question_of(prompt))) or language_of(natural(prompt))
-    return question is not None and answer != question
+        return answer not in asked
+    own = own or language_of(natural(prompt))
+    return own is not None and answer != own
 
 
 # ---------------------------------------------------------------- the operator
@@ -433,13 +445,14 @@ def defect_of(prompt: str | None, response: str | None) -> str | None:
     single = plain if not p.is_json or len(values) == 1 else ""
     if single and is_refusal(single):
         return "refusal"
-    if is_copy(prompt, single if not p.is_json else single or "") or not p.looks_json and is_copy(prompt, p.content) or p.is_json and _same_json(prompt, p.value):
+    question = question_of(prompt)
+    if is_copy(prompt, single if p.is_json else p.content, question) or p.is_json and _same_json(prompt, p.value):
         return "copy"
     if "```" in p.open or not p.is_json and breaks_off(p.content):
         return "truncated"
-    if in_other_language(prompt, plain if not p.is_json else " ".join(v for v in values if len(v.split()) > 1 or not v.isascii())):
-        return "other_language"
-    return None
+    # a value that stands in the prompt says nothing about the answer's language
+    told = plain if not p.is_json else " ".join(v for v in values if (" " in v or not v.isascii()) and v not in prompt)
+    return "other_language" if told and in_other_language(prompt, told, question) else None
 
 
 def _same_json(prompt: str, value: object) -> bool:
