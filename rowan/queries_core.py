@@ -236,7 +236,7 @@ def dag_aggregates(spark: SparkSession, d: str) -> DataFrame:
                     agg("COUNT", "n"), agg("COUNT", "parts", col("l_partkey"), distinct=True), agg("SUM", "s", y), agg("AVG", "m", y), agg("MIN", "lo", x), agg("MAX", "hi", x), agg("MEDIAN", "med", y),
                     agg("PERCENTILE_CONT", "pc", x, **half), agg("PERCENTILE_DISC", "pd", x, **half), agg("STDDEV", "sd", y), agg("STDDEV_POP", "sdp", y), agg("VARIANCE", "v", y), agg("VAR_POP", "vp", y),
                     agg("REGR_SLOPE", "slope", x, parameters=[y]), agg("REGR_INTERCEPT", "base", x, parameters=[y]), agg("BOOL_OR", "some", op(">", y, lit(49))), agg("EVERY", "all_over", op(">", y, lit(1))),
-                    agg("STRING_AGG", "flags", col("l_returnflag"), order=[{"expr": col("l_orderkey")}, {"expr": col("l_linenumber")}], limit=4), agg("SUM", "late", col("l_tax"), filter=op("=", col("l_linestatus"), lit("O"))),
+                    agg("STRING_AGG", "flags", col("l_returnflag"), order=[{"expr": col("l_orderkey")}, {"expr": col("l_linenumber")}, {"expr": col("l_returnflag")}], limit=4), agg("SUM", "late", col("l_tax"), filter=op("=", col("l_linestatus"), lit("O"))),
                 ],
             },
         ),
@@ -367,7 +367,7 @@ GRAPHS: dict[str, tuple[Query, str]] = {
     "dag_aggregates": (
         dag_aggregates,
         """
-WITH f AS (SELECT l_suppkey, string_agg(l_returnflag, ',' ORDER BY l_orderkey, l_linenumber) AS flags FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) AS rn FROM lineitem) WHERE rn <= 4 GROUP BY l_suppkey)
+WITH f AS (SELECT l_suppkey, string_agg(l_returnflag, ',' ORDER BY l_orderkey, l_linenumber, l_returnflag) AS flags FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_returnflag) AS rn FROM lineitem) WHERE rn <= 4 GROUP BY l_suppkey)
 SELECT l_suppkey, count(*) AS n, count(DISTINCT l_partkey) AS parts, bool_or(l_quantity > 49) AS some, bool_and(l_quantity > 1) AS all_over, any_value(f.flags) AS flags, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi,
   percentile_disc(0.5) WITHIN GROUP (ORDER BY l_extendedprice) AS pd, median(l_quantity) AS med, round(sum(l_quantity), 4) AS s, round(avg(l_quantity), 4) AS m, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY l_extendedprice), 4) AS pc,
   round(stddev_samp(l_quantity), 4) AS sd, round(stddev_pop(l_quantity), 4) AS sdp, round(var_samp(l_quantity), 4) AS v, round(var_pop(l_quantity), 4) AS vp, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS base,
