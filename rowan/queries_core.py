@@ -116,6 +116,12 @@ SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_
 SELECT p_partkey, lower(p_name) AS lo, upper(p_type) AS up, length(p_name) AS n, trim(concat('  ', p_brand, ' ')) AS t, replace(p_name, 'a', '#') AS r, substring(p_name, 2, 3) AS s, left(p_type, 4) AS l, right(p_type, 3) AS rt, strpos(p_name, 'e') AS pos,
   p_brand || '-' || p_type AS both, regexp_replace(p_brand, '[0-9]', 'x', 'g') AS rx FROM part""",
     "fn_math": "SELECT l_orderkey, l_linenumber, abs(l_quantity - 25) AS a, ceil(l_extendedprice) AS c, floor(l_extendedprice) AS f, round(l_extendedprice, 1) AS r, coalesce(nullif(l_linenumber, 2), 0) AS z FROM lineitem WHERE l_suppkey < 20",
+    # the whole tables; the queries of the same names without _whole read a subset
+    "project_derive_arith_whole": """
+SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS charge, l_extendedprice / l_quantity AS unit, l_orderkey % 5 AS rest, -l_linenumber AS neg, l_partkey + l_suppkey - 1 AS keys
+FROM lineitem""",
+    "join_full_whole": "SELECT c_custkey AS c, o_orderkey AS o FROM customer FULL OUTER JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'F'",
+    "fn_math_whole": "SELECT l_orderkey, l_linenumber, abs(l_quantity - 25) AS a, ceil(l_extendedprice) AS c, floor(l_extendedprice) AS f, round(l_extendedprice, 1) AS r, coalesce(nullif(l_linenumber, 2), 0) AS z FROM lineitem",
     "fn_date": """
 SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d, quarter(o_orderdate) AS q, extract(doy FROM o_orderdate) AS doy, CAST(o_orderdate AS DATE) AS dt, date_part('month', o_orderdate) AS dp FROM orders""",
     "fn_null": "SELECT c_custkey, coalesce(nullif(c_mktsegment, 'BUILDING'), 'none') AS a, nullif(c_nationkey, 4) AS b, ifnull(nullif(c_nationkey, 4), -1) AS c FROM customer",
@@ -165,6 +171,10 @@ SELECT o_orderkey, CAST(sign * (months // 12) AS INTEGER) AS y, CAST(sign * (mon
         "SELECT word, count(*) AS n FROM documents, UNNEST(split(lower(text), ' ')) AS t(word) WHERE lang = 'en' GROUP BY word",
         "SELECT word, count(*) AS n FROM (SELECT unnest(string_split(lower(text), ' ')) AS word FROM documents WHERE lang = 'en') GROUP BY word",
     ),
+    "unnest_explode_whole": (
+        "SELECT word, count(*) AS n FROM documents, UNNEST(split(lower(text), ' ')) AS t(word) GROUP BY word",
+        "SELECT word, count(*) AS n FROM (SELECT unnest(string_split(lower(text), ' ')) AS word FROM documents) GROUP BY word",
+    ),
     "unnest_embeddings": (
         "SELECT label, pos, round(avg(x), 4) AS mean FROM (SELECT label, posexplode(embedding) AS (pos, x) FROM embeddings) GROUP BY label, pos",
         "SELECT label, CAST(pos - 1 AS INTEGER) AS pos, round(avg(CAST(x AS DOUBLE)), 4) AS mean FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY label, pos",
@@ -325,29 +335,37 @@ def batch_shared_subplan(spark: SparkSession, d: str) -> DataFrame:
     return out["count"].select(F.lit("count").alias("answer"), "l_returnflag", "v").union(out["line"].select(F.lit("line"), "l_returnflag", F.col("v").cast("bigint")))
 
 
-def _text_lineitem(spark: SparkSession, d: str) -> DataFrame:
+def _text_lineitem(lines: DataFrame) -> DataFrame:
     """Formatted text made of numbers, as found in text tables."""
-    return load(spark, d, "lineitem").filter("l_linenumber = 1").select("l_orderkey", F.concat(F.lit("$"), F.format_number("l_extendedprice", 2), F.lit(" (est)")).alias("price"), F.concat(F.format_number(F.col("l_discount") * 100, 1), F.lit(" %")).alias("share"), F.when(F.col("l_quantity") > 40, F.lit("unknown")).otherwise(F.concat(F.lit("- "), F.col("l_quantity").cast("int").cast("string"))).alias("change"))
+    return lines.select("l_orderkey", F.concat(F.lit("$"), F.format_number("l_extendedprice", 2), F.lit(" (est)")).alias("price"), F.concat(F.format_number(F.col("l_discount") * 100, 1), F.lit(" %")).alias("share"), F.when(F.col("l_quantity") > 40, F.lit("unknown")).otherwise(F.concat(F.lit("- "), F.col("l_quantity").cast("int").cast("string"))).alias("change"))
 
 
-def coerce_numeric_text(spark: SparkSession, d: str) -> DataFrame:
+def _coerce_numeric_text(spark: SparkSession, lines: DataFrame) -> DataFrame:
     plan = chain(
         "prices",
         ("Filter", {"predicate": op(">", col("PRICE"), lit(20000))}),
         ("Aggregate", {"aggregations": [agg("COUNT", "n"), agg("SUM", "total", col("price")), agg("AVG", "share", col("share")), agg("SUM", "change", col("Change")), agg("MAX", "top", col("price"))]}),
         ("Project", {"expressions": [{"expr": col("n")}] + [{"expr": call("ROUND", col(c), lit(2)), "alias": c} for c in ("total", "share", "change")] + [{"expr": {"type": "cast", "expr": col("top"), "to": "double"}, "alias": "top"}]}),
     )
-    e = Engine(spark, "lenient").register("prices", _text_lineitem(spark, d))
+    e = Engine(spark, "lenient").register("prices", _text_lineitem(lines))
     return last(e, plan)
 
 
+def coerce_numeric_text(spark: SparkSession, d: str) -> DataFrame:
+    return _coerce_numeric_text(spark, load(spark, d, "lineitem").filter("l_linenumber = 1"))
+
+
+def coerce_numeric_text_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _coerce_numeric_text(spark, load(spark, d, "lineitem"))
+
+
 def filter_repair(spark: SparkSession, d: str) -> DataFrame:
     """A literal in other case and spacing than the data finds its rows."""
     plan = chain("customer", ("Filter", {"predicate": {"type": "logical_op", "op": "AND", "operands": [op("=", col("c_mktsegment"), lit(" building ")), op(">", col("c_acctbal"), lit(0))]}}), ("Project", {"expressions": [{"expr": col("c_custkey")}, {"expr": col("c_mktsegment")}]}))
     return last(engine(spark, d, ["customer"], "lenient"), plan)
 
 
-def lenient_setops_sort(spark: SparkSession, d: str) -> DataFrame:
+def _lenient_setops_sort(spark: SparkSession, a: DataFrame, b: DataFrame) -> DataFrame:
     """By-name union of text tables, ordered by the number in the text, first rows."""
     nodes = [
         {"id": "A", "op": "Scan", "params": {"source": "a"}, "output": "a"},
@@ -356,12 +374,22 @@ def lenient_setops_sort(spark: SparkSession, d: str) -> DataFrame:
         {"id": "S", "op": "Sort", "dependency": ["u"], "params": {"keys": [{"expr": col("amount"), "direction": "DESC"}, {"expr": col("k")}]}, "output": "s"},
         {"id": "L", "op": "Limit", "dependency": ["s"], "params": {"count": 30, "offset": 5}, "output": "l"},
     ]
-    o = load(spark, d, "orders")
     text = F.concat(F.format_number("o_totalprice", 0), F.lit(" lb"))
-    e = Engine(spark, "lenient").register("a", o.filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("k"), text.alias("amount"))).register("b", o.filter("o_orderkey % 3 = 0").select(text.alias("amount"), F.col("o_orderkey").alias("k")))
+    e = Engine(spark, "lenient").register("a", a.select(F.col("o_orderkey").alias("k"), text.alias("amount"))).register("b", b.select(text.alias("amount"), F.col("o_orderkey").alias("k")))
     return e.run_plan({"nodes": nodes})["l"]
 
 
+def lenient_setops_sort(spark: SparkSession, d: str) -> DataFrame:
+    o = load(spark, d, "orders")
+    return _lenient_setops_sort(spark, o.filter("o_orderkey % 2 = 0"), o.filter("o_orderkey % 3 = 0"))
+
+
+def lenient_setops_sort_whole(spark: SparkSession, d: str) -> DataFrame:
+    """All orders: those not open and those not finished, which share the orders in progress."""
+    o = load(spark, d, "orders")
+    return _lenient_setops_sort(spark, o.filter("o_orderstatus IS DISTINCT FROM 'O'"), o.filter("o_orderstatus IS DISTINCT FROM 'F'"))
+
+
 GRAPHS: dict[str, tuple[Query, str]] = {
     "dag_flagship": (dag_flagship, SHARED["flagship_revenue"]),
     "dag_aggregates": (
@@ -401,6 +429,12 @@ SELECT p_partkey, upper(p_name) AS up, length(p_name) AS n, strpos(p_name, 'e')
         coerce_numeric_text,
         """
 WITH t AS (SELECT round(l_extendedprice, 2) AS price, round(l_discount * 100, 1) AS share, CASE WHEN l_quantity > 40 THEN NULL ELSE -floor(l_quantity) END AS change FROM lineitem WHERE l_linenumber = 1)
+SELECT count(*) AS n, round(sum(price), 2) AS total, round(avg(share), 2) AS share, round(sum(change), 2) AS change, max(price) AS top FROM t WHERE price > 20000""",
+    ),
+    "coerce_numeric_text_whole": (
+        coerce_numeric_text_whole,
+        """
+WITH t AS (SELECT round(l_extendedprice, 2) AS price, round(l_discount * 100, 1) AS share, CASE WHEN l_quantity > 40 THEN NULL ELSE -floor(l_quantity) END AS change FROM lineitem)
 SELECT count(*) AS n, round(sum(price), 2) AS total, round(avg(share), 2) AS share, round(sum(change), 2) AS change, max(price) AS top FROM t WHERE price > 20000""",
     ),
     "filter_repair": (filter_repair, "SELECT c_custkey, c_mktsegment FROM customer WHERE lower(trim(c_mktsegment)) = 'building' AND c_acctbal > 0"),
@@ -408,6 +442,10 @@ SELECT count(*) AS n, round(sum(price), 2) AS total, round(avg(share), 2) AS sha
         lenient_setops_sort,
         "SELECT o_orderkey AS k, format('{:,}', CAST(round_even(o_totalprice, 0) AS BIGINT)) || ' lb' AS amount FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0 ORDER BY round_even(o_totalprice, 0) DESC, o_orderkey LIMIT 30 OFFSET 5",
     ),
+    "lenient_setops_sort_whole": (
+        lenient_setops_sort_whole,
+        "SELECT o_orderkey AS k, format('{:,}', CAST(round_even(o_totalprice, 0) AS BIGINT)) || ' lb' AS amount FROM orders ORDER BY round_even(o_totalprice, 0) DESC, o_orderkey LIMIT 30 OFFSET 5",
+    ),
 }
 
 QUERIES: dict[str, Query] = {n: sql_query(t) for n, t in SHARED.items()} | {n: sql_query(t) for n, (t, _) in _OWN.items()} | {n: q for n, (q, _) in GRAPHS.items()}
