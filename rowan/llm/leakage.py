@@ -137,13 +137,18 @@ class _Class:
 
 
 class ItemIndex:
-    """LSH tables of a block of items."""
+    """LSH tables of a block of items.
 
-    def __init__(self, ids: list[int], texts: list[str], window: int, short_window: int, sampled: int, repetitions: int, seed: int, walks: int = 4):
+    short: sampled steps and repetitions of the windows of short_window words, which need other numbers for
+    the same recall; by default those of the long ones.
+    """
+
+    def __init__(self, ids: list[int], texts: list[str], window: int, short_window: int, sampled: int, repetitions: int, seed: int, walks: int = 4, short: tuple[int, int] | None = None):
         self.window, self.short_window = window, short_window
         self.ids = np.asarray(ids, np.int64)
         self.words, self.offsets = word_arrays(texts)
-        self.sampled, self.repetitions, self.seed, self.walks = sampled, repetitions, seed, min(walks, repetitions)
+        self.keys, self.short_keys = (sampled, repetitions), short or (sampled, repetitions)
+        self.seed, self.walks = seed, min(walks, repetitions, self.short_keys[1])
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "classes"}
@@ -154,13 +159,14 @@ class ItemIndex:
         lengths = np.diff(self.offsets)
         symbols, bits = self.symbols(self.words)
         out: list[_Class] = []
-        for size, mine in ((self.window, lengths >= self.window), (self.short_window, (lengths >= self.short_window) & (lengths < self.window))):
+        short = (lengths >= self.short_window) & (lengths < self.window)
+        for size, mine, number in ((self.window, lengths >= self.window, self.keys), (self.short_window, short, self.short_keys)):
             if not mine.any():
                 continue
             items = np.flatnonzero(mine)
             starts = np.concatenate([np.arange(self.offsets[i], self.offsets[i + 1] - size + 1) for i in items])
             owner = np.repeat(items, lengths[items] - size + 1)
-            coordinates = walk_coordinates(size, self.sampled, self.repetitions, self.seed)
+            coordinates = walk_coordinates(size, *number, self.seed)
             tables, bitmaps = [], []
             shift = np.uint32(32 - min(22, max(12, (16 * len(starts)).bit_length())))
             for k in walk_keys(symbols, bits, starts, size, coordinates):
@@ -250,6 +256,8 @@ def leaked_passages(
     recall: float = 0.98,
     hamming: int = 4,
     walks: int = 5,
+    short_sampled: int = 3,
+    short_hamming: int = 5,
     seed: int = 20260619,
     block_chars: int = 2_000_000,
 ) -> DataFrame:
@@ -263,12 +271,14 @@ def leaked_passages(
     Items are the stated query set: they are read on the driver in blocks of block_chars characters, and
     each block's tables are searched by one pass over the documents; nothing of the documents leaves the
     executors. exact has full recall; windows with edits are found with the probability ``recall`` if their
-    walks differ in at most ``hamming`` steps. A NULL text or item, or one of fewer than ``short_window``
+    walks differ in at most ``hamming`` steps (for windows of ``short_window`` words, whose keys have
+    short_sampled steps and repetitions of their own, short_hamming). A NULL text or item, or one of fewer than ``short_window``
     words, has no rows; equal items each have their own. Rows repeated in the input do not repeat the result,
     an item_id with several texts is one item with all of them. Other columns are not looked at.
     """
     spark = documents.sparkSession
     repetitions = repetitions_for(recall, window, sampled, hamming)
+    short = short_sampled, repetitions_for(recall, short_window, short_sampled, short_hamming)
     schema = f"{doc_id} {dict(documents.dtypes)[doc_id]}, item bigint, exact boolean, edits int, windows bigint, first_word bigint"
     docs = spread(documents.select(doc_id, text).filter(F.col(text).isNotNull()))
 
@@ -315,7 +325,7 @@ def leaked_passages(
     out = None
     for ids, texts in blocks():
         number = {x: n for n, x in enumerate(dict.fromkeys(ids))}
-        index = ItemIndex([number[x] for x in ids], texts, window, short_window, sampled, repetitions, seed, walks)
+        index = ItemIndex([number[x] for x in ids], texts, window, short_window, sampled, repetitions, seed, walks, short)
         found = search(spark.sparkContext.broadcast(index))
         names = spark.createDataFrame([(n, ids[n], int(k)) for n, k in enumerate(np.diff(index.offsets))], f"item bigint, {item_id} {dict(items.dtypes)[item_id]}, item_words bigint")
         found = found.join(names, "item").drop("item")

@@ -73,3 +73,24 @@ def test_recall_of_changed_passages():
     found = {(int(t), int(i)) for m in index.matches(words, offsets, 2) for t, i in zip(m[0], m[1])}
     recall = sum((t, i) in found for t, i in enumerate(truth)) / len(truth)
     assert recall >= 0.95
+
+
+def test_recall_of_short_items(spark):
+    rng = random.Random(3)
+    for size in (8, 9):
+        items = [[rng.choice(VOCABULARY) for _ in range(size)] for _ in range(400)]
+        docs = []
+        for x in items:
+            words = list(x)
+            for k in rng.sample(range(size), 2):
+                words[k] = "new"
+            docs.append([rng.choice(VOCABULARY) for _ in range(20)] + words + [rng.choice(VOCABULARY) for _ in range(20)])
+        d = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id bigint, text string")
+        q = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id bigint, item_text string")
+        got = {(r.doc_id, r.item_id): r.edits for r in leaked_passages(d, q).collect()}
+        # brute force over every pair of windows of each document and its item
+        parts = lambda w: [w[i : i + 8] for i in range(len(w) - 7)]
+        near = [min(levenshtein(a, b) for a in parts(docs[i]) for b in parts(x)) for i, x in enumerate(items)]
+        truth = [i for i, n in enumerate(near) if n <= 2]
+        assert len(truth) == 400 and all(got[i, i] >= near[i] for i in truth if (i, i) in got)
+        assert sum((i, i) in got for i in truth) >= 0.9 * len(truth)
