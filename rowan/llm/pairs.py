@@ -319,10 +319,10 @@ def is_copy(prompt: str, content: str, question: str | None = None) -> bool:
     b = words_of(prompt)
     if len(a) > 3 * len(b) + 10:
         return False
-    known = set(b)
+    q = words_of(question_of(prompt) if question is None else question)
+    known = set(b) | set(q)  # the question is decoded, so its words may not be the prompt's
     if sum(w in known for w in a) < 0.8 * len(a):
         return False
-    q = words_of(question_of(prompt) if question is None else question)
     in_a, in_b = tiles(a, b + ["\n"] + q + ["\n"] + q, 3)  # the question may be given back more than once
     if sum(in_a) < 0.8 * len(a):
         return False

@@ -1,3 +1,5 @@
+import json
+
 import pytest
 
 from rowan.llm.pairs import DEFECTS, breaks_off, brackets, defect_of, defect_report, parse, response_defects, tiles
@@ -45,3 +47,18 @@ def test_operator(spark):
     assert {tuple(r) for r in response_defects(df).collect()} == {(1, "empty"), (None, "empty"), (4, "copy")}
     assert response_defects(df.limit(0)).count() == 0
     assert {r.defect: r.pairs for r in defect_report(df).collect()} == dict.fromkeys(DEFECTS, 0) | {"empty": 2, "copy": 1}
+
+
+@pytest.mark.parametrize(
+    "question",
+    ["どのクラブが1967年に最も多くの観客を集めましたか？", "Welche größten Städte führten früher häufig?", "Où était née l'héritière préférée?"],
+)
+def test_copy_of_an_escaped_question(question):
+    prompt = json.dumps({"task": "answer", "question": question})
+    assert "\\u" in prompt and defect_of(prompt, question) == "copy"
+
+
+def test_copy_of_a_question_beside_kana():
+    question = "Which club had the highest turnout in 1967?"
+    prompt = json.dumps({"table": "クラブ", "question": question}, ensure_ascii=False)
+    assert defect_of(prompt, question) == "copy"
