@@ -70,12 +70,13 @@ class Runner:
     """Runs operator graphs over named sources.
 
     lenient reads text tables tolerantly. max_rows makes joins, set operations and recursion check, by a job of their
-    own, that they do not exceed that many rows; without it nothing is run before the result is asked for,
+    own, that they do not exceed that many rows; recursion goes on to its fixed point or its own limit, and is an error if
+    it still finds rows after max_rounds; without max_rows nothing is run before the result is asked for,
     but for sorts of texts in lenient mode, recursion, answers and evidence. Equal subplans, also of several plans, are
     built once.
     """
 
-    def __init__(self, spark: SparkSession, sources: dict[str, DataFrame], lenient: bool = False, max_rows: int | None = None, max_rounds: int = 100, repair: bool | None = None):
+    def __init__(self, spark: SparkSession, sources: dict[str, DataFrame], lenient: bool = False, max_rows: int | None = None, max_rounds: int | None = None, repair: bool | None = None):
         self.spark, self.sources, self.lenient, self.max_rows, self.max_rounds = spark, sources, lenient, max_rows, max_rounds
         self.repair = lenient if repair is None else repair
         self.transient: dict[str, DataFrame] = {}
@@ -337,9 +338,8 @@ class Runner:
     def _RepeatUnion(self, n: Node, made: dict) -> Table:  # noqa: N802
         p = n.params
         limit = int(p.get("iteration_limit", -1))
-        limit = min(self.max_rounds, limit) if limit >= 0 else self.max_rounds
         seed = self._subplan(p["seed_plan"], {})
-        out = repeat_union(seed, lambda delta: self._subplan(p["recursive_plan"], {p["transient_table"]: delta}), limit)
+        out = repeat_union(seed, lambda delta: self._subplan(p["recursive_plan"], {p["transient_table"]: delta}), limit if limit >= 0 else None, most=self.max_rounds)
         return Table(self._checked(out, "RepeatUnion"))
 
     def _subplan(self, plan: dict, transient: dict[str, DataFrame]) -> DataFrame:

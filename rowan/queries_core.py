@@ -306,7 +306,7 @@ def dag_functions(spark: SparkSession, d: str) -> DataFrame:
     return last(engine(spark, d, ["part"]), plan)
 
 
-def recursive_set(spark: SparkSession, d: str) -> DataFrame:
+def _recursive_set(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """Customers reached from customer 1 by orders that lead from one to another: set semantics, by deltas."""
     scan = {"id": "S", "op": "Scan", "params": {"source": "edges"}, "input": ["edges"], "output": "e"}
     seed = {"nodes": [scan, {"id": "F", "op": "Filter", "dependency": ["e"], "params": {"predicate": op("=", col("a"), lit(1))}, "output": "f"}, {"id": "P", "op": "Project", "dependency": ["f"], "params": {"expressions": [{"expr": col("b"), "alias": "node"}]}, "output": "p"}], "output": "p"}
@@ -318,12 +318,21 @@ def recursive_set(spark: SparkSession, d: str) -> DataFrame:
         ],
         "output": "p",
     }
-    edges = load(spark, d, "orders").select((F.col("o_custkey") % 500).alias("a"), ((F.col("o_orderkey") * 7) % 500).alias("b")).distinct()
     e = Engine(spark).register("edges", edges)
     plan = {"nodes": [{"id": "R", "op": "RepeatUnion", "dependency": [], "params": {"transient_table": "reached", "seed_plan": seed, "recursive_plan": step, "iteration_limit": -1}, "output": "answer_table"}]}
     return e.run_plan(plan)["answer_table"]
 
 
+def recursive_set(spark: SparkSession, d: str) -> DataFrame:
+    return _recursive_set(spark, load(spark, d, "orders").select((F.col("o_custkey") % 500).alias("a"), ((F.col("o_orderkey") * 7) % 500).alias("b")).distinct())
+
+
+def recursive_set_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Every customer is a node of its own, at every scale."""
+    customers = load(spark, d, "customer").agg(F.count("*").alias("n"))
+    return _recursive_set(spark, load(spark, d, "orders").crossJoin(customers).select(F.col("o_custkey").alias("a"), ((F.col("o_orderkey") * 7) % F.col("n") + 1).alias("b")).distinct())
+
+
 def batch_shared_subplan(spark: SparkSession, d: str) -> DataFrame:
     """Two answers of one batch that share their scan, filter and group."""
     steps = (("Filter", {"predicate": op(">", col("l_quantity"), lit(20))}), ("Group", {"keys": [col("l_returnflag")]}))
@@ -421,6 +430,10 @@ SELECT p_partkey, upper(p_name) AS up, length(p_name) AS n, strpos(p_name, 'e')
         recursive_set,
         "WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 500 AS a, (o_orderkey * 7) % 500 AS b FROM orders), r(node) AS (SELECT b FROM e WHERE a = 1 UNION SELECT e.b FROM r JOIN e ON e.a = r.node) SELECT node FROM r",
     ),
+    "recursive_set_whole": (
+        recursive_set_whole,
+        "WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, (o_orderkey * 7) % (SELECT count(*) FROM customer) + 1 AS b FROM orders), r(node) AS (SELECT b FROM e WHERE a = 1 UNION SELECT e.b FROM r JOIN e ON e.a = r.node) SELECT node FROM r",
+    ),
     "batch_shared_subplan": (
         batch_shared_subplan,
         "SELECT 'count' AS answer, l_returnflag, count(*) AS v FROM lineitem WHERE l_quantity > 20 GROUP BY l_returnflag UNION ALL SELECT 'line', l_returnflag, max(l_linenumber) FROM lineitem WHERE l_quantity > 20 GROUP BY l_returnflag",

@@ -209,6 +209,15 @@ def test_recursion_in_two_modes(spark):
     assert repeat_union(spark.createDataFrame([(0,)], "n int"), lambda d: d.select(F.when(F.col("n") < 30, F.col("n") + 1)).filter("n is not null or true").dropna()).count() == 31
 
 
+def test_recursion_deeper_than_a_hundred_rounds(spark):
+    step = lambda d: d.filter("n < 104").select((F.col("n") + 1).cast("int"))
+    seed = spark.createDataFrame([(0,)], "n int").coalesce(1)
+    assert repeat_union(seed, step).count() == 105
+    with pytest.raises(RuntimeError, match="still finds rows"):
+        repeat_union(seed, step, most=3)
+    assert repeat_union(seed, step, limit=3).count() == 4
+
+
 # ---------------------------------------------------------------- SQL text
 
 
