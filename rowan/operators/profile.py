@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import deque
 from difflib import SequenceMatcher
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,13 +25,22 @@ NOTHING = ("", "none", "null", "nan", "na", "n/a")
 QUESTION_WORDS = set("a an and are as at by did do does for from had has have how in is it its list many much name names of on or show than that the their there these this those to was were what when where which who whose why with".split())
 
 
+def blocks(columns: list[str]) -> list[list[str]]:
+    """The columns in blocks of MOST_COLUMNS, each of which is read at once."""
+    return [columns[i : i + MOST_COLUMNS] for i in range(0, len(columns), MOST_COLUMNS)]
+
+
 def profile_columns(df: DataFrame) -> DataFrame:
-    """One row for each column (at most MOST_COLUMNS): column, kind (empty, number, mixed, string), filled, numbers, low, high; one aggregation.
+    """One row for each column: column, kind (empty, number, mixed, string), filled, numbers, low, high; one aggregation for each MOST_COLUMNS columns.
 
     low and high are the least and the greatest value as text.
     """
+    return reduce(DataFrame.union, [_profiles(df, block) for block in blocks(df.columns)])
+
+
+def _profiles(df: DataFrame, columns: list[str]) -> DataFrame:
     packed = []
-    for c in df.columns[:MOST_COLUMNS]:
+    for c in columns:
         kind = df.schema[c].dataType.simpleString()
         text = F.col(quoted(c)).cast("string") if not kind.startswith(("array", "map", "struct", "binary")) else F.to_json(F.struct(F.col(quoted(c))))
         filled = F.when(~F.lower(F.trim(text)).isin(*NOTHING), text)
@@ -100,7 +110,7 @@ def _other_entity(a: str, b: str) -> bool:
 def join_candidates(tables: dict[str, DataFrame], keys: dict[str, set[str]] | None = None) -> list[dict]:
     """Pairs of columns of different tables that hold the same values, best first (at most MOST_CANDIDATES).
 
-    All values count. Each table is read once into distinct (column, value); a value's columns are gathered into one
+    All values count. Each table is read once (for each MOST_COLUMNS columns) into distinct (column, value); a value's columns are gathered into one
     set, no larger than the number of columns, and pairs counted from the sets, so no table is joined with another.
     score = 0.80 x mean coverage + 0.18 x likeness of names + 0.02 x key hint, and 0.35 of that for ids of different
     entities. keys: columns known as keys, by table.
@@ -108,14 +118,12 @@ def join_candidates(tables: dict[str, DataFrame], keys: dict[str, set[str]] | No
     index: list[tuple[str, str]] = []
     long = None
     for name, df in tables.items():
-        parts = []
-        for c in df.columns[:MOST_COLUMNS]:
-            if df.schema[c].dataType.simpleString().startswith(("array", "map", "struct", "binary")):
-                continue
-            parts.append(F.struct(F.lit(len(index)).alias("c"), join_value(F.col(quoted(c))).alias("v")))
-            index.append((name, c))
-        rows = df.select(F.inline(F.array(*parts))).filter("v is not null").distinct()
-        long = rows if long is None else long.union(rows)
+        plain = [c for c in df.columns if not df.schema[c].dataType.simpleString().startswith(("array", "map", "struct", "binary"))]
+        for block in blocks(plain):
+            parts = [F.struct(F.lit(len(index) + i).alias("c"), join_value(F.col(quoted(c))).alias("v")) for i, c in enumerate(block)]
+            index += [(name, c) for c in block]
+            rows = df.select(F.inline(F.array(*parts))).filter("v is not null").distinct()
+            long = rows if long is None else long.union(rows)
     if long is None:
         return []
     sets = long.groupBy("v").agg(F.array_sort(F.collect_set("c")).alias("cs"))
@@ -180,10 +188,11 @@ def value_grounding(tables: dict[str, DataFrame], question: str) -> DataFrame:
     norm = " " + re.sub(r"[^a-z0-9]+", " ", question.casefold()).strip() + " "
     out = None
     for name, df in tables.items():
-        text = [c for c, t in df.dtypes[:MOST_COLUMNS] if t == "string"]
+        text = [c for c, t in df.dtypes if t == "string"]
         if not text or not words:
             continue
-        long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.trim(quoted(c)).alias("value")) for c in text]))).filter("value is not null and value != ''").distinct()
+        parts = [df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.trim(quoted(c)).alias("value")) for c in block]))) for block in blocks(text)]
+        long = reduce(DataFrame.union, parts).filter("value is not null and value != ''").distinct()
         plain = F.trim(F.regexp_replace(F.lower("value"), "[^a-z0-9]+", " "))
         mine = F.array_distinct(F.filter(F.split(plain, " "), lambda w: (w != "") & ~w.isin(*sorted(QUESTION_WORDS)) & ((F.length(w) > 1) | w.rlike("^[0-9]$"))))
         common = F.size(F.array_intersect("words", F.array(*map(F.lit, words))))
@@ -210,7 +219,7 @@ def column_grounding(tables: dict[str, list[str]], question: str) -> list[dict]:
     names |= {w + "s" for w in names} | {w[:-1] for w in names if w.endswith("s") and len(w) > 3}
     out = []
     for t, columns in tables.items():
-        for c in columns[:MOST_COLUMNS]:
+        for c in columns:
             mine = question_words(c.replace("_", " ")) - names
             common = sorted(mine & words)
             if mine and len(common) / len(mine) >= 0.5:

@@ -43,6 +43,10 @@ def profile_columns(spark: SparkSession, d: str) -> DataFrame:
     return P.profile_columns(load(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_custkey"))
 
 
+def profile_columns_whole(spark: SparkSession, d: str) -> DataFrame:
+    return P.profile_columns(load(spark, d, "orders"))
+
+
 def join_candidates(spark: SparkSession, d: str) -> DataFrame:
     tables = {t: load(spark, d, t) for t in ("customer", "nation", "region", "orders")}
     rows = P.join_candidates(tables, {"nation": {"n_nationkey"}, "customer": {"c_custkey"}, "region": {"r_regionkey"}})
@@ -153,7 +157,7 @@ def check_average_columns(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        evidence_statistical, evidence_correlation, evidence_row_extrema, average_rank, profile_columns, join_candidates, join_paths, value_grounding, inspect_values, doc_join_pages, doc_chunk_window, doc_chunk_span,
+        evidence_statistical, evidence_correlation, evidence_row_extrema, average_rank, profile_columns, profile_columns_whole, join_candidates, join_paths, value_grounding, inspect_values, doc_join_pages, doc_chunk_window, doc_chunk_span,
         doc_chunk_page, doc_rank_chunks, doc_map_reduce, udf_group, score_em, score_rouge, score_denotation, check_relative_row, check_ranked_target, check_average_columns,
     )
 }
@@ -179,6 +183,13 @@ SELECT 'o_orderkey' AS "column", 'number' AS kind, count(*) AS filled, count(*)
 UNION ALL SELECT 'o_orderstatus', 'string', count(*), 0, min(o_orderstatus), max(o_orderstatus) FROM orders
 UNION ALL SELECT 'o_orderpriority', 'string', count(*), 0, min(o_orderpriority), max(o_orderpriority) FROM orders
 UNION ALL SELECT 'o_custkey', 'number', count(*), count(*), min(o_custkey::VARCHAR), max(o_custkey::VARCHAR) FROM orders""",
+    "profile_columns_whole": """
+SELECT 'o_orderkey' AS "column", 'number' AS kind, count(*) AS filled, count(*) AS numbers, min(o_orderkey::VARCHAR) AS low, max(o_orderkey::VARCHAR) AS high FROM orders
+UNION ALL SELECT 'o_custkey', 'number', count(*), count(*), min(o_custkey::VARCHAR), max(o_custkey::VARCHAR) FROM orders
+UNION ALL SELECT 'o_orderstatus', 'string', count(*), 0, min(o_orderstatus), max(o_orderstatus) FROM orders
+UNION ALL SELECT 'o_totalprice', 'number', count(*), count(*), min(o_totalprice::VARCHAR), max(o_totalprice::VARCHAR) FROM orders
+UNION ALL SELECT 'o_orderdate', 'string', count(*), 0, min(o_orderdate::VARCHAR), max(o_orderdate::VARCHAR) FROM orders
+UNION ALL SELECT 'o_orderpriority', 'string', count(*), 0, min(o_orderpriority), max(o_orderpriority) FROM orders""",
     "inspect_values": "SELECT o_orderpriority AS value, count(*) AS count FROM orders GROUP BY 1",
     "doc_join_pages": f"WITH {_PAGES} SELECT doc_id, string_agg(body, chr(10) || chr(10) ORDER BY page_index) AS text, CAST(count(*) AS INTEGER) AS pages, CAST(max(char_end - length(body)) AS INTEGER) AS last_start FROM placed GROUP BY doc_id",
     "doc_chunk_window": f"WITH {_WINDOWS} SELECT * FROM chunks",

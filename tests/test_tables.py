@@ -152,3 +152,11 @@ def test_sources(spark, tmp_path):
     assert sniff_delimiter("a|b|c\n1|2|3\n") == "|" and sniff_delimiter("abc") == ","
     with pytest.raises(ValueError):
         read_source(spark, "x", "exe")
+
+
+def test_wide_tables(spark):
+    wide = spark.createDataFrame([tuple(f"v{i} {j}" for i in range(60)) for j in range(3)], [f"c{i}" for i in range(60)])
+    assert [r.column for r in P.profile_columns(wide).collect()] == wide.columns
+    other = wide.select(F.col("c59").alias("last"))
+    assert {(x["left_column"], x["right_column"]) for x in P.join_candidates({"wide": wide, "other": other})} == {("c59", "last")}
+    assert [tuple(r)[:2] for r in P.value_grounding({"wide": wide}, "Where is v59 2?").filter("score = 1").collect()] == [("wide", "c59")]
