@@ -3,7 +3,43 @@
 _LABEL = "nullif(replace(replace(lower(regexp_replace({0}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')), ' ', '_'), '-', '_'), '')"
 _KEY = "nullif(lower(regexp_replace({0}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')), '')"
 
+_QUOTAS = f"""
+have AS (
+  SELECT {_LABEL.format('stratum')} AS s, count(DISTINCT {_KEY.format('case_id')}) AS n FROM wikitq_cases GROUP BY 1
+), q AS (
+  SELECT q.plan_id, q.stratum, q.quota, q.min_rows, p.requested_size AS size, coalesce(have.n, 0) AS available,
+    greatest(q.min_rows, CAST(floor(p.requested_size * q.quota / sum(q.quota) OVER (PARTITION BY q.plan_id)) AS BIGINT)) AS required
+  FROM sampling_quotas q JOIN sampling_plans p ON p.plan_id = q.plan_id LEFT JOIN have ON have.s = {_LABEL.format('q.stratum')}
+)"""
+_KEYS = f"""
+keys AS (
+  SELECT k AS case_id, min(b) AS first_batch, CAST('0x' || substr(md5(k), 1, 8) AS BIGINT) % 65536 AS bucket
+  FROM (SELECT {_KEY.format('case_id')} AS k, CAST(coalesce(batch_no, 9223372036854775807) AS BIGINT) AS b FROM wikitq_cases) WHERE k IS NOT NULL GROUP BY k
+), permuted AS (
+  SELECT plan_id, seed, requested_size AS size, bucket, row_number() OVER (PARTITION BY plan_id ORDER BY md5(seed || ':' || bucket), bucket) AS position
+  FROM sampling_plans, (SELECT unnest(range(65536)) AS bucket)
+)"""
+# the lists that hold the requested size of the keys for which the condition is true
+_LISTED = """
+SELECT plan_id, bucket, position FROM (
+  SELECT p.plan_id, p.bucket, p.position, p.size, sum(coalesce(h.held, 0)) OVER (PARTITION BY p.plan_id ORDER BY p.position) - coalesce(h.held, 0) AS before
+  FROM permuted p LEFT JOIN (SELECT bucket, count(*) AS held FROM keys WHERE {0} GROUP BY bucket) h ON h.bucket = p.bucket
+) WHERE before < size"""
+
 ORACLES: dict[str, str] = {
+    "p1_quotas": f"WITH {_QUOTAS} SELECT DISTINCT plan_id, stratum, required, available FROM q",
+    # strata share no case in these tables, so only minimum rows and what is there bind
+    "p1_totals": f"""
+WITH {_QUOTAS}, t AS (
+  SELECT plan_id, max(size) AS size, sum(least(min_rows, available)) AS lower, sum(CASE WHEN quota > 0 THEN available ELSE least(min_rows, available) END) AS most FROM q GROUP BY plan_id
+)
+SELECT plan_id, CAST(greatest(lower, least(size, most)) AS BIGINT) AS cases, CAST(greatest(lower, least(size, most)) AS BIGINT) AS rows FROM t WHERE greatest(lower, least(size, most)) > 0""",
+    "p2_stable_sample": f"""
+WITH {_KEYS}, lists AS ({_LISTED.format('first_batch = (SELECT min(first_batch) FROM keys)')})
+SELECT l.plan_id, k.case_id, CASE WHEN k.first_batch < 9223372036854775807 THEN k.first_batch END AS first_batch, l.position FROM keys k JOIN lists l ON l.bucket = k.bucket""",
+    "p2_kept_lists": f"""
+WITH {_KEYS}, lists AS ({_LISTED.format('first_batch <= 4')})
+SELECT l.plan_id, k.case_id, CASE WHEN k.first_batch < 9223372036854775807 THEN k.first_batch END AS first_batch, l.position, k.first_batch <= 4 AS opening FROM keys k JOIN lists l ON l.bucket = k.bucket""",
     "p1_found": f"""
 WITH have AS (
   SELECT {_LABEL.format('stratum')} AS s, count(DISTINCT {_KEY.format('case_id')}) AS n FROM wikitq_cases GROUP BY 1

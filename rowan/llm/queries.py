@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from rowan.llm.mixture import Mixture
 from rowan.llm.pairs import defect_report, response_defects
 from rowan.llm.quality import text_quality
 from rowan.llm.sampling import StratifiedSamples, stable_sample
+from rowan.session import ensure_checkpoint_dir
 from rowan.sources import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,11 +26,16 @@ def _samples(spark: SparkSession, d: str) -> StratifiedSamples:
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Quotas for which there are too few cases."""
-    return _samples(spark, d).report().filter("short").select("plan_id", "stratum").distinct()
+    return _samples(spark, d).report().filter("available < required").select("plan_id", "stratum").distinct()
+
+
+def p1_quotas(spark: SparkSession, d: str) -> DataFrame:
+    """Required and available cases of each quota."""
+    return _samples(spark, d).report().select("plan_id", "stratum", "required", "available")
 
 
 def p1_report(spark: SparkSession, d: str) -> DataFrame:
-    """Required, available and allotted cases of each quota."""
+    """Required, available and allotted cases of each quota, and why one falls short."""
     return _samples(spark, d).report()
 
 
@@ -37,11 +44,24 @@ def p1_sample(spark: SparkSession, d: str) -> DataFrame:
     return _samples(spark, d).draw()
 
 
+def p1_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct cases drawn for each plan, and how many rows draw them."""
+    return p1_sample(spark, d).groupBy("plan_id").agg(F.count_distinct("case_id").alias("cases"), F.count("*").alias("rows"))
+
+
 def p2_stable_sample(spark: SparkSession, d: str) -> DataFrame:
     """The cases chosen for each plan's seed, the same as batches arrive."""
     return stable_sample(load(spark, d, "wikitq_cases"), load(spark, d, "sampling_plans"))
 
 
+def p2_kept_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Lists opened on the batches up to 4 and kept in a table; the sample of all batches, and whether each case was in that of the opening."""
+    cases, plans = load(spark, d, "wikitq_cases"), load(spark, d, "sampling_plans")
+    lists = f"{ensure_checkpoint_dir(spark)}/bucket-lists-{uuid.uuid4().hex}"
+    opening = stable_sample(cases.filter("batch_no <= 4"), plans, lists=lists).select("plan_id", "case_id", F.lit(True).alias("opening"))
+    return stable_sample(cases, plans, lists=lists).join(opening, ["plan_id", "case_id"], "left").fillna(False, ["opening"])
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Texts beyond their limit, and whether they had to be cut hard."""
     return p3_pieces(spark, d).filter("cut != 'none'").select("state_id", "cut").distinct()
@@ -114,7 +134,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        p1_found, p1_report, p1_sample, p2_stable_sample, p3_found, p3_pieces, p5_found, p5_report,
+        p1_found, p1_report, p1_quotas, p1_sample, p1_totals, p2_stable_sample, p2_kept_lists, p3_found, p3_pieces, p5_found, p5_report,
         p6_found, p6_leaks, p7_found, p7_plan, p7_selection, p7_shares, p7_shares_same_text, p8_found, p8_stats,
     )
 }
