@@ -1,8 +1,10 @@
 import json
+import random
+import time
 
 import pytest
 
-from rowan.llm.pairs import DEFECTS, breaks_off, brackets, defect_of, defect_report, parse, response_defects, tiles
+from rowan.llm.pairs import DEFECTS, breaks_off, defect_of, defect_report, inner_stack, parse, response_defects, tiles
 
 Q = "Which club had the highest turnout in 1967?"
 
@@ -27,8 +29,48 @@ def test_defects(prompt, response, defect):
     assert defect_of(prompt, response) == defect
 
 
+@pytest.mark.parametrize(
+    "response, defect",
+    [
+        ("<answer>The total is 5.", "truncated"), ("The total (see the note in table 3 is 5.", "truncated"), ('He said "the total is 5.', "truncated"), ('Here is the result: {"a": [1, 2', "truncated"),
+        ("<answer>Aby Harriers", "truncated"), ('"Aby Har', "truncated"), ("Aby Harriers (4668", "truncated"), ("1) one\n2) two\n3)", "truncated"), ("«Aby» and «Bem", "truncated"),
+        ("<p>Aby won.</p><p>Bem lost.", None), ('Pipes of 5" and of 6" are used.', None), ('He said "yes". It is 5.', None), ("x < y and a > b holds in the table.", None), ("It is 5 :(", None),
+        ("Ajax won the game against Inter Milan", None), ("Red Bull Racing won the title in Austria", None), ("It was the turn", "truncated"),
+        ("I'm afraid that isn't something I do.", "refusal"), ("Desculpe, mas não posso responder a essa pergunta.", "refusal"), ("Thank you. I looked at the table. It has columns. I cannot answer that.", "refusal"),
+        ("The year could not be identified, but I cannot help noticing it is Aby.", None), ("The total is 5. It was 6 in 2004. All is fine. I cannot verify the source.", None),
+    ],
+)
+def test_what_is_left_open_and_declined(response, defect):
+    assert defect_of(Q, response) == defect
+
+
+def test_complete_sentences_without_mark():
+    assert defect_of("Wer gewann?", "Ajax gewann das Spiel") is None and defect_of("誰が勝ちましたか？", "彼は試合に勝ちました") is None
+    assert defect_of("How many towns?", "There are 3 rows, most of them from Febr") == "truncated"
+
+
+def test_repetitive_texts_take_little_time():
+    began = time.perf_counter()
+    assert defect_of(Q, " ".join([Q] * 1500)) == "copy"
+    assert tiles(["a"] * 10_000, ["a"] * 10_000, 3)[0] == [True] * 10_000
+    assert time.perf_counter() - began < 10
+
+
+def test_tiles_against_brute_force():
+    rng = random.Random(3)
+    for _ in range(200):
+        a, b = ([rng.choice("abc") for _ in range(rng.randint(0, 25))] for _ in range(2))
+        in_a, in_b = tiles(a, b, 3)
+        assert sum(in_a) == sum(in_b)
+        longest = max((k for i in range(len(a)) for j in range(len(b)) for k in range(1, min(len(a) - i, len(b) - j) + 1) if a[i : i + k] == b[j : j + k]), default=0)
+        assert sum(in_a) >= (longest if longest >= 3 else 0) and (longest >= 3 or not any(in_a))
+        free = lambda x, used, i: i + 3 <= len(x) and not any(used[i : i + 3])
+        left = {tuple(b[j : j + 3]) for j in range(len(b)) if free(b, in_b, j)}
+        assert not any(free(a, in_a, i) and tuple(a[i : i + 3]) in left for i in range(len(a)))
+
+
 def test_pushdown_parser():
-    assert brackets('{"a": [1, "b\\"') == ["{", "[", '"']
+    assert inner_stack('{"a": [1, "b\\"', True) == ["{", "[", '"']
     p = parse('```json\n{"a": 1}\n```')
     assert p.is_json and p.value == {"a": 1} and p.open == []
     assert parse("<ul><li>one</li>").open == ["<ul>"]
