@@ -17,12 +17,16 @@ from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 LINK = "array<struct<child_path:string,parent_path:string>>"
 # Fixed value: rounds of the walk before the text is asked how deep it may be.
 FIRST_LEVELS = 24
+# A text that may hold a key with a dot in it.
+DOTTED_KEY = r'\.[^".]*+"\s*+:|\\u002[eE]|\\"'
 
 
 def _holds_objects(kind: DataType) -> bool:
     """The type has an array of objects somewhere."""
     if isinstance(kind, ArrayType):
         return isinstance(kind.elementType, StructType) or _holds_objects(kind.elementType)
+    if isinstance(kind, MapType):
+        return _holds_objects(kind.valueType)
     return isinstance(kind, StructType) and any(_holds_objects(f.dataType) for f in kind)
 
 
@@ -41,6 +45,9 @@ def _links(value: Column, kind: DataType, path: Column, owner: Column) -> Column
     if isinstance(kind, StructType):
         parts = [x for f in kind if (x := _links(value[f.name], f.dataType, _under(path, f.name), owner)) is not None]
         return parts[0] if len(parts) == 1 else F.concat(*parts)
+    if isinstance(kind, MapType):  # the keys stand in the path as the names of fields do
+        entries = F.transform(F.map_entries(value), lambda e: _links(e["value"], kind.valueType, _under(path, e["key"]), owner))
+        return F.coalesce(F.flatten(entries), _none())
     element = kind.elementType
 
     def one(x: Column, i: Column) -> Column:
@@ -72,21 +79,21 @@ def json_objects(text: Column, name: str, with_object: bool = True) -> Column:
     FIRST_LEVELS rounds suffice for almost all texts; one that is deeper goes on for as many rounds as it
     has brackets, which no depth can exceed.
     """
-    doc = F.try_parse_json(text)
-    box = "path:string,owner:string,element:boolean,m:map<string,variant>,a:array<variant>"
-    todo_type = f"array<struct<{box},v:variant>>" if with_object else f"array<struct<{box}>>"
+    # casts to types without fields look at a value's kind only; a value goes from round to round as a variant, which is not copied
+    is_object = lambda v: v.try_cast("struct<>").isNotNull()
+    is_array = lambda v: v.try_cast("array<struct<>>").isNotNull()
+    todo_type = "array<struct<path:string,owner:string,element:boolean,object:boolean,v:variant>>"
     done_type = "array<struct<child_path:string,parent_path:string" + (",object:variant>>" if with_object else ">>")
 
     def boxed(path: Column, owner: Column, element: Column, v: Column) -> Column:
-        parts = [path.alias("path"), owner.alias("owner"), element.alias("element"), v.try_cast("map<string,variant>").alias("m"), v.try_cast("array<variant>").alias("a")]
-        return F.struct(*parts, *([v.alias("v")] if with_object else []))
+        return F.struct(path.alias("path"), owner.alias("owner"), element.alias("element"), is_object(v).alias("object"), v.alias("v"))
 
     def inside(f: Column) -> Column:
-        items = F.transform(f["a"], lambda x, i: boxed(_under(f["path"], i), f["owner"], F.lit(True), x))
+        held = lambda v: is_object(v) | is_array(v)
         owner = F.when(f["element"], f["path"]).otherwise(f["owner"])
-        values = F.transform(F.map_entries(f["m"]), lambda e: boxed(_under(f["path"], e["key"]), owner, F.lit(False), e["value"]))
-        none = F.array().cast(todo_type)
-        return F.filter(F.concat(F.coalesce(items, none), F.coalesce(values, none)), lambda c: c["m"].isNotNull() | c["a"].isNotNull())
+        values = F.transform(F.filter(F.map_entries(f["v"].try_cast("map<string,variant>")), lambda e: held(e["value"])), lambda e: boxed(_under(f["path"], e["key"]), owner, F.lit(False), e["value"]))
+        items = F.transform(f["v"].try_cast("array<variant>"), lambda x, i: F.when(held(x), boxed(_under(f["path"], i), f["owner"], F.lit(True), x)))
+        return F.when(f["object"], values).otherwise(F.filter(items, lambda c: c.isNotNull()))
 
     def found(f: Column) -> Column:
         parts = [f["path"].alias("child_path"), f["owner"].alias("parent_path")]
@@ -94,13 +101,14 @@ def json_objects(text: Column, name: str, with_object: bool = True) -> Column:
 
     def step(acc: Column, _: Column) -> Column:
         todo, done = acc["todo"], acc["done"]
-        seen = F.transform(F.filter(todo, lambda f: f["element"] & f["m"].isNotNull()), found)
+        seen = F.transform(F.filter(todo, lambda f: f["element"] & f["object"]), found)
         return F.when(F.size(todo) == 0, acc).otherwise(F.struct(F.flatten(F.transform(todo, inside)).cast(todo_type).alias("todo"), F.concat(done, seen).cast(done_type).alias("done")))
 
     def rounds(levels: Column, todo: Column, done: Column) -> Column:
         return F.aggregate(levels, F.struct(todo.cast(todo_type).alias("todo"), done.cast(done_type).alias("done")), step)
 
-    start = F.when(doc.isNotNull(), F.array(boxed(F.lit(name), F.lit(""), F.lit(False), doc))).otherwise(F.array().cast(todo_type))
+    # the text is parsed once: elements of an array are bound to names
+    start = F.transform(F.filter(F.array(F.try_parse_json(text)), lambda d: d.isNotNull()), lambda d: boxed(F.lit(name), F.lit(""), F.lit(False), d))
     first = rounds(F.sequence(F.lit(1), F.lit(FIRST_LEVELS)), start, F.array())
     brackets = F.length(F.regexp_replace(text, r"[^\[{]", ""))
     deeper = lambda acc: rounds(F.when(F.size(acc["todo"]) > 0, F.sequence(F.lit(1), brackets)).otherwise(F.array().cast("array<int>")), acc["todo"], acc["done"])["done"]
@@ -109,40 +117,60 @@ def json_objects(text: Column, name: str, with_object: bool = True) -> Column:
 
 
 def first_delivery(df: DataFrame, record_id: str, columns: list[str], arrived: str = "ingested_at") -> DataFrame:
-    """One row for each record id: the columns of the delivery that arrived first (of equal times, the least by hash)."""
+    """One row for each record id: the columns of the delivery that arrived first (of equal times, the least by hash).
+
+    Rows with a NULL id are records of their own, each kept.
+    """
     packed = F.struct(*columns)
-    return df.groupBy(record_id).agg(F.min_by(packed, F.struct(arrived, F.xxhash64(F.to_json(packed)))).alias("_row")).select(record_id, "_row.*")
+    own = F.when(F.col(record_id).isNull(), F.monotonically_increasing_id())
+    rows = df.select(F.col(record_id).alias("_id"), own.alias("_own"), F.struct(arrived, F.xxhash64(F.to_json(packed))).alias("_at"), packed.alias("_row"))
+    return rows.groupBy("_id", "_own").agg(F.min_by("_row", "_at").alias("_row")).select(F.col("_id").alias(record_id), "_row.*")
 
 
 def object_links(df: DataFrame, record_id: str, json: tuple[str, ...] = (), typed: tuple[str, ...] = (), single: tuple[str, ...] = ()) -> DataFrame:
     """record_id, child_path, parent_path of every nested object of every record.
 
-    json: columns of JSON text; typed: columns of arrays and structs; single: struct columns that are
-    themselves one object, without parent. NULL values, NULL elements and texts that are not valid JSON (an object
-    that repeats a key included) have no rows; NULL elements keep their position. Records that occur several
+    json: columns of JSON text; typed: columns of arrays, structs and maps; single: struct columns that are
+    themselves one object, without parent. NULL values, NULL elements and texts that are not valid JSON have no rows;
+    NULL elements keep their position. Of a key that an object repeats the last value counts. Two objects have the same path
+    only if a key holds a dot; they are one row then. Records that occur several
     times must be made one before (see first_delivery). Records with a NULL id are kept.
     """
-    links = [json_links(F.col(c), c) for c in json] + [typed_links(df, c) for c in typed]
+    if json:  # else an object that repeats a key would not be read as JSON
+        df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    links = []
+    for c in json:
+        found = json_links(F.col(c), c)
+        links.append(F.when(F.col(c).rlike(DOTTED_KEY), F.array_distinct(found)).otherwise(found) if len(json) == 1 and not typed and not single else F.array_distinct(found))
+    links += [F.array_distinct(typed_links(df, c)) if _has_maps(df.schema[c].dataType) else typed_links(df, c) for c in typed]
     links += [F.when(F.col(c).isNotNull(), F.array(F.struct(F.lit(c).alias("child_path"), F.lit("").alias("parent_path")))).otherwise(_none()) for c in single]
-    all_links = F.array_distinct(F.concat(*links)) if len(links) > 1 else F.array_distinct(links[0])
-    return df.select(F.col(record_id).alias("record_id"), F.inline(all_links))
+    return df.select(F.col(record_id).alias("record_id"), F.inline(F.concat(*links) if len(links) > 1 else links[0]))
+
+
+def _has_maps(kind: DataType) -> bool:
+    if isinstance(kind, ArrayType):
+        return _has_maps(kind.elementType)
+    return isinstance(kind, MapType) or isinstance(kind, StructType) and any(_has_maps(f.dataType) for f in kind)
+
 
+def _flat(value: Column, kind: StructType, prefix: str = "") -> dict[str, Column]:
+    """Columns of an object: scalars and arrays of scalars, fields of objects in it under joined names, maps as JSON text.
 
-def _flat(value: Column, kind: StructType, prefix: str = "") -> list[Column]:
-    """Columns of an object: scalars and arrays of scalars, fields of objects in it under joined names."""
-    out = []
+    Arrays of objects have tables of their own.
+    """
+    out: dict[str, Column] = {}
     for f in kind:
-        if _holds_objects(f.dataType) and not isinstance(f.dataType, StructType) or isinstance(f.dataType, MapType):
-            continue
         if isinstance(f.dataType, StructType):
-            out += _flat(value[f.name], f.dataType, f"{prefix}{f.name}_")
-        else:
-            out.append(value[f.name].alias(f"{prefix}{f.name}"))
+            out |= _flat(value[f.name], f.dataType, f"{prefix}{f.name}_")
+        elif isinstance(f.dataType, MapType):
+            out[f"{prefix}{f.name}"] = F.to_json(value[f.name])
+        elif not _holds_objects(f.dataType):
+            out[f"{prefix}{f.name}"] = value[f.name]
     return out
 
 
 def nested_tables(df: DataFrame, record_id: str, column: str) -> dict[str, DataFrame]:
-    """One flat table for each array of objects within a typed column, named by its path.
+    """One flat table for each array of objects within a typed column, named by its path (``values`` stands for the keys of a map).
 
     Each has record_id, path, parent_path, position (from 0), and the object's own fields (columns that clash
     with these names get the prefix ``own_``). Rules for NULLs as in object_links.
@@ -157,6 +185,16 @@ def nested_tables(df: DataFrame, record_id: str, column: str) -> dict[str, DataF
                 if _holds_objects(f.dataType):
                     visit(f.dataType, f"{name}_{f.name}", lambda g, f=f, rows=rows: rows(lambda v, p, o: g(v[f.name], _under(p, f.name), o)))
             return
+        if isinstance(kind, MapType):
+
+            def values(g: Callable) -> Column:
+                def over(v: Column, p: Column, o: Column) -> Column:
+                    return F.coalesce(F.flatten(F.transform(F.map_entries(v), lambda e: g(e["value"], _under(p, e["key"]), o))), F.array())
+
+                return rows(over)
+
+            visit(kind.valueType, f"{name}_values", values)
+            return
         element = kind.elementType
         is_object = isinstance(element, StructType)
 
@@ -169,7 +207,7 @@ def nested_tables(df: DataFrame, record_id: str, column: str) -> dict[str, DataF
         if is_object:
 
             def own(x: Column, here: Column, _: Column, i: Column, o: Column) -> Column:
-                mine = [c.alias("own_" + n) if (n := c._jc.toString().split(" AS ")[-1]) in reserved else c for c in _flat(x, element)]
+                mine = [c.alias("own_" + n if n in reserved else n) for n, c in _flat(x, element).items()]
                 return F.array(F.struct(here.alias("path"), o.alias("parent_path"), i.cast("bigint").alias("position"), *mine))
 
             tables[name] = df.select(F.col(record_id).alias("record_id"), F.inline(each(own)))
@@ -182,6 +220,7 @@ def nested_tables(df: DataFrame, record_id: str, column: str) -> dict[str, DataF
 def json_table(df: DataFrame, record_id: str, column: str, fields: dict[str, str]) -> DataFrame:
     """Objects in arrays of a JSON column as one flat table: record_id, path, parent_path, position, the given fields
     (name to type; NULL where the value has another type) and the object as JSON."""
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     rows = df.select(F.col(record_id).alias("record_id"), F.inline(json_objects(F.col(column), column)))
     values = [F.try_variant_get("object", f"$.{k}", t).alias(k) for k, t in fields.items()]
     return rows.select("record_id", F.col("child_path").alias("path"), "parent_path", F.regexp_extract("child_path", r"([0-9]+)$", 1).cast("bigint").alias("position"), *values, F.to_json("object").alias("object"))

@@ -42,7 +42,7 @@ def p4_failing_nodes(spark: SparkSession, d: str) -> DataFrame:
     """The failing node of each result, with the trace of the same node where there is one."""
     results = _results(spark, d)
     failing = results.filter("failing_node is not null").select(F.col("result_id").alias("record_id"), F.col("failing_node.id").alias("node_id"), F.col("failing_node.op").alias("op"), F.col("failing_node.output").alias("output"))
-    traces = nested_tables(results, "result_id", "traces")["traces"].groupBy("record_id", "node_id").agg(F.min("path").alias("trace_path"))
+    traces = nested_tables(results, "result_id", "traces")["traces"].groupBy("record_id", "node_id").agg(F.min_by("path", "position").alias("trace_path"))
     return failing.join(traces, ["record_id", "node_id"], "left").select("record_id", "node_id", "op", "output", "trace_path")
 
 

@@ -63,3 +63,20 @@ def test_first_delivery_and_json_table(spark):
     out = json_table(df.filter("at = 2"), "id", "j", {"op": "string", "n": "bigint", "x": "string"}).first()
     assert (out.op, out.n, out.x, out.position, json.loads(out.object)) == ("A", 1, None, 0, {"op": "A", "n": 1})
     assert df.select(json_objects(df.j, "j").alias("o")).count() == 4
+
+
+def test_dotted_and_repeated_keys(spark):
+    texts = ['{"a.b": [{}], "a": {"b": [{}]}}', '{"a": [{}, {}], "a": [{"x": 1}]}', '{"a\\u002eb": [{}], "a": {"b": [{}]}}']
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, j string")
+    got = sorted(tuple(r) for r in object_links(df, "id", json=("j",)).collect())
+    assert got == [(0, "j.a.b.0", ""), (1, "j.a.0", ""), (2, "j.a.b.0", "")]
+
+
+def test_null_ids_and_maps(spark):
+    df = spark.createDataFrame([(None, "[{}]", 1), (None, "[{}, {}]", 1), (None, "[{}]", 1)], "id int, j string, at int")
+    assert sorted(r.j for r in first_delivery(df, "id", ["j"], "at").collect()) == ["[{}, {}]", "[{}]", "[{}]"]
+    kind = "m map<string,struct<n:int,xs:array<struct<y:int,tags:map<string,int>>>>>"
+    df = spark.createDataFrame([(1, {"k": {"n": 1, "xs": [{"y": 2, "tags": {"t": 3}}, None]}, "l": None}), (2, None)], f"id int, {kind}")
+    assert [tuple(r) for r in object_links(df, "id", typed=("m",)).collect()] == [(1, "m.k.xs.0", "")]
+    table = nested_tables(df, "id", "m")["m_values_xs"]
+    assert [tuple(r) for r in table.collect()] == [(1, "m.k.xs.0", "", 0, 2, '{"t":3}')]
