@@ -9,6 +9,10 @@ apart at the edit, which another walk with other bits seldom does too; equal win
 So keys made of sampled steps of several walks always agree for equal windows, and nearly always some
 agree for near ones.
 Windows of which a key agrees are verified exactly by a banded edit distance over words.
+
+Equal windows are one: those of items are classes, each with the set of items that own it (a passage), and those of a batch of
+documents are looked up and verified once. So a passage that thousands of items share with thousands of documents is
+one row for each document; items stand in a table of members.
 """
 
 from __future__ import annotations
@@ -23,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowan.llm._arrays import code_points, mix, slices, span_hashes, spread, word_spans
+from rowan.llm._arrays import code_points, mix, powers, slices, span_hashes, spread, word_spans
+from rowan.llm.sampling import from_driver
 
 SEGMENT = 1 << 16
 BATCH_BYTES = 8 << 20
 CANDIDATES = 1 << 16
+PAIRS = 1 << 21
 
 
 def informative_steps(window: int) -> int:
@@ -123,59 +129,132 @@ def word_arrays(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return span_hashes(codes, starts, ends), np.searchsorted(starts, offsets).astype(np.int64)
 
 
+def window_hashes(words: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
+    """A 64-bit hash of the words of each window, the same wherever it stands."""
+    up, down = powers(len(words) + 1)
+    with np.errstate(over="ignore"):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * up[: len(words)])])
+        return (total[starts + window] - total[starts]) * down[starts]
+
+
 @dataclass
-class _Class:
-    """Windows of one length: where they begin, the item each is of, and tables of their keys."""
+class _Windows:
+    """The distinct windows of one length: where each begins, the passage (set of items) it is of, and what may be near it.
+
+    near: for a window of one item of which another one, one or two words away, is shared by items, the number of that shared
+    window plus 1, else 0. first: the window begins some item.
+    """
 
     window: int
-    coordinates: np.ndarray
     starts: np.ndarray
-    owner: np.ndarray
+    passage: np.ndarray
+    shared: np.ndarray
+    near: np.ndarray
+    first: np.ndarray
+
+
+@dataclass
+class _Tables:
+    """LSH tables of windows: for each key the sorted values (key, near) and the windows in that order, and a bitmap of leading bits."""
+
+    windows: _Windows
+    coordinates: np.ndarray
     keys: list[tuple[np.ndarray, np.ndarray]]
     bitmap: list[np.ndarray]
     shift: np.uint32
 
 
 class ItemIndex:
-    """LSH tables of a block of items.
+    """LSH tables of a block of items, of which those of equal words are one unit.
 
     short: sampled steps and repetitions of the windows of short_window words, which need other numbers for
     the same recall; by default those of the long ones.
     """
 
-    def __init__(self, ids: list[int], texts: list[str], window: int, short_window: int, sampled: int, repetitions: int, seed: int, walks: int = 4, short: tuple[int, int] | None = None):
+    def __init__(self, texts: list[str], window: int, short_window: int, sampled: int, repetitions: int, seed: int, walks: int = 4, short: tuple[int, int] | None = None):
         self.window, self.short_window = window, short_window
-        self.ids = np.asarray(ids, np.int64)
-        self.words, self.offsets = word_arrays(texts)
+        words, offsets = word_arrays(texts)
+        unit: dict[bytes, int] = {}
+        self.unit_of = np.array([unit.setdefault(words[i:j].tobytes(), len(unit)) for i, j in zip(offsets, offsets[1:])], np.int64)
+        kept = np.unique(self.unit_of, return_index=True)[1]
+        self.words = np.concatenate([words[offsets[i] : offsets[i + 1]] for i in kept] or [words[:0]])
+        self.offsets = np.concatenate([[0], np.cumsum(np.diff(offsets)[kept])]).astype(np.int64)
         self.keys, self.short_keys = (sampled, repetitions), short or (sampled, repetitions)
         self.seed, self.walks = seed, min(walks, repetitions, self.short_keys[1])
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "classes"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("windows", "tables", "whole")}
 
     @functools.cached_property
-    def classes(self) -> list[_Class]:
-        """The tables; each Python worker builds them once, only the items' words are sent to it."""
+    def windows(self) -> tuple[list[_Windows], list[np.ndarray]]:
+        """The distinct windows, and the units of each passage; passages 0 to units - 1 are those of one unit."""
         lengths = np.diff(self.offsets)
-        symbols, bits = self.symbols(self.words)
-        out: list[_Class] = []
-        short = (lengths >= self.short_window) & (lengths < self.window)
-        for size, mine, number in ((self.window, lengths >= self.window, self.keys), (self.short_window, short, self.short_keys)):
-            if not mine.any():
+        units = len(lengths)
+        out, passages, known = [], [np.array([u]) for u in range(units)], {}
+        for size, mine in ((self.window, lengths >= self.window), (self.short_window, (lengths >= self.short_window) & (lengths < self.window))):
+            own = np.flatnonzero(mine)
+            if not len(own):
                 continue
-            items = np.flatnonzero(mine)
-            starts = np.concatenate([np.arange(self.offsets[i], self.offsets[i + 1] - size + 1) for i in items])
-            owner = np.repeat(items, lengths[items] - size + 1)
-            coordinates = walk_coordinates(size, *number, self.seed)
+            starts = np.concatenate([np.arange(self.offsets[u], self.offsets[u + 1] - size + 1) for u in own])
+            owner = np.repeat(own, lengths[own] - size + 1)
+            _, kept, number = np.unique(window_hashes(self.words, starts, size), return_index=True, return_inverse=True)
+            span = np.arange(size)
+            if any((self.words[starts + k] != self.words[starts[kept][number] + k]).any() for k in span):  # two windows of one hash
+                _, kept, number = np.unique(self.words[starts[:, None] + span], axis=0, return_index=True, return_inverse=True)
+                number = number.ravel()
+            pairs = np.unique(number * units + owner)
+            which, unit = np.divmod(pairs, units)
+            edge = np.searchsorted(which, np.arange(len(kept) + 1))
+            passage = unit[edge[:-1]].copy()
+            shared = np.diff(edge) > 1
+            for w in np.flatnonzero(shared):
+                mine = unit[edge[w] : edge[w + 1]]
+                if (k := mine.tobytes()) not in known:
+                    known[k] = len(passages)
+                    passages.append(mine)
+                passage[w] = known[k]
+            near = np.zeros(len(kept), np.int64)
+            for step in (-2, 2, -1, 1):
+                other = np.arange(len(starts)) + step
+                there = (other >= 0) & (other < len(starts))
+                there[there] = owner[other[there]] == owner[there]
+                i = np.flatnonzero(there)
+                i = i[shared[number[i + step]] & ~shared[number[i]]]
+                near[number[i]] = number[i + step] + 1
+            first = np.zeros(len(kept), bool)
+            first[number[np.isin(starts, self.offsets[:-1])]] = True
+            out.append(_Windows(size, starts[kept], passage, shared, near, first))
+        return out, passages
+
+    @functools.cached_property
+    def tables(self) -> list[_Tables]:
+        """Each Python worker builds them once; only the items' words are sent to it."""
+        symbols, bits = self.symbols(self.words)
+        out = []
+        for w in self.windows[0]:
+            coordinates = walk_coordinates(w.window, *(self.keys if w.window == self.window else self.short_keys), self.seed)
             tables, bitmaps = [], []
-            shift = np.uint32(32 - min(22, max(12, (16 * len(starts)).bit_length())))
-            for k in walk_keys(symbols, bits, starts, size, coordinates):
-                order = np.argsort(k, kind="stable")
-                tables.append((k[order], order))
+            shift = np.uint32(32 - min(22, max(12, (16 * len(w.starts)).bit_length())))
+            for k in walk_keys(symbols, bits, w.starts, w.window, coordinates):
+                value = (k.astype(np.uint64) << np.uint64(32)) | w.near.astype(np.uint64)
+                order = np.argsort(value, kind="stable")
+                tables.append((value[order], order))
                 bitmap = np.zeros(1 << (32 - int(shift)), bool)
                 bitmap[k >> shift] = True
                 bitmaps.append(bitmap)
-            out.append(_Class(size, coordinates, starts, owner, tables, bitmaps, shift))
+            out.append(_Tables(w, coordinates, tables, bitmaps, shift))
+        return out
+
+    @functools.cached_property
+    def whole(self) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """Short units by number of words: sorted hashes and the units."""
+        lengths, out = np.diff(self.offsets), {}
+        for n in range(self.short_window, self.window):
+            units = np.flatnonzero(lengths == n)
+            if len(units):
+                h = window_hashes(self.words, self.offsets[units], n)
+                order = np.argsort(h, kind="stable")
+                out[n] = h[order], units[order]
         return out
 
     def symbols(self, words: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -185,54 +264,136 @@ class ItemIndex:
         return symbols, [b.astype(np.uint32) for b in bits] if informative_steps(self.window) <= 32 else bits
 
     def matches(self, words: np.ndarray, offsets: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, ...]]:
-        """(text, item, word position, distance, equal run) of verified windows; equal run: words in a row shared there."""
+        """(text, passage, word position, distance, exact) of verified windows."""
         symbols, bits = self.symbols(words)
         text_of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
         left = offsets[1:][text_of] - np.arange(len(words))
-        for c in self.classes:
+        for c in self.tables:
             for lo in range(0, len(words), SEGMENT):
-                starts = lo + np.flatnonzero(left[lo : lo + SEGMENT] >= c.window)
+                starts = lo + np.flatnonzero(left[lo : lo + SEGMENT] >= c.windows.window)
                 if not len(starts):
                     continue
                 # a segment's own arrays stay in the processor's cache
-                last = int(starts[-1]) + c.window
-                keys = walk_keys(symbols[lo:last], [b[lo:last] for b in bits], (starts - lo).astype(np.int32), c.window, c.coordinates)
-                pairs = []
-                for k, (table, order), bitmap in zip(keys, c.keys, c.bitmap):
-                    hit = np.flatnonzero(bitmap[k >> c.shift])
-                    a, b = np.searchsorted(table, k[hit], "left"), np.searchsorted(table, k[hit], "right")
-                    n = b - a
-                    which = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                    pairs.append(np.repeat(starts[hit], n) * len(c.starts) + order[which])
-                pairs = np.sort(np.concatenate(pairs))
-                pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])] if len(pairs) else pairs
-                for x in range(0, len(pairs), CANDIDATES):
-                    at, w = np.divmod(pairs[x : x + CANDIDATES], len(c.starts))
-                    yield from self._verified(c, words, offsets, text_of, at, w, most)
-
-    def _verified(self, c, words, offsets, text_of, at, w, most):
-        span = np.arange(c.window)[:, None]
-        a, b = words[at + span], self.words[c.starts[w] + span]
-        near = np.flatnonzero(may_be_near(a, b, most))
-        distance = banded_distance(a[:, near], b[:, near], most)
-        keep = near[distance <= most]
-        at, w, distance = at[keep], w[keep], distance[distance <= most]
-        if not len(at):
+                last = int(starts[-1]) + c.windows.window
+                keys = walk_keys(symbols[lo:last], [b[lo:last] for b in bits], (starts - lo).astype(np.int32), c.windows.window, c.coordinates)
+                for at, passage, distance, is_first in self._segment(c, words[lo:last], starts - lo, keys, most):
+                    at = at + lo
+                    exact = (distance == 0) & (c.windows.window == self.window)
+                    yield text_of[at], passage, at - offsets[text_of[at]], distance, exact
+                    if c.windows.window < self.window and is_first.any():
+                        yield from self._whole_units(np.unique(at[is_first]), words, offsets, text_of, left)
+
+    def _whole_units(self, at, words, offsets, text_of, left):
+        """Short units of which all words stand at these positions."""
+        for n, (hashes, units) in self.whole.items():
+            here = at[left[at] >= n]
+            if not len(here):
+                continue
+            base = int(here[0])
+            h = window_hashes(words[base : int(here[-1]) + n], here - base, n)
+            i = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            same = hashes[i] == h
+            here, unit = here[same], units[i[same]]
+            same = np.ones(len(here), bool)
+            for k in range(n):
+                same &= words[here + k] == self.words[self.offsets[unit] + k]
+            here, unit = here[same], unit[same]
+            yield text_of[here], unit, here - offsets[text_of[here]], np.zeros(len(here), np.int8), np.ones(len(here), bool)
+
+    def _segment(self, c: _Tables, words: np.ndarray, starts: np.ndarray, keys: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """(position, passage, distance, whether a window that begins an item is there) of one segment of words.
+
+        Windows of items next to a shared one (near > 0) come last, and not where the document has that shared window itself at hand: its
+        items are found by it, word for word.
+        """
+        seen = np.zeros(len(starts), bool)
+        for k, bitmap in zip(keys, c.bitmap):
+            seen |= bitmap[k >> c.shift]
+        hits = np.flatnonzero(seen)
+        if not len(hits):
+            return
+        content = window_hashes(words, starts[hits], c.windows.window)
+        _, kept, back = np.unique(content, return_index=True, return_inverse=True)
+        found = list(self._verified(c, words, starts, keys, hits[kept], None, most))
+        if found:
+            yield self._placed(c, found, starts[hits], back)
+        if not c.windows.near.any():
             return
-        text, item = text_of[at], c.owner[w]
-        # words in a row around the window that are equal in both texts
-        run = np.where(distance == 0, c.window, 0)
-        room = np.minimum(offsets[text + 1] - at, self.offsets[item + 1] - c.starts[w]) - c.window
-        back = np.minimum(at - offsets[text], c.starts[w] - self.offsets[item])
-        for limit, step, first in ((room, 1, c.window), (back, -1, -1)):
-            alive = np.flatnonzero(distance == 0)
-            for k in range(max(0, self.window - c.window)):
-                alive = alive[limit[alive] > k]
-                alive = alive[words[at[alive] + first + step * k] == self.words[c.starts[w[alive]] + first + step * k]]
-                if not len(alive):
-                    break
-                run[alive] += 1
-        yield text, item, at - offsets[text], distance, run
+        shared_at = np.zeros(len(words) + 1, np.int64)
+        for rep, w, distance in found:
+            shared = (distance == 0) & c.windows.shared[w]
+            name = np.zeros(len(kept), np.int64)
+            name[rep[shared]] = w[shared] + 1
+            here = name[back]
+            shared_at[starts[hits[here > 0]]] = here[here > 0]
+        skip = np.zeros(len(hits), np.int64)
+        for step in (4, -4, 3, -3, 2, -2, 1, -1, 0):
+            other = shared_at[np.clip(starts[hits] + step, 0, len(words))]
+            skip = np.where(other > 0, other, skip)
+        both = np.unique(np.stack([content, skip.astype(np.uint64)], 1), axis=0, return_index=True, return_inverse=True)
+        kept, back = both[1], both[2].ravel()
+        found = list(self._verified(c, words, starts, keys, hits[kept], skip[kept], most))
+        if found:
+            yield self._placed(c, found, starts[hits], back)
+
+    def _placed(self, c, found, positions, back):
+        """Results of representatives, by passage, at all positions with the same words."""
+        rep, w, distance = (np.concatenate(x) for x in zip(*found))
+        passages = len(self.windows[1])
+        pair, where = np.unique(rep * passages + c.windows.passage[w], return_inverse=True)
+        least = np.full(len(pair), 127, np.int8)
+        np.minimum.at(least, where, distance)
+        first = np.zeros(len(pair), bool)
+        np.logical_or.at(first, where, c.windows.first[w] & (distance == 0))
+        rep, passage = np.divmod(pair, passages)
+        order = np.argsort(back, kind="stable")
+        edge = np.searchsorted(back[order], np.arange(int(back.max()) + 2))
+        n = edge[rep + 1] - edge[rep]
+        take = np.repeat(edge[rep] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        return positions[order[take]], np.repeat(passage, n), np.repeat(least, n), np.repeat(first, n)
+
+    def _verified(self, c: _Tables, words, starts, keys, reps, skip, most) -> Iterator[tuple[np.ndarray, ...]]:
+        """(representative, window, distance) of pairs of which a key agrees and the distance is at most ``most``.
+
+        Without skip the windows that are near nothing shared; with it the others, but for those near the shared window named.
+        """
+        one, bits = np.uint64(1), np.uint64(32)
+        ranges = []
+        for k, (table, _), bitmap in zip(keys, c.keys, c.bitmap):
+            value = k[reps].astype(np.uint64) << bits
+            on = np.flatnonzero(bitmap[k[reps] >> c.shift])
+            if skip is None:
+                parts = [(value, value | one)]
+            else:
+                name = skip.astype(np.uint64)
+                parts = [(value | one, value | np.maximum(name, one)), (np.where(name > 0, value | (name + one), value | one), value + (one << bits))]
+                parts[0] = (parts[0][0], np.where(name > 0, parts[0][1], parts[0][0]))
+            for lo, hi in parts:
+                a, b = np.zeros(len(reps), np.int64), np.zeros(len(reps), np.int64)
+                a[on], b[on] = np.searchsorted(table, lo[on], "left"), np.searchsorted(table, hi[on], "left")
+                ranges.append((a, b))
+        number = np.sum([b - a for a, b in ranges], axis=0)
+        chunk = np.cumsum(number) // PAIRS  # a bounded number of pairs at a time
+        total = len(c.windows.starts)
+        for at in np.unique(chunk[number > 0]):
+            mine = np.flatnonzero((chunk == at) & (number > 0))
+            pairs = []
+            for r, (a, b) in enumerate(ranges):
+                order = c.keys[r if skip is None else r // 2][1]
+                n = b[mine] - a[mine]
+                which = np.repeat(a[mine] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                pairs.append(np.repeat(mine, n) * total + order[which])
+            pairs = np.sort(np.concatenate(pairs))
+            pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])] if len(pairs) else pairs
+            span = np.arange(c.windows.window)[:, None]
+            for x in range(0, len(pairs), CANDIDATES):
+                rep, w = np.divmod(pairs[x : x + CANDIDATES], total)
+                a, b = words[starts[reps[rep]] + span], self.words[c.windows.starts[w] + span]
+                near = np.flatnonzero(may_be_near(a, b, most))
+                distance = banded_distance(a[:, near], b[:, near], most)
+                keep = distance <= most
+                if keep.any():
+                    yield rep[near[keep]], w[near[keep]], distance[keep]
 
 
 def repetitions_for(recall: float, window: int, sampled: int, hamming: int) -> int:
@@ -242,6 +403,26 @@ def repetitions_for(recall: float, window: int, sampled: int, hamming: int) -> i
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - p)))
 
 
+@dataclass
+class Leaks:
+    """What was found: passages in documents, and the items that hold each passage.
+
+    passages: doc_id, passage, items (how many hold it), exact, edits, windows, first_word. members: passage, item_id, item_words.
+    """
+
+    passages: DataFrame
+    members: DataFrame
+    doc_id: str
+    item_id: str
+
+    def pairs(self) -> DataFrame:
+        """One row for each document and item: doc_id, item_id, item_words, exact, edits, windows, first_word."""
+        rows = self.passages.drop("items").join(self.members, "passage")
+        return rows.groupBy(self.doc_id, self.item_id).agg(
+            F.max("item_words").alias("item_words"), F.max("exact").alias("exact"), F.min("edits").alias("edits"), F.sum("windows").alias("windows"), F.min("first_word").alias("first_word")
+        )
+
+
 def leaked_passages(
     documents: DataFrame,
     items: DataFrame,
@@ -260,26 +441,28 @@ def leaked_passages(
     short_hamming: int = 5,
     seed: int = 20260619,
     block_chars: int = 2_000_000,
-) -> DataFrame:
-    """Documents that hold passages of items: one row for each document and item.
+) -> Leaks:
+    """Passages of items that stand in documents: one row for each document and passage, and the passages' members.
 
-    Columns: doc_id, item_id, item_words, exact (the document and the item share ``window`` words in a
-    row, or, for an item of fewer words, all of its words in a row), edits (least edit distance in words
-    of a window of the item to one of the document, 0 to most_edits), windows (number of pairs of windows
+    A passage is a set of items that share windows: most are of one item, or of items of equal text. Columns: exact (the document and
+    the items share ``window`` words in a row, or, for an item of fewer words, all of its words in a row), edits (least edit distance in words
+    of a window of the items to one of the document, 0 to most_edits), windows (number of windows of the document in which it was
     found), first_word (position in the document of the first).
 
     Items are the stated query set: they are read on the driver in blocks of block_chars characters, and
     each block's tables are searched by one pass over the documents; nothing of the documents leaves the
     executors. exact has full recall; windows with edits are found with the probability ``recall`` if their
     walks differ in at most ``hamming`` steps (for windows of ``short_window`` words, whose keys have
-    short_sampled steps and repetitions of their own, short_hamming). A NULL text or item, or one of fewer than ``short_window``
-    words, has no rows; equal items each have their own. Rows repeated in the input do not repeat the result,
+    short_sampled steps and repetitions of their own, short_hamming). Where a document holds a window that items share word for word, these
+    items' windows one or two words further are not compared with it again. A NULL text or item, or one of fewer than ``short_window``
+    words, has no rows; equal items are members of the same passages. Rows repeated in the input do not repeat the result,
     an item_id with several texts is one item with all of them. Other columns are not looked at.
     """
     spark = documents.sparkSession
     repetitions = repetitions_for(recall, window, sampled, hamming)
     short = short_sampled, repetitions_for(recall, short_window, short_sampled, short_hamming)
-    schema = f"{doc_id} {dict(documents.dtypes)[doc_id]}, item bigint, exact boolean, edits int, windows bigint, first_word bigint"
+    doc_kind, item_kind = dict(documents.dtypes)[doc_id], dict(items.dtypes)[item_id]
+    schema = f"{doc_id} {doc_kind}, passage bigint, exact boolean, edits int, windows bigint, first_word bigint"
     docs = spread(documents.select(doc_id, text).filter(F.col(text).isNotNull()))
 
     def blocks() -> Iterator[tuple[list, list[str]]]:
@@ -296,43 +479,46 @@ def leaked_passages(
         if texts:
             yield ids, texts
 
-    def search(shared):
+    def search(shared, block: int):
         def run(batches):
             index = shared.value
-            lengths = np.diff(index.offsets)
+            passages = len(index.windows[1])
             for whole in batches:
                 for batch in slices(whole, text, BATCH_BYTES):
-                    names = batch.column(0)
                     words, offsets = word_arrays(batch.column(1).to_pylist())
                     found = list(index.matches(words, offsets, most_edits))
                     if not found:
                         continue
-                    doc, item, at, distance, equal = (np.concatenate(x) for x in zip(*found))
-                    pair, where = np.unique(doc * len(lengths) + item, return_inverse=True)
+                    doc, passage, at, distance, exact = (np.concatenate(x) for x in zip(*found))
+                    pair, where = np.unique(doc * passages + passage, return_inverse=True)
                     edits = np.full(len(pair), most_edits + 1, np.int32)
                     np.minimum.at(edits, where, distance.astype(np.int32))
-                    longest, first = np.zeros(len(pair), np.int64), np.full(len(pair), np.iinfo(np.int64).max)
-                    np.maximum.at(longest, where, equal)
+                    whole_match, first = np.zeros(len(pair), bool), np.full(len(pair), np.iinfo(np.int64).max)
+                    np.logical_or.at(whole_match, where, exact)
                     np.minimum.at(first, where, at)
-                    d, i = np.divmod(pair, len(lengths))
+                    d, p = np.divmod(pair, passages)
                     yield pa.RecordBatch.from_arrays(
-                        [names.take(pa.array(d)), pa.array(i), pa.array(longest >= np.minimum(lengths[i], window)), pa.array(edits), pa.array(np.bincount(where, minlength=len(pair)).astype(np.int64)), pa.array(first)],
-                        names=[doc_id, "item", "exact", "edits", "windows", "first_word"],
+                        [batch.column(0).take(pa.array(d)), pa.array(p + (block << 32)), pa.array(whole_match), pa.array(edits), pa.array(np.bincount(where, minlength=len(pair)).astype(np.int64)), pa.array(first)],
+                        names=[doc_id, "passage", "exact", "edits", "windows", "first_word"],
                     )
 
         return docs.mapInArrow(run, schema)
 
-    out = None
-    for ids, texts in blocks():
-        number = {x: n for n, x in enumerate(dict.fromkeys(ids))}
-        index = ItemIndex([number[x] for x in ids], texts, window, short_window, sampled, repetitions, seed, walks, short)
-        found = search(spark.sparkContext.broadcast(index))
-        names = spark.createDataFrame([(n, ids[n], int(k)) for n, k in enumerate(np.diff(index.offsets))], f"item bigint, {item_id} {dict(items.dtypes)[item_id]}, item_words bigint")
-        found = found.join(names, "item").drop("item")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        kinds = dict(documents.dtypes)[doc_id], dict(items.dtypes)[item_id]
-        return spark.createDataFrame([], f"{doc_id} {kinds[0]}, {item_id} {kinds[1]}, item_words bigint, exact boolean, edits int, windows bigint, first_word bigint")
-    return out.groupBy(doc_id, item_id).agg(
-        F.max("item_words").alias("item_words"), F.max("exact").alias("exact"), F.min("edits").alias("edits"), F.max("windows").alias("windows"), F.min("first_word").alias("first_word")
-    )
+    found, members = [], []
+    for block, (ids, texts) in enumerate(blocks()):
+        index = ItemIndex(texts, window, short_window, sampled, repetitions, seed, walks, short)
+        found.append(search(spark.sparkContext.broadcast(index), block))
+        lengths = np.diff(index.offsets)
+        of_unit: list[list[int]] = [[] for _ in lengths]
+        for i, u in enumerate(index.unit_of):
+            of_unit[u].append(i)
+        passages = index.windows[1]
+        rows = [((block << 32) + p, ids[i], int(lengths[u])) for p, units in enumerate(passages) for u in units if lengths[u] >= short_window for i in of_unit[u]]
+        members.append(from_driver(items, rows, f"passage bigint, {item_id} {item_kind}, item_words bigint"))
+    if not found:
+        return Leaks(spark.createDataFrame([], schema.replace("passage bigint", "passage bigint, items bigint")), spark.createDataFrame([], f"passage bigint, {item_id} {item_kind}, item_words bigint"), doc_id, item_id)
+    rows = functools.reduce(DataFrame.unionByName, found)
+    rows = rows.groupBy(doc_id, "passage").agg(F.max("exact").alias("exact"), F.min("edits").alias("edits"), F.max("windows").alias("windows"), F.min("first_word").alias("first_word"))
+    every = functools.reduce(DataFrame.unionByName, members)
+    sizes = every.groupBy("passage").agg(F.count_distinct(item_id).alias("items"))
+    return Leaks(rows.join(sizes, "passage").select(doc_id, "passage", "items", "exact", "edits", "windows", "first_word"), every, doc_id, item_id)

@@ -26,6 +26,22 @@ SELECT plan_id, bucket, position FROM (
   FROM permuted p LEFT JOIN (SELECT bucket, count(*) AS held FROM keys WHERE {0} GROUP BY bucket) h ON h.bucket = p.bucket
 ) WHERE before < size"""
 
+_SHARED = """
+WITH i AS (
+  SELECT item_id, regexp_extract_all(lower(item_text), '[\\p{L}\\p{N}]+') AS w FROM heldout_items
+), i2 AS (
+  SELECT item_id, w, CASE WHEN len(w) >= 12 THEN 12 ELSE len(w) END AS n FROM i WHERE len(w) >= 8
+), ig AS (
+  SELECT DISTINCT item_id, n, array_to_string(list_slice(w, k, k + n - 1), ' ') AS g
+  FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM i2)
+), d AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents
+), dg AS (
+  SELECT doc_id, n, array_to_string(list_slice(w, k, k + n - 1), ' ') AS g
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT unnest([8, 9, 10, 11, 12]) AS n) WHERE len(w) >= n)
+)
+SELECT DISTINCT dg.doc_id, ig.item_id FROM dg JOIN ig ON ig.n = dg.n AND ig.g = dg.g"""
+
 ORACLES: dict[str, str] = {
     "p1_quotas": f"WITH {_QUOTAS} SELECT DISTINCT plan_id, stratum, required, available FROM q",
     # strata share no case in these tables, so only minimum rows and what is there bind
@@ -54,21 +70,8 @@ SELECT DISTINCT s.state_id,
   CASE WHEN list_max(list_transform(string_split_regex(s.chunk_text, '[\\s\\p{Z}.!?。！？]'), lambda x: length(x))) > p.max_chunk_size THEN 'hard' ELSE 'soft' END AS cut
 FROM sandbox_states s JOIN chunk_policies p ON p.policy_id = s.policy_id
 WHERE length(s.chunk_text) > p.max_chunk_size""",
-    "p6_found": """
-WITH i AS (
-  SELECT item_id, regexp_extract_all(lower(item_text), '[\\p{L}\\p{N}]+') AS w FROM heldout_items
-), i2 AS (
-  SELECT item_id, w, CASE WHEN len(w) >= 12 THEN 12 ELSE len(w) END AS n FROM i WHERE len(w) >= 8
-), ig AS (
-  SELECT DISTINCT item_id, n, array_to_string(list_slice(w, k, k + n - 1), ' ') AS g
-  FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM i2)
-), d AS (
-  SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents
-), dg AS (
-  SELECT doc_id, n, array_to_string(list_slice(w, k, k + n - 1), ' ') AS g
-  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT unnest([8, 9, 10, 11, 12]) AS n) WHERE len(w) >= n)
-)
-SELECT DISTINCT dg.doc_id, ig.item_id FROM dg JOIN ig ON ig.n = dg.n AND ig.g = dg.g""",
+    "p6_found": _SHARED,
+    "p6_items": f"SELECT item_id, count(*) AS documents FROM ({_SHARED}) GROUP BY item_id",
     "p7_found": f"""
 WITH size AS (
   SELECT {_LABEL.format('source')} AS s, sum(len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s\\p{{Z}}]+'))) AS tokens FROM documents GROUP BY 1

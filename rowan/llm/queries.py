@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowan.llm.chunks import split_oversized
-from rowan.llm.leakage import leaked_passages
+from rowan.llm.leakage import Leaks, leaked_passages
 from rowan.llm.mixture import Mixture
 from rowan.llm.pairs import defect_report, response_defects
 from rowan.llm.quality import text_quality
@@ -82,14 +82,30 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return defect_report(load(spark, d, "builder_results"))
 
 
-def p6_leaks(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that hold passages of held-out items, also with up to two words changed."""
+def _leaks(spark: SparkSession, d: str) -> Leaks:
     return leaked_passages(load(spark, d, "documents"), load(spark, d, "heldout_items"))
 
 
+def p6_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Passages of held-out items in documents, also with up to two words changed, and how many items hold each."""
+    return _leaks(spark, d).passages
+
+
+def p6_members(spark: SparkSession, d: str) -> DataFrame:
+    """The items that hold each passage that leaked."""
+    leaks = _leaks(spark, d)
+    return leaks.members.join(leaks.passages.select("passage").distinct(), "passage", "left_semi")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that share a passage with a held-out item word for word."""
-    return p6_leaks(spark, d).filter("exact").select("doc_id", "item_id")
+    leaks = _leaks(spark, d)
+    return leaks.passages.filter("exact").select("doc_id", "passage").join(leaks.members, "passage").select("doc_id", "item_id").distinct()
+
+
+def p6_items(spark: SparkSession, d: str) -> DataFrame:
+    """The items that leaked word for word, and into how many documents."""
+    return p6_found(spark, d).groupBy("item_id").agg(F.count("*").alias("documents"))
 
 
 def _mixture(spark: SparkSession, d: str, **options) -> Mixture:
@@ -135,6 +151,6 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         p1_found, p1_report, p1_quotas, p1_sample, p1_totals, p2_stable_sample, p2_kept_lists, p3_found, p3_pieces, p5_found, p5_report,
-        p6_found, p6_leaks, p7_found, p7_plan, p7_selection, p7_shares, p7_shares_same_text, p8_found, p8_stats,
+        p6_found, p6_leaks, p6_members, p6_items, p7_found, p7_plan, p7_selection, p7_shares, p7_shares_same_text, p8_found, p8_stats,
     )
 }
