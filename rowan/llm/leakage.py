@@ -141,8 +141,8 @@ def window_hashes(words: np.ndarray, starts: np.ndarray, window: int) -> np.ndar
 class _Windows:
     """The distinct windows of one length: where each begins, the passage (set of items) it is of, and what may be near it.
 
-    near: for a window of one item of which another one, one or two words away, is shared by items, the number of that shared
-    window plus 1, else 0. first: the window begins some item.
+    near: for a window of one item of which another one, at most half a window away, is shared by items, the number of the nearest
+    such window plus 1, else 0. first: the window begins some item.
     """
 
     window: int
@@ -214,7 +214,7 @@ class ItemIndex:
                     passages.append(mine)
                 passage[w] = known[k]
             near = np.zeros(len(kept), np.int64)
-            for step in (-2, 2, -1, 1):
+            for step in sorted(range(-(size // 2), size // 2 + 1), key=abs, reverse=True)[:-1]:
                 other = np.arange(len(starts)) + step
                 there = (other >= 0) & (other < len(starts))
                 there[there] = owner[other[there]] == owner[there]
@@ -276,7 +276,7 @@ class ItemIndex:
                 # a segment's own arrays stay in the processor's cache
                 last = int(starts[-1]) + c.windows.window
                 keys = walk_keys(symbols[lo:last], [b[lo:last] for b in bits], (starts - lo).astype(np.int32), c.windows.window, c.coordinates)
-                for at, passage, distance, is_first in self._segment(c, words[lo:last], starts - lo, keys, most):
+                for at, passage, distance, is_first in self._segment(c, words[lo:last], text_of[lo:last], starts - lo, keys, most):
                     at = at + lo
                     exact = (distance == 0) & (c.windows.window == self.window)
                     yield text_of[at], passage, at - offsets[text_of[at]], distance, exact
@@ -300,7 +300,7 @@ class ItemIndex:
             here, unit = here[same], unit[same]
             yield text_of[here], unit, here - offsets[text_of[here]], np.zeros(len(here), np.int8), np.ones(len(here), bool)
 
-    def _segment(self, c: _Tables, words: np.ndarray, starts: np.ndarray, keys: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, ...]]:
+    def _segment(self, c: _Tables, words: np.ndarray, texts: np.ndarray, starts: np.ndarray, keys: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, ...]]:
         """(position, passage, distance, whether a window that begins an item is there) of one segment of words.
 
         Windows of items next to a shared one (near > 0) come last, and not where the document has that shared window itself at hand: its
@@ -319,7 +319,7 @@ class ItemIndex:
             yield self._placed(c, found, starts[hits], back)
         if not c.windows.near.any():
             return
-        shared_at = np.zeros(len(words) + 1, np.int64)
+        shared_at = np.zeros(len(words), np.int64)
         for rep, w, distance in found:
             shared = (distance == 0) & c.windows.shared[w]
             name = np.zeros(len(kept), np.int64)
@@ -327,9 +327,10 @@ class ItemIndex:
             here = name[back]
             shared_at[starts[hits[here > 0]]] = here[here > 0]
         skip = np.zeros(len(hits), np.int64)
-        for step in (4, -4, 3, -3, 2, -2, 1, -1, 0):
-            other = shared_at[np.clip(starts[hits] + step, 0, len(words))]
-            skip = np.where(other > 0, other, skip)
+        reach = c.windows.window // 2 + most
+        for step in sorted(range(-reach, reach + 1), key=abs, reverse=True):
+            other = np.clip(starts[hits] + step, 0, len(words) - 1)
+            skip = np.where((shared_at[other] > 0) & (texts[other] == texts[starts[hits]]), shared_at[other], skip)
         both = np.unique(np.stack([content, skip.astype(np.uint64)], 1), axis=0, return_index=True, return_inverse=True)
         kept, back = both[1], both[2].ravel()
         found = list(self._verified(c, words, starts, keys, hits[kept], skip[kept], most))
@@ -454,7 +455,7 @@ def leaked_passages(
     executors. exact has full recall; windows with edits are found with the probability ``recall`` if their
     walks differ in at most ``hamming`` steps (for windows of ``short_window`` words, whose keys have
     short_sampled steps and repetitions of their own, short_hamming). Where a document holds a window that items share word for word, these
-    items' windows one or two words further are not compared with it again. A NULL text or item, or one of fewer than ``short_window``
+    items' windows within half a window of it are not compared with the words there again. A NULL text or item, or one of fewer than ``short_window``
     words, has no rows; equal items are members of the same passages. Rows repeated in the input do not repeat the result,
     an item_id with several texts is one item with all of them. Other columns are not looked at.
     """

@@ -113,3 +113,8 @@ def test_passages_that_many_items_share(spark):
     assert {(r.doc_id, r.item_id) for r in leaks.pairs().filter("exact").collect()} == want
     near = {r.item_id: r.edits for r in leaks.pairs().filter("doc_id = 103").collect()}
     assert len([j for j in near if near[j] in (1, 2)]) >= 0.9 * 121
+    # a shared passage at the end of one document says nothing about the next one
+    ends = [" ".join(fresh(5) + shared), " ".join(shared[:3] + ["new"] + shared[4:] + fresh(5))] * 2
+    d = spark.createDataFrame(list(enumerate(ends)), "doc_id bigint, text string").coalesce(1)
+    got = leaked_passages(d, q).pairs().filter("doc_id in (1, 3)").groupBy("doc_id").count().collect()
+    assert len(got) == 2 and all(r["count"] >= 0.9 * 121 for r in got)
