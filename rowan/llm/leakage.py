@@ -306,36 +306,66 @@ class ItemIndex:
         Windows of items next to a shared one (near > 0) come last, and not where the document has that shared window itself at hand: its
         items are found by it, word for word.
         """
+        met = []
         seen = np.zeros(len(starts), bool)
-        for k, bitmap in zip(keys, c.bitmap):
-            seen |= bitmap[k >> c.shift]
+        for k, (table, _), bitmap in zip(keys, c.keys, c.bitmap):
+            on = np.flatnonzero(bitmap[k >> c.shift])
+            a = np.searchsorted(table, k[on].astype(np.uint64) << np.uint64(32), "left")
+            here = (table[np.minimum(a, len(table) - 1)] >> np.uint64(32)).astype(np.uint32) == k[on]
+            here &= a < len(table)
+            met.append(on[here])
+            seen[on[here]] = True
         hits = np.flatnonzero(seen)
         if not len(hits):
             return
         content = window_hashes(words, starts[hits], c.windows.window)
         _, kept, back = np.unique(content, return_index=True, return_inverse=True)
-        found = list(self._verified(c, words, starts, keys, hits[kept], None, most))
+        reps = hits[kept]
+        bounds = [self._bounds(k[reps], table, np.isin(reps, m, assume_unique=True)) for k, (table, _), m in zip(keys, c.keys, met)]
+        found = list(self._verified(c, words, starts, reps, [(r, a, m) for r, (a, m, _) in enumerate(bounds)], most))
         if found:
             yield self._placed(c, found, starts[hits], back)
-        if not c.windows.near.any():
+        some = np.zeros(len(reps), bool)
+        for _, m, b in bounds:
+            some |= b > m
+        left = np.flatnonzero(some[back])
+        if not len(left):
             return
-        shared_at = np.zeros(len(words), np.int64)
+        name = np.zeros(len(reps), np.int64)
         for rep, w, distance in found:
             shared = (distance == 0) & c.windows.shared[w]
-            name = np.zeros(len(kept), np.int64)
             name[rep[shared]] = w[shared] + 1
-            here = name[back]
-            shared_at[starts[hits[here > 0]]] = here[here > 0]
-        skip = np.zeros(len(hits), np.int64)
+        here = name[back]
+        shared_at = np.zeros(len(words), np.int64)
+        shared_at[starts[hits[here > 0]]] = here[here > 0]
+        at = starts[hits[left]]
+        skip = np.zeros(len(left), np.int64)
         reach = c.windows.window // 2 + most
         for step in sorted(range(-reach, reach + 1), key=abs, reverse=True):
-            other = np.clip(starts[hits] + step, 0, len(words) - 1)
-            skip = np.where((shared_at[other] > 0) & (texts[other] == texts[starts[hits]]), shared_at[other], skip)
-        both = np.unique(np.stack([content, skip.astype(np.uint64)], 1), axis=0, return_index=True, return_inverse=True)
-        kept, back = both[1], both[2].ravel()
-        found = list(self._verified(c, words, starts, keys, hits[kept], skip[kept], most))
+            other = np.clip(at + step, 0, len(words) - 1)
+            skip = np.where((shared_at[other] > 0) & (texts[other] == texts[at]), shared_at[other], skip)
+        pair, kept, again = np.unique(back[left] * (len(c.windows.starts) + 1) + skip, return_index=True, return_inverse=True)
+        of, skip = back[left][kept], skip[kept].astype(np.uint64)
+        ranges = []
+        for r, (k, (table, _), (_, m, b)) in enumerate(zip(keys, c.keys, bounds)):
+            m, b = m[of], b[of]
+            value = k[reps[of]].astype(np.uint64) << np.uint64(32)
+            x, y = m.copy(), m.copy()
+            on = np.flatnonzero((skip > 0) & (b > m))
+            x[on], y[on] = np.searchsorted(table, value[on] | skip[on], "left"), np.searchsorted(table, value[on] | (skip[on] + np.uint64(1)), "left")
+            ranges += [(r, m, x), (r, y, b)]
+        found = list(self._verified(c, words, starts, reps[of], ranges, most))
         if found:
-            yield self._placed(c, found, starts[hits], back)
+            yield self._placed(c, found, at, again)
+
+    @staticmethod
+    def _bounds(keys: np.ndarray, table: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Where the windows of each key begin in a table, where those begin that are near a shared one, and where they end."""
+        value, on = keys.astype(np.uint64) << np.uint64(32), np.flatnonzero(held)
+        out = tuple(np.zeros(len(keys), np.int64) for _ in range(3))
+        for side, more in zip(out, (0, 1, 1 << 32)):
+            side[on] = np.searchsorted(table, value[on] + np.uint64(more), "left")
+        return out
 
     def _placed(self, c, found, positions, back):
         """Results of representatives, by passage, at all positions with the same words."""
@@ -353,34 +383,16 @@ class ItemIndex:
         take = np.repeat(edge[rep] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         return positions[order[take]], np.repeat(passage, n), np.repeat(least, n), np.repeat(first, n)
 
-    def _verified(self, c: _Tables, words, starts, keys, reps, skip, most) -> Iterator[tuple[np.ndarray, ...]]:
-        """(representative, window, distance) of pairs of which a key agrees and the distance is at most ``most``.
-
-        Without skip the windows that are near nothing shared; with it the others, but for those near the shared window named.
-        """
-        one, bits = np.uint64(1), np.uint64(32)
-        ranges = []
-        for k, (table, _), bitmap in zip(keys, c.keys, c.bitmap):
-            value = k[reps].astype(np.uint64) << bits
-            on = np.flatnonzero(bitmap[k[reps] >> c.shift])
-            if skip is None:
-                parts = [(value, value | one)]
-            else:
-                name = skip.astype(np.uint64)
-                parts = [(value | one, value | np.maximum(name, one)), (np.where(name > 0, value | (name + one), value | one), value + (one << bits))]
-                parts[0] = (parts[0][0], np.where(name > 0, parts[0][1], parts[0][0]))
-            for lo, hi in parts:
-                a, b = np.zeros(len(reps), np.int64), np.zeros(len(reps), np.int64)
-                a[on], b[on] = np.searchsorted(table, lo[on], "left"), np.searchsorted(table, hi[on], "left")
-                ranges.append((a, b))
-        number = np.sum([b - a for a, b in ranges], axis=0)
+    def _verified(self, c: _Tables, words, starts, reps, ranges, most) -> Iterator[tuple[np.ndarray, ...]]:
+        """(representative, window, distance) of pairs of a representative and a window in its ranges (key, begin, end) at a distance of at most ``most``."""
+        number = np.sum([b - a for _, a, b in ranges], axis=0)
         chunk = np.cumsum(number) // PAIRS  # a bounded number of pairs at a time
         total = len(c.windows.starts)
         for at in np.unique(chunk[number > 0]):
             mine = np.flatnonzero((chunk == at) & (number > 0))
             pairs = []
-            for r, (a, b) in enumerate(ranges):
-                order = c.keys[r if skip is None else r // 2][1]
+            for r, a, b in ranges:
+                order = c.keys[r][1]
                 n = b[mine] - a[mine]
                 which = np.repeat(a[mine] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
                 pairs.append(np.repeat(mine, n) * total + order[which])
