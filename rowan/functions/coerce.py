@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType, StringType
 
-NUMBER = r"([+-]?(?:\d+(?:\.\d*)?|\.\d+))"
+NUMBER = r"([+-]?\s*(?:\d+(?:\.\d*)?|\.\d+))"
 DATE_SHAPE = r"^\s*(\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{4})(?:[ T].*)?$"
 TRUE_WORDS = ("true", "t", "yes", "y", "1")
 FALSE_WORDS = ("false", "f", "no", "n", "0")
@@ -18,11 +18,14 @@ DATE_PATTERNS = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "
 
 
 def to_number(c: Column) -> Column:
-    """The first number in a text, without thousands separators, percent and leading currency; NULL if there is none."""
-    s = F.replace(F.replace(F.trim(c.cast("string")), F.lit(","), F.lit("")), F.lit("%"), F.lit(""))
-    s = F.regexp_replace(s, r"([+-])\s+(?=\d|\.)", "$1")
-    s = F.regexp_replace(s, r"^[^\d+\-.]+", "")
-    return F.nullif(F.regexp_extract(s, NUMBER, 1), F.lit("")).try_cast("double")
+    """The first number in a text, without thousands separators, percent and leading currency; NULL if there is none.
+
+    A sign may stand apart from its digits. A text of digits, signs and points only is not searched.
+    """
+    s = F.translate(F.trim(c.cast("string")), ",%", "")
+    plain = F.translate(s, "0123456789.", "") == ""
+    first = F.translate(F.regexp_extract(s, NUMBER, 1), " \t\r\n\x0b\f", "")
+    return F.coalesce(F.when(plain, s.try_cast("double")), first.try_cast("double"))
 
 
 def to_bool(c: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ast
+import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -11,14 +14,32 @@ from pyspark.sql import functions as F
 
 CHUNK_SIZE = 3000
 OVERLAP = 20
-# Words without weight, phrases that count more, and words that a topic adds, in ranking chunks.
-STOPWORDS = "about above after again all and any are based been before being below between both but can did does during each find for from had has have how into its more most not off once only other out over own report same should some such than that the their them then there these they this those through under until very was were what when where which while who why will with would you your".split()
-PHRASES = ("balance sheet", "income statement", "cash flow", "statement of income", "financial position", "statement of operations", "capital expenditures", "net income", "total revenue", "total assets")
-TOPICS = (
-    (("income statement", "statement of income"), "operations revenue revenues income expense expenses"),
-    (("balance sheet", "financial position"), "assets liabilities equity property equipment inventory receivable payable"),
-    (("cash flow",), "cash flows operating investing financing capital expenditures capex"),
+# Words without weight in ranking chunks.
+STOPWORDS = set(
+    "about above after answer based between calculate chunk company defined document extract facts financial following from information line local metric "
+    "numerical only provided question ratio relevant return round statement statements task this using value what when where with within year".split()
 )
+# Phrases for which a chunk gets PHRASE_SCORE more.
+PHRASES = (
+    "consolidated balance sheets",
+    "consolidated statement of income",
+    "consolidated statements of income",
+    "consolidated statements of operations",
+    "consolidated statements of cash flows",
+    "statement of financial position",
+    "total net revenues",
+    "property and equipment",
+    "cash provided by operating activities",
+    "capital expenditures",
+)
+PHRASE_SCORE = 3
+# Names of topics, and the words that weigh TOPIC_WEIGHT more if a question names one.
+TOPICS = {
+    "operations revenue revenues income expense expenses": ("income statement", "statement of income"),
+    "assets liabilities equity property equipment inventory receivable payable": ("balance sheet", "financial position"),
+    "cash flows operating investing financing capital expenditures capex": ("cash flow",),
+}
+TOPIC_WEIGHT = 2
 WORD = r"([a-z][a-z0-9&%-]{2,})"
 
 
@@ -88,31 +109,23 @@ def select_chunks(chunks: DataFrame, ids: list[str] | None = None) -> DataFrame:
 
 
 def query_weights(hint: str) -> dict[str, int]:
-    """Weights of the words of a question or instruction; topics it names add words of weight 2."""
-    import re
-
-    words: dict[str, int] = {}
-    for w in re.findall(WORD, hint.lower()):
-        if w not in STOPWORDS:
-            words[w] = words.get(w, 0) + 1
-    for names, more in TOPICS:
-        if any(n in hint.lower() for n in names):
-            for w in re.findall(WORD, more):
-                words[w] = words.get(w, 0) + 2
-    return words
+    """Weight of each word to look for: how often a question has it, and TOPIC_WEIGHT more for the words of each topic that it names."""
+    low = hint.lower()
+    named = [words.split() for words, names in TOPICS.items() if any(map(low.__contains__, names))]
+    asked = Counter(re.findall(WORD, low))
+    return {w: (0 if w in STOPWORDS else asked[w]) + TOPIC_WEIGHT * sum(w in words for words in named) for w in dict.fromkeys([*asked, *(w for words in named for w in words)]) if w not in STOPWORDS or any(w in words for words in named)}
 
 
 def chunk_score(text: Column, weights: dict[str, int]) -> Column:
-    """Weight of the query's words that a text has, and 3 for each known phrase in it."""
+    """Weight of the query's words that a text has, and PHRASE_SCORE for each known phrase in it."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    found = F.regexp_extract_all(low, F.lit(WORD), F.lit(1))
-    score = F.lit(0)
-    if weights:
-        table = F.create_map(*[x for w, n in sorted(weights.items()) for x in (F.lit(w), F.lit(n))])
-        mine = F.array_intersect(found, F.array(*[F.lit(w) for w in sorted(weights)]))
-        score = F.aggregate(mine, F.lit(0), lambda a, w: a + table[w])
-    for p in PHRASES:
-        score = score + F.when(F.contains(low, F.lit(p)), 3).otherwise(0)
+    score = sum((F.contains(low, F.lit(p)).cast("int") * PHRASE_SCORE for p in PHRASES), F.lit(0))
+    if not weights:
+        return score
+    words = F.array_distinct(F.regexp_extract_all(low, F.lit(WORD), F.lit(1)))
+    # words of one weight are counted together
+    for n in sorted(set(weights.values())):
+        score = score + F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in sorted(weights) if weights[w] == n]))) * n
     return score
 
 
@@ -144,13 +157,17 @@ OUTPUT = "answer string, citation string, explanation string"
 
 @dataclass
 class MapGroup:
-    """One task: an instruction, the worker that carries it out on a chunk, how often each chunk is worked on, and which chunks."""
+    """One task: an instruction, the worker that carries it out on a chunk, how often each chunk is worked on, which chunks, and what a failure means.
+
+    failure: ``soft`` (a unit that fails is a row with its error and empty outputs, and the others go on) or ``hard`` (it ends the query).
+    """
 
     task: str
     worker: Worker
     instruction: str = ""
     replicas: int = 1
     chunks: list[str] | None = None
+    failure: str = "soft"
 
 
 @dataclass
@@ -174,12 +191,14 @@ def map_chunks(chunks: DataFrame, group: MapGroup, doc: str = "doc_id") -> DataF
     """Outputs of a group's worker: task, doc, chunk_id, sample, answer, citation, explanation, error.
 
     The worker gets a chunk as dict with its instruction and sample number. If it fails, its row has the
-    error and no outputs, and the others go on.
+    error and no outputs, and the others go on, unless failures of the group are hard.
     """
     kind = dict(chunks.dtypes)[doc]
     units = select_chunks(chunks, group.chunks).withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(group.replicas - 1))))
     names = units.columns
-    worker, instruction, task = group.worker, group.instruction, group.task
+    worker, instruction, task, hard = group.worker, group.instruction, group.task, group.failure == "hard"
+    if group.failure not in ("soft", "hard"):
+        raise ValueError(f"unknown failure policy: {group.failure}")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -191,6 +210,8 @@ def map_chunks(chunks: DataFrame, group: MapGroup, doc: str = "doc_id") -> DataF
                     out = worker(unit | {"instruction": instruction}) or {}
                     row |= {k: _output(out.get(k)) for k in ("answer", "citation", "explanation")}
                 except Exception as e:  # noqa: BLE001
+                    if hard:
+                        raise
                     row["error"] = f"{type(e).__name__}: {e}"
                 rows.append(row)
             yield pd.DataFrame(rows, columns=["task", doc, "chunk_id", "sample", "answer", "citation", "explanation", "error"])
@@ -214,3 +235,115 @@ def collect_evidence(outputs: DataFrame, doc: str = "doc_id") -> DataFrame:
     has = F.col("answer").isNotNull() | F.col("citation").isNotNull()
     answers = F.array_sort(F.collect_set(F.when(has, F.col("answer"))))
     return outputs.groupBy("task", doc).agg(F.count("*").alias("outputs"), F.count(F.when(has, 1)).alias("included"), F.count("error").alias("failed"), F.array_join(answers, "\n").alias("summary"))
+
+
+# ---------------------------------------------------------------- programs
+
+# Names by which programs call the ways to chunk.
+CHUNKERS = {"chunk_by_page": "page", "chunk_on_pages": "page", "chunk_by_section": "sliding_window", "chunk_on_sections": "sliding_window"}
+
+
+def program_groups(code: str, workers: dict[str, Worker] | Worker) -> tuple[list[MapGroup], set[str]]:
+    """Map groups that a Python program describes in ``prepare_jobs``, and the ways to chunk that it names; the program is read, never run.
+
+    Each value that is put into a list (by append, extend, a list or a comprehension) or returned in one is a job if it is a call or
+    dict with a ``task`` or ``instruction`` (local_instruction, advice); ``[job] * n`` and loops over range(n) repeat it, and so are replicas. Loops over literal
+    lists are followed value by value, loops over chunks stand for all chunks; ``chunk_ids`` names some. workers: by task, or one for all.
+    """
+    tree = ast.parse(code)
+    body = next((f for f in tree.body if isinstance(f, ast.FunctionDef) and f.name == "prepare_jobs"), None)
+    if body is None:
+        raise ValueError("the program has no function prepare_jobs")
+    jobs: dict[tuple, int] = {}
+
+    def value(e: ast.expr, names: dict) -> object:
+        if isinstance(e, ast.Constant):
+            return e.value
+        if isinstance(e, ast.Name):
+            return names.get(e.id)
+        if isinstance(e, (ast.List, ast.Tuple)):
+            return [value(x, names) for x in e.elts]
+        if isinstance(e, ast.JoinedStr):
+            return "".join(str(value(x.value if isinstance(x, ast.FormattedValue) else x, names)) for x in e.values)
+        if isinstance(e, ast.BinOp) and isinstance(e.op, ast.Add):
+            a, b = value(e.left, names), value(e.right, names)
+            return a + b if type(a) is type(b) and a is not None else None
+        return None
+
+    def fields(e: ast.expr, names: dict) -> dict | None:
+        if isinstance(e, ast.Call):
+            found = {k.arg: value(k.value, names) for k in e.keywords if k.arg}
+        elif isinstance(e, ast.Dict):
+            found = {k.value: value(v, names) for k, v in zip(e.keys, e.values) if isinstance(k, ast.Constant)}
+        else:
+            return None
+        return found if found.keys() & {"task", "instruction", "local_instruction", "task_id"} else None
+
+    def put(e: ast.expr, names: dict, times: int) -> None:
+        """A value that is put into a list of jobs."""
+        if isinstance(e, ast.BinOp) and isinstance(e.op, ast.Mult):
+            n, of = value(e.right, names), e.left
+            if not isinstance(n, int):
+                n, of = value(e.left, names), e.right
+            put(of, names, times * (n if isinstance(n, int) else 1))
+        elif isinstance(e, ast.BinOp) and isinstance(e.op, ast.Add):
+            put(e.left, names, times)
+            put(e.right, names, times)
+        elif isinstance(e, (ast.List, ast.Tuple)):
+            for x in e.elts:
+                put(x, names, times)
+        elif isinstance(e, (ast.ListComp, ast.GeneratorExp)):
+            follow([(g.target, g.iter) for g in e.generators], names, times, lambda n, t: put(e.elt, n, t))
+        elif (f := fields(e, names)) is not None:
+            ids = f.get("chunk_ids")
+            task = str(f.get("task") or f.get("task_id") or f"task_{len(jobs)}")
+            key = task, str(f.get("instruction") or f.get("local_instruction") or ""), tuple(map(str, ids)) if isinstance(ids, list) else None
+            jobs[key] = jobs.get(key, 0) + times
+
+    def follow(loops: list[tuple[ast.expr, ast.expr]], names: dict, times: int, then: Callable[[dict, int], None]) -> None:
+        if not loops:
+            then(names, times)
+            return
+        (target, source), *rest = loops
+        if isinstance(source, ast.Call) and isinstance(source.func, ast.Name) and source.func.id == "range":
+            bounds = [value(x, names) for x in source.args]
+            if all(isinstance(b, int) for b in bounds):
+                follow(rest, names, times * len(range(*bounds)), then)
+                return
+        values = value(source, names)
+        if isinstance(values, list):
+            for v in values:
+                follow(rest, names | bound(target, v), times, then)
+        else:  # chunks, or what the program computes: once for all of them
+            follow(rest, names | bound(target, None), times, then)
+
+    def bound(target: ast.expr, v: object) -> dict:
+        if isinstance(target, ast.Name):
+            return {target.id: v}
+        parts = target.elts if isinstance(target, (ast.Tuple, ast.List)) else []
+        given = v if isinstance(v, list) and len(v) == len(parts) else [None] * len(parts)
+        return {k: x for t, y in zip(parts, given) for k, x in bound(t, y).items()}
+
+    def walk(statements: list[ast.stmt], names: dict, times: int) -> None:
+        for s in statements:
+            if isinstance(s, ast.Assign) and len(s.targets) == 1:
+                names |= bound(s.targets[0], value(s.value, names))
+                if not isinstance(s.value, (ast.Call, ast.Dict)):
+                    put(s.value, names, times)
+            elif isinstance(s, ast.For):
+                follow([(s.target, s.iter)], names, times, lambda n, t, s=s: walk(s.body, n, t))
+            elif isinstance(s, ast.Expr) and isinstance(s.value, ast.Call) and isinstance(s.value.func, ast.Attribute) and s.value.func.attr in ("append", "extend"):
+                for x in s.value.args:
+                    put(x, names, times)
+            elif isinstance(s, ast.AugAssign) or isinstance(s, ast.Return) and s.value is not None and not isinstance(s.value, ast.Name):
+                put(s.value, names, times)
+            elif isinstance(s, (ast.If, ast.With)):
+                walk(s.body, names, times)
+
+    walk(body.body, {}, 1)
+    if not jobs:
+        raise ValueError("the program prepares no jobs")
+    called = {n.func.attr if isinstance(n.func, ast.Attribute) else getattr(n.func, "id", "") for n in ast.walk(tree) if isinstance(n, ast.Call)}
+    worker = workers.__getitem__ if isinstance(workers, dict) else lambda _: workers
+    groups = [MapGroup(task, worker(task), instruction, n, list(ids) if ids is not None else None) for (task, instruction, ids), n in jobs.items()]
+    return groups, {CHUNKERS[c] for c in called & CHUNKERS.keys()}

@@ -14,9 +14,12 @@ from rowan.operators.ranks import average_ranks
 from rowan.plans.expr import quoted
 from rowan.session import cut_lineage
 
-MOST_COLUMNS = 40
-MOST_PAIRS = 20
+# Evidence for a planner shows so many columns and pairs; the tables it is made of have all.
+SHOWN_COLUMNS = 40
+SHOWN_PAIRS = 20
 EXTREMA = 3
+# Ranks of a column with at most so many values are sent to all executors.
+BROADCAST_VALUES = 100_000
 
 
 def _num(df: DataFrame, c: str):
@@ -35,9 +38,9 @@ def numeric_columns(df: DataFrame) -> list[str]:
 def statistical_evidence(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One row for each numeric column: column, n, mean, median, min, max, std (of the sample, 0 of one value).
 
-    One aggregation over all columns, at most MOST_COLUMNS of them, turned into rows.
+    One aggregation over all columns, turned into rows.
     """
-    columns = (columns or numeric_columns(df))[:MOST_COLUMNS]
+    columns = columns or numeric_columns(df)
     if not columns:
         return df.sparkSession.createDataFrame([], "column string, n bigint, mean double, median double, min double, max double, std double")
     packed = []
@@ -65,11 +68,12 @@ def row_std_extrema(df: DataFrame, label: str, columns: list[str], lowest: bool
     return out.orderBy(F.col("std").asc() if lowest else F.col("std").desc(), "label").limit(EXTREMA)
 
 
-def correlation_evidence(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Pairs of numeric columns with n, pearson and spearman over rows in which both are there; the MOST_PAIRS of largest absolute pearson.
+def correlation_evidence(df: DataFrame, columns: list[str] | None = None, most: int | None = None) -> DataFrame:
+    """Pairs of numeric columns with n, pearson and spearman over rows in which both are there, by absolute pearson; ``most`` of them, or all.
 
     Pearson of all pairs is one aggregation. Ranks (of ties the average) within each pair's complete rows
-    are computed for the pairs reported only, split by range of values (see ranks).
+    are computed for the pairs reported only, split by range of values (see ranks). Ranks of a column of few values are broadcast,
+    so its frequent values stay where they are; those of other columns are joined by value.
     """
     columns = columns or numeric_columns(df)
     schema = "left string, right string, n bigint, pearson double, spearman double"
@@ -82,7 +86,8 @@ def correlation_evidence(df: DataFrame, columns: list[str] | None = None) -> Dat
         both = x[a].isNotNull() & x[b].isNotNull()
         packed.append(F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.count(F.when(both, 1)).alias("n"), F.corr(F.when(both, x[a]), F.when(both, x[b])).alias("pearson")))
     best = df.agg(F.array(*packed).alias("m")).select(F.inline("m")).filter("n >= 2 and pearson is not null and not isnan(pearson)")
-    best = best.orderBy(F.abs("pearson").desc(), "left", "right").limit(MOST_PAIRS)
+    best = best.orderBy(F.abs("pearson").desc(), "left", "right")
+    best = cut_lineage(best if most is None else best.limit(most))
     rows = df.count()
     chosen = [(r.left, r.right, r.n == rows) for r in best.select("left", "right", "n").collect()]
     parts = []
@@ -91,8 +96,10 @@ def correlation_evidence(df: DataFrame, columns: list[str] | None = None) -> Dat
         wide = df.select(*[x[c].alias(f"x{i}") for i, c in enumerate(whole)])
         long = wide.select(F.inline(F.array(*[F.struct(F.lit(i).alias("c"), F.col(f"x{i}").alias("v")) for i in range(len(whole))])))
         ranks = cut_lineage(average_ranks(long, ["c"], "v"))
+        values = dict(ranks.groupBy("c").count().collect())
         for i in range(len(whole)):
-            wide = wide.join(ranks.filter(F.col("c") == i).select(F.col("v").alias(f"x{i}"), F.col("rank").alias(f"r{i}")), f"x{i}")
+            own = ranks.filter(F.col("c") == i).select(F.col("v").alias(f"x{i}"), F.col("rank").alias(f"r{i}"))
+            wide = wide.join(F.broadcast(own) if values.get(i, 0) <= BROADCAST_VALUES else own, f"x{i}")
         at = {c: f"r{i}" for i, c in enumerate(whole)}
         packed = [F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.corr(at[a], at[b]).alias("spearman")) for a, b, complete in chosen if complete]
         parts.append(wide.agg(F.array(*packed).alias("m")).select(F.inline("m")))
@@ -124,8 +131,8 @@ def evidence(df: DataFrame, kind: str) -> dict:
     rows = lambda d: [{k: plain(v) if isinstance(v, (int, float)) else v for k, v in r.asDict().items()} for r in d.collect()]
     out: dict = {"kind": kind, "rows": df.count(), "cols": len(df.columns)}
     if kind == "correlation":
-        return out | {"metrics": rows(correlation_evidence(df))}
-    columns = numeric_columns(df)
+        return out | {"metrics": rows(correlation_evidence(df, most=SHOWN_PAIRS))}
+    columns = numeric_columns(df)[:SHOWN_COLUMNS]
     metrics = rows(statistical_evidence(df, columns))
     ranked = sorted((m for m in metrics if m["std"] is not None), key=lambda m: (m["std"], m["column"]))
     out |= {"metrics": metrics, "extrema": {"columns": {"lowest": ranked[:EXTREMA], "highest": ranked[::-1][:EXTREMA]}}}

@@ -9,16 +9,18 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DateType, IntegralType, NumericType
 
 from rowan.functions.coerce import to_number
 from rowan.plans.expr import quoted
+from rowan.session import cut_lineage
 
+# Columns that one aggregation takes; wider tables take several.
 MOST_COLUMNS = 48
+# Limits and weights of scores of join candidates.
 LEAST_OVERLAP = 2
 LEAST_SCORE = 0.5
-MOST_CANDIDATES = 12
-MOST_PATHS = 16
-MOST_VALUE_MATCHES = 24
+COVERAGE_WEIGHT, NAME_WEIGHT, KEY_WEIGHT, OTHER_ENTITY = 0.80, 0.18, 0.02, 0.35
 VALUES_A_COLUMN = 3
 # Texts that stand for nothing, and words of questions that name nothing.
 NOTHING = ("", "none", "null", "nan", "na", "n/a")
@@ -51,16 +53,30 @@ def _profiles(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def describe_source(df: DataFrame, source_id: str, rows: int = 18, head: int = 5, tail: int = 2, width: int = 80) -> dict:
-    """Shape, columns and samples of a source, without its place: the first distinct values of each column, the greatest ones, and some rows."""
+    """Shape, columns and samples of a source, without its place: the least distinct values of each column, the greatest ones, and some rows.
+
+    Two jobs, however many columns there are: one for the rows shown, one that keeps the first and last few values of each column and bucket of values, and
+    of these the first and last few.
+    """
     cut = lambda v: str(v)[:width]
-    samples = {}
-    for c in df.columns[:MOST_COLUMNS]:
-        values = df.select(F.col(quoted(c)).cast("string").alias("v")).filter("v is not null and trim(v) != ''").distinct()
-        first = [cut(r.v) for r in values.orderBy("v").limit(head).collect()]
-        last = [cut(r.v) for r in values.orderBy(F.col("v").desc()).limit(tail).collect()]
-        samples[c] = list(dict.fromkeys(first + last[::-1]))
+    parts = [df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("c"), F.col(quoted(c)).cast("string").alias("v")) for c in block]))) for block in blocks(df.columns) if block]
+    samples: dict[str, list[str]] = {c: [] for c in df.columns}
+    total = 0
+    if parts:
+        long = reduce(DataFrame.union, parts).withColumn("b", F.pmod(F.xxhash64("v"), F.lit(64)))
+        filled = F.when(F.trim("v") != "", F.col("v"))
+        # each bucket keeps its least and greatest values only
+        kept = long.groupBy("c", "b", "v").agg(F.count("*").alias("n"))
+        few = [F.row_number().over(Window.partitionBy("c", "b").orderBy(o)) for o in (F.col("v").asc_nulls_last(), F.col("v").desc_nulls_last())]
+        counts = kept.groupBy("c").agg(F.sum("n").alias("rows"))
+        near = kept.withColumn("v", filled).filter("v is not null").withColumns({"up": few[0], "down": few[1]}).filter((F.col("up") <= head) | (F.col("down") <= tail))
+        ends = near.groupBy("c").agg(F.array_sort(F.collect_set("v")).alias("vs"))
+        for r in counts.join(ends, "c", "left").collect():
+            total = r.rows
+            values = r.vs or []
+            samples[r.c] = [cut(v) for v in dict.fromkeys([*values[:head], *values[max(head, len(values) - tail) :]])]
     shown = [{k: None if v is None else cut(v) for k, v in r.asDict().items()} for r in df.limit(rows).collect()]
-    return {"id": source_id, "type": "table", "schema": {"columns": df.columns, "shape": [df.count(), len(df.columns)], "samples": samples, "rows": shown}}
+    return {"id": source_id, "type": "table", "schema": {"columns": df.columns, "shape": [total, len(df.columns)], "samples": samples, "rows": shown}}
 
 
 def inspect(df: DataFrame, what: str, column: str | None = None, n: int | None = None) -> DataFrame:
@@ -80,14 +96,21 @@ def inspect(df: DataFrame, what: str, column: str | None = None, n: int | None =
 # ---------------------------------------------------------------- join discovery
 
 
-def join_value(c: Column) -> Column:
-    """A value as join keys compare: numbers in one form, texts trimmed, small, single blanks; NULL for what stands for nothing."""
+def join_value(c: Column, kind: DataType | None = None) -> Column:
+    """A value as join keys compare: numbers in one form, texts trimmed, small, single blanks; NULL for what stands for nothing.
+
+    With the column's type, whole numbers and dates are taken as they are.
+    """
+    if isinstance(kind, (IntegralType, DateType)):
+        return c.cast("string")
     s = F.trim(c.cast("string"))
+    low = F.lower(s)
     plain = F.replace(s, F.lit(","), F.lit(""))
-    number = F.when(plain.rlike(r"^[-+]?(\d+(\.\d*)?|\.\d+)$"), plain.try_cast("double"))
+    digits = F.translate(plain, "0123456789.+-", "") == ""
+    number = c.cast("double") if isinstance(kind, NumericType) else F.when(digits & plain.rlike(r"^[-+]?(\d+(\.\d*)?|\.\d+)$"), plain.try_cast("double"))
     whole = F.when((number == F.floor(number)) & (F.abs(number) < 1e15), number.cast("bigint").cast("string"))
-    text = F.regexp_replace(F.lower(s), r"(?U)\s+", " ")
-    return F.when(~F.lower(s).isin(*NOTHING), F.coalesce(whole, number.cast("string"), text))
+    text = F.when(low.rlike(r"(?U)\s\s|[\s&&[^ ]]"), F.regexp_replace(low, r"(?U)\s+", " ")).otherwise(low)
+    return F.when(~low.isin(*NOTHING), F.coalesce(whole, number.cast("string"), text))
 
 
 def _plain_name(name: str) -> str:
@@ -107,46 +130,54 @@ def _other_entity(a: str, b: str) -> bool:
     return bool(ma and mb and ma[1].strip("_") != mb[1].strip("_") and ma[1].strip("_") and mb[1].strip("_"))
 
 
-def join_candidates(tables: dict[str, DataFrame], keys: dict[str, set[str]] | None = None) -> list[dict]:
-    """Pairs of columns of different tables that hold the same values, best first (at most MOST_CANDIDATES).
+def join_candidates(tables: dict[str, DataFrame], keys: dict[str, set[str]] | None = None, most: int | None = None) -> list[dict]:
+    """Pairs of columns of different tables that hold the same values, best first; all of them, or the ``most`` best.
 
-    All values count. Each table is read once (for each MOST_COLUMNS columns) into distinct (column, value); a value's columns are gathered into one
-    set, no larger than the number of columns, and pairs counted from the sets, so no table is joined with another.
+    All values count. Each table is read once (for each MOST_COLUMNS columns) into (value, column); one shuffle by value makes
+    of a value's columns a set of bits, values of equal sets are counted together, and pairs of columns come from these few sets, so no table is joined
+    with another and no value leaves the executors.
     score = 0.80 x mean coverage + 0.18 x likeness of names + 0.02 x key hint, and 0.35 of that for ids of different
-    entities. keys: columns known as keys, by table.
+    entities. keys: columns known as keys, by table. Pairs that can't reach LEAST_SCORE are dropped before the driver sees them.
     """
     index: list[tuple[str, str]] = []
-    long = None
+    parts: list[DataFrame] = []
     for name, df in tables.items():
-        plain = [c for c in df.columns if not df.schema[c].dataType.simpleString().startswith(("array", "map", "struct", "binary"))]
-        for block in blocks(plain):
-            parts = [F.struct(F.lit(len(index) + i).alias("c"), join_value(F.col(quoted(c))).alias("v")) for i, c in enumerate(block)]
+        for block in blocks([c for c in df.columns if not df.schema[c].dataType.simpleString().startswith(("array", "map", "struct", "binary"))]):
+            values = [F.struct(F.lit(len(index) + i).alias("c"), join_value(F.col(quoted(c)), df.schema[c].dataType).alias("v")) for i, c in enumerate(block)]
             index += [(name, c) for c in block]
-            rows = df.select(F.inline(F.array(*parts))).filter("v is not null").distinct()
-            long = rows if long is None else long.union(rows)
-    if long is None:
+            parts.append(df.select(F.inline(F.array(*values))).filter("v is not null"))
+    if not parts:
         return []
-    sets = long.groupBy("v").agg(F.array_sort(F.collect_set("c")).alias("cs"))
-    pair = F.flatten(F.transform("cs", lambda a: F.transform(F.filter("cs", lambda b: b >= a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    counts = {(r.a, r.b): r.n for r in sets.select(F.inline(pair)).groupBy("a", "b").agg(F.count("*").alias("n")).collect()}
+    words = range((len(index) + 62) // 63)
+    bit = lambda w: F.when(F.floor(F.col("c") / 63) == w, F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("c") % 63).cast("int"))).otherwise(F.lit(0).cast("bigint"))
+    sets = reduce(DataFrame.union, parts).groupBy("v").agg(*[F.bit_or(bit(w)).alias(f"w{w}") for w in words])
+    counted = sets.groupBy(*[f"w{w}" for w in words]).agg(F.count("*").alias("n"))
+    has = lambda i: F.col(f"w{i // 63}").bitwiseAND(F.lit(1 << i % 63)) != 0
+    columns = F.filter(F.array(*[F.when(has(i), F.lit(i)) for i in range(len(index))]), lambda c: c.isNotNull())
+    held = cut_lineage(counted.select("n", columns.alias("cs")))
+    sizes = {r.a: r.n for r in held.select(F.explode("cs").alias("a"), "n").groupBy("a").agg(F.sum("n").alias("n")).collect()}
+    pair = F.flatten(F.transform("cs", lambda a: F.transform(F.filter("cs", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    overlaps = held.select(F.inline(F.transform(pair, lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), F.col("n").alias("n"))))).groupBy("a", "b").agg(F.sum("n").alias("n"))
+    small = tables[index[0][0]].sparkSession.createDataFrame([(i, n) for i, n in sizes.items()], "c int, size bigint")
+    both = overlaps.join(F.broadcast(small.select(F.col("c").alias("a"), F.col("size").alias("sa"))), "a").join(F.broadcast(small.select(F.col("c").alias("b"), F.col("size").alias("sb"))), "b")
+    worth = both.filter((F.col("n") >= LEAST_OVERLAP) & (COVERAGE_WEIGHT * (F.col("n") / F.col("sa") + F.col("n") / F.col("sb")) / 2 + NAME_WEIGHT + KEY_WEIGHT >= LEAST_SCORE))
     out = []
-    for (a, b), overlap in counts.items():
+    for a, b, overlap in worth.select("a", "b", "n").collect():
         (ta, ca), (tb, cb) = index[a], index[b]
-        if ta == tb or overlap < LEAST_OVERLAP:
+        if ta == tb:
             continue
-        coverage = overlap / counts[a, a], overlap / counts[b, b]
-        likeness = name_similarity(ca, cb)
+        coverage = overlap / sizes[a], overlap / sizes[b]
         hint = float(bool(keys and (ca in keys.get(ta, ()) or cb in keys.get(tb, ()))))
-        score = 0.80 * sum(coverage) / 2 + 0.18 * likeness + 0.02 * hint
+        score = COVERAGE_WEIGHT * sum(coverage) / 2 + NAME_WEIGHT * name_similarity(ca, cb) + KEY_WEIGHT * hint
         if _other_entity(ca, cb):
-            score *= 0.35
+            score *= OTHER_ENTITY
         if score >= LEAST_SCORE:
             out.append({"left_table": ta, "left_column": ca, "right_table": tb, "right_column": cb, "score": round(score, 3), "overlap": overlap, "left_coverage": round(coverage[0], 3), "right_coverage": round(coverage[1], 3)})
     out.sort(key=lambda x: (-x["score"], -x["overlap"], x["left_table"], x["left_column"], x["right_table"], x["right_column"]))
-    return out[:MOST_CANDIDATES]
+    return out[:most]
 
 
-def join_paths(candidates: list[dict]) -> list[dict]:
+def join_paths(candidates: list[dict], most: int | None = None) -> list[dict]:
     """Shortest chains of candidate joins between tables; of equal length the one of the highest mean score."""
     near: dict[str, list[tuple[str, dict]]] = {}
     for c in candidates:
@@ -167,7 +198,7 @@ def join_paths(candidates: list[dict]) -> list[dict]:
                 elif best[other][0] == new[0] and new[1] > best[other][1]:
                     best[other] = new
         out += [{"from": start, "to": t, "length": n, "score": round(s / n, 3), "joins": p} for t, (n, s, p) in best.items() if t > start]
-    return sorted(out, key=lambda p: (p["length"], -p["score"], p["from"], p["to"]))[:MOST_PATHS]
+    return sorted(out, key=lambda p: (p["length"], -p["score"], p["from"], p["to"]))[:most]
 
 
 # ---------------------------------------------------------------- grounding
@@ -177,8 +208,8 @@ def question_words(text: str) -> set[str]:
     return {w for w in re.findall(r"[a-z0-9]+", text.casefold()) if w not in QUESTION_WORDS and (len(w) > 1 or w.isdigit())}
 
 
-def value_grounding(tables: dict[str, DataFrame], question: str) -> DataFrame:
-    """Values of text columns that a question mentions: table, column, score, matches (at most VALUES_A_COLUMN); the best MOST_VALUE_MATCHES columns.
+def value_grounding(tables: dict[str, DataFrame], question: str, most: int | None = None, values: int = VALUES_A_COLUMN) -> DataFrame:
+    """Values of text columns that a question mentions: table, column, score, and the ``values`` best of each column; all columns, or the ``most`` best.
 
     1 if the whole value stands in the question; 0.78 if it is one word of at least 4 letters that does; else 0.55 + 0.40 x the share
     of its words, of which two must be there, at most 0.95.
@@ -207,12 +238,13 @@ def value_grounding(tables: dict[str, DataFrame], question: str) -> DataFrame:
         return spark.createDataFrame([], "table string, column string, score double, matches array<string>")
     # of a column's values the best few are kept in each of many buckets first, so no task gathers them all
     first = Window.partitionBy("table", "column", F.pmod(F.xxhash64("value"), F.lit(64))).orderBy(F.col("score").desc(), "value")
-    out = out.withColumn("value", F.substring("value", 1, 120)).withColumn("_at", F.row_number().over(first)).filter(F.col("_at") <= VALUES_A_COLUMN)
+    out = out.withColumn("_at", F.row_number().over(first)).filter(F.col("_at") <= values)
     kept = F.transform(F.array_sort(F.collect_set(F.struct((-F.col("score")).alias("s"), "value"))), lambda x: x["value"])
-    return out.groupBy("table", "column").agg(F.max("score").alias("score"), F.slice(kept, 1, VALUES_A_COLUMN).alias("matches")).orderBy(F.col("score").desc(), F.size("matches").desc(), "table", "column").limit(MOST_VALUE_MATCHES)
+    out = out.groupBy("table", "column").agg(F.max("score").alias("score"), F.slice(kept, 1, values).alias("matches")).orderBy(F.col("score").desc(), F.size("matches").desc(), "table", "column")
+    return out if most is None else out.limit(most)
 
 
-def column_grounding(tables: dict[str, list[str]], question: str) -> list[dict]:
+def column_grounding(tables: dict[str, list[str]], question: str, most: int | None = None) -> list[dict]:
     """Columns of which at least half the words, without those of table names, stand in a question."""
     words = question_words(question)
     names = {w for t in tables for w in question_words(t)}
@@ -224,7 +256,7 @@ def column_grounding(tables: dict[str, list[str]], question: str) -> list[dict]:
             common = sorted(mine & words)
             if mine and len(common) / len(mine) >= 0.5:
                 out.append({"table": t, "column": c, "score": round(len(common) / len(mine), 3), "matched_terms": common[:4]})
-    return sorted(out, key=lambda x: (-x["score"], -len(x["matched_terms"]), x["table"], x["column"]))[:MOST_VALUE_MATCHES]
+    return sorted(out, key=lambda x: (-x["score"], -len(x["matched_terms"]), x["table"], x["column"]))[:most]
 
 
 def build_task(question: str, tables: dict[str, DataFrame]) -> dict:

@@ -10,10 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowan.functions.coerce import FALSE_WORDS, TRUE_WORDS, to_number
-from rowan.operators.answer import number
+from rowan.operators.answer import accepts, number
 from rowan.plans.expr import quoted
 
-MOST_CITED = 20
 TOLERANCE = 1e-6
 
 
@@ -75,8 +74,8 @@ def text_operation(name: str, value: object) -> str | None:
 
 
 def agrees(kind: str, operation: str, cited: list, answer: object) -> bool:
-    """An answer is what an operation makes of the facts it cites (at most MOST_CITED of them)."""
-    if len(cited) > MOST_CITED or not cited:
+    """An answer is what an operation makes of the facts it cites."""
+    if not cited:
         return False
     if kind in ("number", "integer", "float"):
         want, got = numeric_operation(operation, cited), number(answer)
@@ -85,10 +84,32 @@ def agrees(kind: str, operation: str, cited: list, answer: object) -> bool:
         want = boolean_operation(operation, cited)
         return want is not None and want == _truth(answer)
     if kind.startswith("list"):
-        return isinstance(answer, list) and len(answer) <= MOST_CITED and sorted(map(str, answer)) == sorted(map(str, cited))
+        return isinstance(answer, list) and sorted(map(str, answer)) == sorted(map(str, cited))
     return len(cited) == 1 and text_operation(operation, cited[0]) == str(answer).strip()
 
 
+def finalise(kind: str, candidates: list[dict]) -> object:
+    """The answer of the first candidate that closes: it is of the type asked for, and what its operation makes of the facts it cites.
+
+    A candidate has answer, operation and cited. Numbers, booleans and texts are given back in the type's form; a list must be what is cited, in
+    any order, and keeps the answer's order. None if no candidate closes.
+    """
+    for c in candidates:
+        answer, operation, cited = c.get("answer"), c.get("operation") or "identity", list(c.get("cited") or [])
+        try:
+            if not agrees(kind, operation, cited, answer):
+                continue
+        except ValueError:  # an operation that the type does not have
+            continue
+        if kind in ("number", "integer", "float"):
+            return number(answer)
+        if kind == "boolean":
+            return _truth(answer)
+        if accepts(kind, answer if kind.startswith("list") else str(answer)):
+            return answer if kind.startswith("list") else str(answer).strip()
+    return None
+
+
 def relative_row(df: DataFrame, order: list[str], anchor: str, value: object, target: str, step: int = 1, within: list[str] | None = None) -> DataFrame:
     """The target's value ``step`` rows after (or, negative, before) the rows where anchor is value, by an order, within groups."""
     w = Window.partitionBy(*(within or [F.lit(0)])).orderBy(*order)

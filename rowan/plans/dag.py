@@ -9,13 +9,13 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType, StringType
+from pyspark.sql.types import DateType, NumericType, StringType, TimestampType
 
 from rowan.functions import coerce
 from rowan.operators.answer import format_answer
 from rowan.operators.evidence import evidence
 from rowan.operators.recursion import repeat_union
-from rowan.operators.repair import repair_filter
+from rowan.operators.repair import repair_filter, why_empty
 from rowan.plans.expr import PlanError, Scope, aggregate, prepare, quoted, sort_key
 
 OPS = ("Scan", "Filter", "Project", "Derive", "Group", "Aggregate", "Sort", "Limit", "Distinct", "Join", "SetOp", "RepeatUnion", "FormatAnswer", "AnalyzeEvidence")
@@ -29,10 +29,11 @@ JOINS = {
 
 @dataclass
 class Table:
-    """A lazy result and the keys of a pending Group."""
+    """A lazy result, the keys of a pending Group, and the order that a Sort gave it (keys, and columns ordered by the number in their text)."""
 
     df: DataFrame
     keys: list[dict] | None = None
+    order: tuple[list[dict], dict[str, bool]] | None = None
 
 
 @dataclass
@@ -112,6 +113,27 @@ class Runner:
             keys[n.output] = key
         return {k: v.df if isinstance(v, Table) else v for k, v in made.items()}
 
+    def first_emptying(self, plan: dict) -> dict | None:
+        """The first node of a plan that makes an empty table of tables that have rows: {node, op, output, literals}; None if there is none.
+
+        Nodes after it can't bring back what it removed. For a Filter, literals says of each text literal why it finds nothing. Each table
+        is asked for one row, in the order of the plan, up to the node found.
+        """
+        out = self.run(plan)
+        empty: dict[str, bool] = {}
+        for n in (Node.of(d) for d in plan.get("nodes", []) if d):
+            df = out.get(n.output)
+            if not isinstance(df, DataFrame):
+                continue
+            empty[n.output] = df.isEmpty()
+            tables = [d for d in n.dependency if d in empty]
+            if empty[n.output] and not any(empty[d] for d in tables):
+                found = {"node": n.id, "op": n.op, "output": n.output, "literals": []}
+                if n.op == "Filter" and tables:
+                    found["literals"] = why_empty(Scope(out[tables[0]], self.lenient), n.params["predicate"])
+                return found
+        return None
+
     def _canonical(self, n: Node, keys: dict[str, str]) -> object:
         """Parameters with names of outputs replaced by what made them."""
 
@@ -158,8 +180,8 @@ class Runner:
         if self.repair and not scope.outputs.keys() - set(n.dependency):
             out, repairs = repair_filter(df, n.params["predicate"], self.lenient) if not _refers(n.params["predicate"]) else (df.filter(scope.truth(n.params["predicate"])), [])
             self.repairs += repairs
-            return Table(out)
-        return Table(df.filter(scope.truth(n.params["predicate"])))
+            return Table(out, order=self._first(n, made).order)
+        return Table(df.filter(scope.truth(n.params["predicate"])), order=self._first(n, made).order)
 
     def _items(self, items: list[dict]) -> list[tuple[str, dict]]:
         out = []
@@ -185,10 +207,11 @@ class Runner:
         df = table.df if table else self.spark.range(1).select()
         for alias, e in self._items(n.params.get("expressions", [])):
             df = df.withColumn(alias, self._scope(df, made).eval(e))
-        return Table(df, table.keys if table else None)
+        return Table(df, table.keys if table else None, table.order if table else None)
 
     def _Group(self, n: Node, made: dict) -> Table:  # noqa: N802
-        return Table(self._first(n, made).df, list(n.params.get("keys", [])))
+        table = self._first(n, made)
+        return Table(table.df, list(n.params.get("keys", [])), table.order)
 
     def _Aggregate(self, n: Node, made: dict) -> Table:  # noqa: N802
         table = self._first(n, made)
@@ -202,7 +225,8 @@ class Runner:
             keys.append(scope.eval(k).alias(name or k.get("alias") or f"_group_{i}"))
         if self.lenient:  # other columns keep a value of the group's rows
             taken = {a["alias"] for a in n.params.get("aggregations", [])} | {scope.name_of(k) for k in table.keys or [] if k.get("type") == "column"}
-            aggs += [F.first(quoted(c)).alias(c) for c in table.df.columns if c not in taken]
+            carried = [c for c in table.df.columns if c not in taken]
+            aggs += [self._least(scope, table, carried)[c].alias(c) for c in carried]
         apart = [i for i, a in enumerate(wanted) if a.get("distinct") and str(a.get("function", "")).upper() in ("COUNT", "SUM", "AVG")]
         if keys and apart and len(apart) < len(wanted) and any(str(a.get("function", "")).upper() in HELD for a in wanted):
             # DISTINCT would make the other aggregates keep a state for each distinct value, so it is aggregated by itself
@@ -222,13 +246,34 @@ class Runner:
             names = {scope.name_of(k["expr"]) for k in keys if k["expr"].get("type") == "column"} - {None}
             text = [c for c in names if isinstance(df.schema[c].dataType, StringType) and not any(w in c.lower() for w in ("date", "time", "day", "month"))]
             numeric = coerce.all_numeric(df, text)
-        return Table(df.orderBy(*[sort_key(scope, k, numeric.get(scope.name_of(k["expr"]) if k["expr"].get("type") == "column" else "", False)) for k in keys]))
+        return Table(df.orderBy(*[sort_key(scope, k, numeric.get(scope.name_of(k["expr"]) if k["expr"].get("type") == "column" else "", False)) for k in keys]), order=(keys, numeric))
+
+    def _least(self, scope: Scope, table: Table, columns: list[str]) -> object:
+        """The columns of a group's first row, as a struct: first in the order that a Sort gave, and of equal rows, or without an order, the least.
+
+        A row order that no Sort gave does not exist here, so the least row stands for it in any partitioning. Partial aggregates keep one row.
+        """
+        by = []
+        for k in (table.order or ([], {}))[0]:
+            c, down = scope.eval(k["expr"]), str(k.get("direction", "ASC")).upper() == "DESC"
+            if table.order[1].get(scope.name_of(k["expr"]) if k["expr"].get("type") == "column" else ""):
+                c = coerce.to_number(c)
+            kind = scope.kind(c)
+            if down and not isinstance(kind, (NumericType, DateType, TimestampType)):
+                by = []  # no order that a minimum can follow
+                break
+            if down:
+                c = -(c if isinstance(kind, NumericType) else F.unix_date(c) if isinstance(kind, DateType) else F.unix_micros(c))
+            by += [c.isNull() if str(k.get("nulls") or "LAST").upper() != "FIRST" else c.isNotNull(), c]
+        names = [F.col(quoted(c)).alias(c) for c in columns]
+        orderable = [F.col(quoted(c)) for c in columns if "map<" not in scope.df.schema[c].dataType.simpleString() and "variant" not in scope.df.schema[c].dataType.simpleString()]
+        return F.min_by(F.struct(*names), F.struct(*[c.alias(f"_{i}") for i, c in enumerate([*by, *orderable] or [F.lit(0)])]))
 
     def _Limit(self, n: Node, made: dict) -> Table:  # noqa: N802
         df = self._first(n, made).df
         offset = int(n.params.get("offset") or 0)
         df = df.offset(offset) if offset else df
-        return Table(df.limit(int(n.params.get("count") or 0)))
+        return Table(df.limit(int(n.params.get("count") or 0)), order=self._first(n, made).order)
 
     def _Distinct(self, n: Node, made: dict) -> Table:  # noqa: N802
         df = self._first(n, made).df
@@ -243,7 +288,13 @@ class Runner:
                 name = f"_distinct_{i}"
                 extra[name] = scope.eval(e)
             names.append(name)
-        return Table(df.withColumns(extra).dropDuplicates(names).drop(*extra) if extra else df.dropDuplicates(names))
+        table = self._first(n, made)
+        keyed = df.withColumns(extra) if extra else df
+        rest = [c for c in df.columns if c not in names]
+        if not rest:
+            return Table(keyed.select(*[quoted(c) for c in names]).distinct().select(*[quoted(c) for c in df.columns]), order=table.order)
+        kept = keyed.groupBy(*[F.col(quoted(c)) for c in names]).agg(self._least(scope, table, rest).alias("_kept"))
+        return Table(kept.select(*[F.col(quoted(c)) if c in names else F.col("_kept")[c].alias(c) for c in df.columns]), order=table.order)
 
     def _Join(self, n: Node, made: dict) -> Table:  # noqa: N802
         left = self._first(n, made).df

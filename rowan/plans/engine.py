@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from rowan.operators.answer import format_answer
 from rowan.operators.evidence import evidence
 from rowan.plans.dag import Runner
-from rowan.plans.dialect import extract_sql, guard, normalise
+from rowan.plans.dialect import extract_sql, guard, normalise, shape_answer
 from rowan.plans.expr import PlanError
+from rowan.plans.guard import check_plan
+from rowan.session import cut_lineage
 from rowan.sources import read_source
 
-# Fixed value: likeness of two questions from which on they share one SQL statement.
+# Fixed value: likeness of two questions from which on they may share one SQL statement.
 SAME_QUESTION = 0.74
 
 
@@ -32,6 +34,7 @@ class Engine:
         self.sources: dict[str, DataFrame] = {}
         self._seen: dict[tuple, DataFrame] = {}
         self._sql: dict[str, DataFrame] = {}
+        self._kept: dict[str, DataFrame] = {}
 
     def register(self, source_id: str, source: DataFrame | str, fmt: str | None = None, clean_markers: bool | None = None) -> Engine:
         """Add a source; a path is read once, however often it is registered."""
@@ -42,7 +45,7 @@ class Engine:
             source = self._seen[key]
         self.sources[source_id] = source
         source.createOrReplaceTempView(source_id)
-        self._sql.clear()
+        self._sql, self._kept = {}, {}
         return self
 
     def register_all(self, sources: list[dict]) -> Engine:
@@ -60,13 +63,27 @@ class Engine:
     def sql(self, text: str) -> DataFrame:
         """The lazy result of one read-only statement, taken from plain text, a fenced block or JSON. Equal statements give the same result object."""
         statement = extract_sql(text)
-        guard(statement, set(self.sources))
-        ready, qualified = normalise(statement)
+        guard(statement)
+        ready = normalise(statement)
         if ready not in self._sql:
-            df = self.spark.sql(ready)
-            self._sql[ready] = df.drop("_qualify") if qualified else df
+            check_plan(self.spark, ready, set(self.sources))
+            self._sql[ready] = self.spark.sql(ready)
         return self._sql[ready]
 
+    def result(self, text: str) -> DataFrame:
+        """The result of a statement, computed once and kept in the checkpoint folder; the same statement again reads what was kept."""
+        ready = normalise(extract_sql(text))
+        if ready not in self._kept:
+            self._kept[ready] = cut_lineage(self.sql(text))
+        return self._kept[ready]
+
+    def register_result(self, source_id: str, text: str) -> Engine:
+        """The kept result of an earlier statement as a source of operator graphs and further statements."""
+        df, kept = self.result(text), self._kept
+        self.register(source_id, df)
+        self._kept = kept  # results of before are still those of the sources they were made of
+        return self
+
     def run_plan(self, plan: dict) -> dict[str, object]:
         """Outputs of an operator graph, or answers of a batch of query plans."""
         return self.runner().run(plan)
@@ -82,23 +99,29 @@ class Engine:
         """Evidence about the result of a statement."""
         return evidence(self.sql(text), kind)
 
-    def answers(self, questions: list[dict], planner: Callable[[dict], str]) -> dict[str, object]:
+    def answers(self, questions: list[dict], planner: Callable[[dict], str | None]) -> dict[str, object]:
         """Answers of several questions {question, answer: {name, type}}; the planner gives the SQL of a question.
 
-        Questions of which the words are nearly the same share the statement of the first of them.
+        Each question has its own statement, but that questions that are equal ignoring case and white space share the first one's. A planner that
+        gives one statement for two questions returns None for the second; they share it if there are just these two, with answers of one
+        type, the same numbers and quoted texts, and nearly the same words; else that is an error.
         """
-        known: list[tuple[set[str], str]] = []
+        known: dict[str, str] = {}
         out: dict[str, object] = {}
         for q in questions:
-            name = q["answer"]["name"]
+            name, kind = q["answer"]["name"], q["answer"].get("type", "json")
             if name in out:
                 raise PlanError(f"answer name {name!r} is taken")
-            words = set(re.findall(r"\w+", q["question"].lower()))
-            text = next((t for w, t in known if len(w & words) >= SAME_QUESTION * len(w | words)), None)
-            if text is None:
+            plain = " ".join(q["question"].casefold().split())
+            if plain not in known:
                 text = planner({**q, "sources": self.describe()})
-                known.append((words, text))
-            out[name] = self.answer(text, name, q["answer"].get("type", "json"))
+                if text is None:
+                    first = next(iter(known), None)
+                    if first is None or len(questions) != 2 or not _one_statement(*questions):
+                        raise PlanError(f"no statement for {name!r}")
+                    text = known[first]
+                known[plain] = text
+            out[name] = self.answer(shape_answer(extract_sql(known[plain]), name, kind), name, kind)
         return out
 
     def describe(self) -> list[dict]:
@@ -109,3 +132,12 @@ class Engine:
         """Operators of the analysed plan of a statement, from the result to the sources."""
         plan = self.sql(text)._jdf.queryExecution().analyzed().toString()
         return [m[1] for m in re.finditer(r"(?m)^[\s:+-]*([A-Z]\w+)", plan)]
+
+
+def _one_statement(a: dict, b: dict) -> bool:
+    """Two questions that mean the same: one type of answer, the same literals, words nearly the same."""
+    if a["answer"].get("type") != b["answer"].get("type"):
+        return False
+    literals = lambda q: sorted(re.findall(r"\d+(?:[.,]\d+)*|\"[^\"]*\"|'[^']*'", q["question"]))
+    words = [set(re.findall(r"\w+", q["question"].lower())) for q in (a, b)]
+    return literals(a) == literals(b) and all(words) and len(words[0] & words[1]) >= SAME_QUESTION * len(words[0] | words[1])

@@ -339,9 +339,9 @@ def _extreme(least: bool) -> Callable:
             return plain(c)
         filled = F.nullif(F.trim(c), F.lit(""))
         n = F.count(filled)
-        dates = F.count(F.when(filled.rlike(coerce.DATE_SHAPE), coerce.to_timestamp(filled)))
-        numbers = F.count(coerce.to_number(filled))
-        return F.when(n == dates, by(filled, coerce.to_timestamp(filled))).when(n == numbers, by(filled, coerce.to_number(filled))).otherwise(plain(filled))
+        time = F.when(filled.rlike(coerce.DATE_SHAPE), coerce.to_timestamp(filled))
+        number = coerce.to_number(filled)
+        return F.when(n == F.count(time), by(filled, time)).when(n == F.count(number), by(filled, number)).otherwise(plain(filled))
 
     return run
 
@@ -411,13 +411,25 @@ def prepare(scope: Scope, aggregations: list[dict]) -> tuple[Scope, list[dict]]:
 
 
 def window(scope: Scope, e: dict) -> Column:
-    """{function: {function, args}, partition_by: [expr], order: [key], frame?: {start, end}}; also any aggregate."""
+    """{function: {function, args}, partition_by: [expr], order: [key], frame?: {type, start, end}}; also any aggregate.
+
+    A frame is of ROWS (default) or RANGE; an end that is not given is open. FIRST_VALUE, LAST_VALUE and NTH_VALUE without a frame see the whole partition.
+    """
     call = e.get("function", {})
     name, args = str(call.get("function", "")).upper(), list(call.get("args", []))
     w = Window.partitionBy(*[scope.eval(p) for p in e.get("partition_by", [])]) if e.get("partition_by") else Window.partitionBy(F.lit(0))
     keys = [sort_key(scope, k) for k in e.get("order", [])]
     ordered = w.orderBy(*keys) if keys else w.orderBy(F.lit(0))
     whole = (ordered if keys else w).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    frame = e.get("frame")
+    if frame:
+        bound = lambda v, edge: edge if v is None else int(v)
+        limits = bound(frame.get("start"), Window.unboundedPreceding), bound(frame.get("end"), Window.unboundedFollowing)
+        kind = str(frame.get("type") or "ROWS").upper()
+        if kind not in ("ROWS", "RANGE"):
+            raise PlanError(f"Unsupported frame: {kind}")
+        framed = ordered.rowsBetween(*limits) if kind == "ROWS" else ordered.rangeBetween(*limits)
+        whole = framed
     literal = lambda i, default: args[i].get("value", default) if len(args) > i else default
     ranks = {"ROW_NUMBER": F.row_number, "RANK": F.rank, "DENSE_RANK": F.dense_rank, "PERCENT_RANK": F.percent_rank, "CUME_DIST": F.cume_dist}
     if name in ranks:
@@ -431,11 +443,7 @@ def window(scope: Scope, e: dict) -> Column:
         return (F.first if name == "FIRST_VALUE" else F.last)(scope.eval(args[0])).over(whole)
     if name == "NTH_VALUE":
         return F.nth_value(scope.eval(args[0]), int(literal(1, 1))).over(whole)
-    frame = e.get("frame")
-    bound = lambda v, edge: edge if v is None else int(v)
-    over = ordered if keys else w
-    if frame:
-        over = over.rowsBetween(bound(frame.get("start"), Window.unboundedPreceding), bound(frame.get("end"), Window.unboundedFollowing))
+    over = framed if frame else ordered if keys else w
     return aggregate(scope, {**call, "argument": call.get("argument") or (args[0] if args else {"type": "wildcard"})}).over(over)
 
 

@@ -51,7 +51,7 @@ SELECT c_custkey, (nullif(c_nationkey, 3) = 5) IS TRUE AS a, (nullif(c_nationkey
   nullif(c_nationkey, 3) IN (5, 7) AS d, NOT (nullif(c_nationkey, 3) > 5) AS e FROM customer""",
     "project_derive_arith": """
 SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS charge, l_extendedprice / l_quantity AS unit, l_orderkey % 5 AS rest, -l_linenumber AS neg, l_partkey + l_suppkey - 1 AS keys
-FROM lineitem WHERE l_linenumber <= 3""",
+FROM lineitem""",
     "agg_global": """
 SELECT count(*) AS n, count(DISTINCT l_partkey) AS parts, round(sum(l_quantity), 2) AS q, round(avg(l_discount), 6) AS d, min(l_shipdate) AS first_ship, max(l_shipdate) AS last_ship, min(l_returnflag) AS low FROM lineitem""",
     "agg_grouped": """
@@ -77,8 +77,7 @@ SELECT l_returnflag, round(percentile_cont(0.9) WITHIN GROUP (ORDER BY l_extende
 SELECT n_name, r_name, count(*) AS customers, round(sum(c_acctbal), 2) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY n_name, r_name""",
     "join_left": "SELECT c_custkey, count(o_orderkey) AS orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 200000 GROUP BY c_custkey",
     "join_right": "SELECT s_suppkey, n_name FROM supplier RIGHT JOIN nation ON s_nationkey = n_nationkey AND s_acctbal > 5000",
-    "join_full": """
-SELECT a.c_custkey AS c, b.o_orderkey AS o FROM (SELECT * FROM customer WHERE c_custkey % 3 = 0) a FULL OUTER JOIN (SELECT * FROM orders WHERE o_custkey % 2 = 0) b ON a.c_custkey = b.o_custkey""",
+    "join_full": "SELECT c_custkey AS c, o_orderkey AS o FROM customer FULL OUTER JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'F'",
     "join_cross": "SELECT n_name, r_name FROM nation CROSS JOIN region",
     "join_comma_where": "SELECT n_name, count(*) AS n FROM supplier, nation WHERE s_nationkey = n_nationkey GROUP BY n_name",
     "join_theta": "SELECT a.n_nationkey AS x, b.n_nationkey AS y FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey = b.n_regionkey",
@@ -87,13 +86,13 @@ SELECT a.c_custkey AS c, b.o_orderkey AS o FROM (SELECT * FROM customer WHERE c_
     "setop_union": "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier",
     "setop_union_all": "SELECT c_nationkey AS k, 'c' AS side FROM customer UNION ALL SELECT s_nationkey, 's' FROM supplier",
     "setop_intersect": "SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 5000 INTERSECT SELECT s_nationkey FROM supplier",
-    "setop_except": "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 0",
+    "setop_except": "SELECT c_custkey AS k FROM customer WHERE c_acctbal > 0 EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 300000",
     "setop_nested_ordered": "SELECT k FROM ((SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier) EXCEPT SELECT n_nationkey FROM nation WHERE n_regionkey = 1) AS x ORDER BY k LIMIT 12",
     "sub_scalar": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) * 1.5 FROM orders)",
     "sub_in": "SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)",
-    "sub_not_in": "SELECT n_name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_nationkey IS NOT NULL)",
+    "sub_not_in": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)",
     "sub_exists": "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)",
-    "sub_not_exists": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "sub_not_exists": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000)",
     "sub_correlated": "SELECT o_orderkey FROM orders o WHERE o_totalprice = (SELECT max(i.o_totalprice) FROM orders i WHERE i.o_custkey = o.o_custkey)",
     "sub_in_select": "SELECT n_name, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS suppliers FROM nation",
     "sub_derived_table": "SELECT k, max(n) AS most FROM (SELECT o_custkey % 10 AS k, o_custkey, count(*) AS n FROM orders GROUP BY o_custkey % 10, o_custkey) t GROUP BY k",
@@ -115,13 +114,7 @@ SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_
     "fn_string": """
 SELECT p_partkey, lower(p_name) AS lo, upper(p_type) AS up, length(p_name) AS n, trim(concat('  ', p_brand, ' ')) AS t, replace(p_name, 'a', '#') AS r, substring(p_name, 2, 3) AS s, left(p_type, 4) AS l, right(p_type, 3) AS rt, strpos(p_name, 'e') AS pos,
   p_brand || '-' || p_type AS both, regexp_replace(p_brand, '[0-9]', 'x', 'g') AS rx FROM part""",
-    "fn_math": "SELECT l_orderkey, l_linenumber, abs(l_quantity - 25) AS a, ceil(l_extendedprice) AS c, floor(l_extendedprice) AS f, round(l_extendedprice, 1) AS r, coalesce(nullif(l_linenumber, 2), 0) AS z FROM lineitem WHERE l_suppkey < 20",
-    # the whole tables; the queries of the same names without _whole read a subset
-    "project_derive_arith_whole": """
-SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS charge, l_extendedprice / l_quantity AS unit, l_orderkey % 5 AS rest, -l_linenumber AS neg, l_partkey + l_suppkey - 1 AS keys
-FROM lineitem""",
-    "join_full_whole": "SELECT c_custkey AS c, o_orderkey AS o FROM customer FULL OUTER JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'F'",
-    "fn_math_whole": "SELECT l_orderkey, l_linenumber, abs(l_quantity - 25) AS a, ceil(l_extendedprice) AS c, floor(l_extendedprice) AS f, round(l_extendedprice, 1) AS r, coalesce(nullif(l_linenumber, 2), 0) AS z FROM lineitem",
+    "fn_math": "SELECT l_orderkey, l_linenumber, abs(l_quantity - 25) AS a, ceil(l_extendedprice) AS c, floor(l_extendedprice) AS f, round(l_extendedprice, 1) AS r, coalesce(nullif(l_linenumber, 2), 0) AS z FROM lineitem",
     "fn_date": """
 SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d, quarter(o_orderdate) AS q, extract(doy FROM o_orderdate) AS doy, CAST(o_orderdate AS DATE) AS dt, date_part('month', o_orderdate) AS dp FROM orders""",
     "fn_null": "SELECT c_custkey, coalesce(nullif(c_mktsegment, 'BUILDING'), 'none') AS a, nullif(c_nationkey, 4) AS b, ifnull(nullif(c_nationkey, 4), -1) AS c FROM customer",
@@ -168,10 +161,6 @@ SELECT o_orderkey, CAST(sign * (months // 12) AS INTEGER) AS y, CAST(sign * (mon
         "SELECT o_orderkey, strptime(strftime(o_orderdate, '%d.%m.%Y'), '%d.%m.%Y') AS t FROM orders",
     ),
     "unnest_explode": (
-        "SELECT word, count(*) AS n FROM documents, UNNEST(split(lower(text), ' ')) AS t(word) WHERE lang = 'en' GROUP BY word",
-        "SELECT word, count(*) AS n FROM (SELECT unnest(string_split(lower(text), ' ')) AS word FROM documents WHERE lang = 'en') GROUP BY word",
-    ),
-    "unnest_explode_whole": (
         "SELECT word, count(*) AS n FROM documents, UNNEST(split(lower(text), ' ')) AS t(word) GROUP BY word",
         "SELECT word, count(*) AS n FROM (SELECT unnest(string_split(lower(text), ' ')) AS word FROM documents) GROUP BY word",
     ),
@@ -306,8 +295,10 @@ def dag_functions(spark: SparkSession, d: str) -> DataFrame:
     return last(engine(spark, d, ["part"]), plan)
 
 
-def _recursive_set(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """Customers reached from customer 1 by orders that lead from one to another: set semantics, by deltas."""
+def recursive_set(spark: SparkSession, d: str) -> DataFrame:
+    """Customers reached from customer 1 by orders that lead from one to another: set semantics, by deltas. Every customer is a node."""
+    customers = load(spark, d, "customer").agg(F.count("*").alias("n"))
+    edges = load(spark, d, "orders").crossJoin(customers).select(F.col("o_custkey").alias("a"), ((F.col("o_orderkey") * 7) % F.col("n") + 1).alias("b")).distinct()
     scan = {"id": "S", "op": "Scan", "params": {"source": "edges"}, "input": ["edges"], "output": "e"}
     seed = {"nodes": [scan, {"id": "F", "op": "Filter", "dependency": ["e"], "params": {"predicate": op("=", col("a"), lit(1))}, "output": "f"}, {"id": "P", "op": "Project", "dependency": ["f"], "params": {"expressions": [{"expr": col("b"), "alias": "node"}]}, "output": "p"}], "output": "p"}
     step = {
@@ -323,16 +314,6 @@ def _recursive_set(spark: SparkSession, edges: DataFrame) -> DataFrame:
     return e.run_plan(plan)["answer_table"]
 
 
-def recursive_set(spark: SparkSession, d: str) -> DataFrame:
-    return _recursive_set(spark, load(spark, d, "orders").select((F.col("o_custkey") % 500).alias("a"), ((F.col("o_orderkey") * 7) % 500).alias("b")).distinct())
-
-
-def recursive_set_whole(spark: SparkSession, d: str) -> DataFrame:
-    """Every customer is a node of its own, at every scale."""
-    customers = load(spark, d, "customer").agg(F.count("*").alias("n"))
-    return _recursive_set(spark, load(spark, d, "orders").crossJoin(customers).select(F.col("o_custkey").alias("a"), ((F.col("o_orderkey") * 7) % F.col("n") + 1).alias("b")).distinct())
-
-
 def batch_shared_subplan(spark: SparkSession, d: str) -> DataFrame:
     """Two answers of one batch that share their scan, filter and group."""
     steps = (("Filter", {"predicate": op(">", col("l_quantity"), lit(20))}), ("Group", {"keys": [col("l_returnflag")]}))
@@ -349,33 +330,27 @@ def _text_lineitem(lines: DataFrame) -> DataFrame:
     return lines.select("l_orderkey", F.concat(F.lit("$"), F.format_number("l_extendedprice", 2), F.lit(" (est)")).alias("price"), F.concat(F.format_number(F.col("l_discount") * 100, 1), F.lit(" %")).alias("share"), F.when(F.col("l_quantity") > 40, F.lit("unknown")).otherwise(F.concat(F.lit("- "), F.col("l_quantity").cast("int").cast("string"))).alias("change"))
 
 
-def _coerce_numeric_text(spark: SparkSession, lines: DataFrame) -> DataFrame:
+def coerce_numeric_text(spark: SparkSession, d: str) -> DataFrame:
     plan = chain(
         "prices",
         ("Filter", {"predicate": op(">", col("PRICE"), lit(20000))}),
         ("Aggregate", {"aggregations": [agg("COUNT", "n"), agg("SUM", "total", col("price")), agg("AVG", "share", col("share")), agg("SUM", "change", col("Change")), agg("MAX", "top", col("price"))]}),
         ("Project", {"expressions": [{"expr": col("n")}] + [{"expr": call("ROUND", col(c), lit(2)), "alias": c} for c in ("total", "share", "change")] + [{"expr": {"type": "cast", "expr": col("top"), "to": "double"}, "alias": "top"}]}),
     )
-    e = Engine(spark, "lenient").register("prices", _text_lineitem(lines))
+    e = Engine(spark, "lenient").register("prices", _text_lineitem(load(spark, d, "lineitem")))
     return last(e, plan)
 
 
-def coerce_numeric_text(spark: SparkSession, d: str) -> DataFrame:
-    return _coerce_numeric_text(spark, load(spark, d, "lineitem").filter("l_linenumber = 1"))
-
-
-def coerce_numeric_text_whole(spark: SparkSession, d: str) -> DataFrame:
-    return _coerce_numeric_text(spark, load(spark, d, "lineitem"))
-
-
 def filter_repair(spark: SparkSession, d: str) -> DataFrame:
     """A literal in other case and spacing than the data finds its rows."""
     plan = chain("customer", ("Filter", {"predicate": {"type": "logical_op", "op": "AND", "operands": [op("=", col("c_mktsegment"), lit(" building ")), op(">", col("c_acctbal"), lit(0))]}}), ("Project", {"expressions": [{"expr": col("c_custkey")}, {"expr": col("c_mktsegment")}]}))
     return last(engine(spark, d, ["customer"], "lenient"), plan)
 
 
-def _lenient_setops_sort(spark: SparkSession, a: DataFrame, b: DataFrame) -> DataFrame:
-    """By-name union of text tables, ordered by the number in the text, first rows."""
+def lenient_setops_sort(spark: SparkSession, d: str) -> DataFrame:
+    """By-name union of text tables (orders not open, and those not finished, which share the orders in progress), ordered by the number in the text, first rows."""
+    o = load(spark, d, "orders")
+    a, b = o.filter("o_orderstatus IS DISTINCT FROM 'O'"), o.filter("o_orderstatus IS DISTINCT FROM 'F'")
     nodes = [
         {"id": "A", "op": "Scan", "params": {"source": "a"}, "output": "a"},
         {"id": "B", "op": "Scan", "params": {"source": "b"}, "output": "b"},
@@ -388,17 +363,6 @@ def _lenient_setops_sort(spark: SparkSession, a: DataFrame, b: DataFrame) -> Dat
     return e.run_plan({"nodes": nodes})["l"]
 
 
-def lenient_setops_sort(spark: SparkSession, d: str) -> DataFrame:
-    o = load(spark, d, "orders")
-    return _lenient_setops_sort(spark, o.filter("o_orderkey % 2 = 0"), o.filter("o_orderkey % 3 = 0"))
-
-
-def lenient_setops_sort_whole(spark: SparkSession, d: str) -> DataFrame:
-    """All orders: those not open and those not finished, which share the orders in progress."""
-    o = load(spark, d, "orders")
-    return _lenient_setops_sort(spark, o.filter("o_orderstatus IS DISTINCT FROM 'O'"), o.filter("o_orderstatus IS DISTINCT FROM 'F'"))
-
-
 GRAPHS: dict[str, tuple[Query, str]] = {
     "dag_flagship": (dag_flagship, SHARED["flagship_revenue"]),
     "dag_aggregates": (
@@ -428,10 +392,6 @@ SELECT p_partkey, upper(p_name) AS up, length(p_name) AS n, strpos(p_name, 'e')
     ),
     "recursive_set": (
         recursive_set,
-        "WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 500 AS a, (o_orderkey * 7) % 500 AS b FROM orders), r(node) AS (SELECT b FROM e WHERE a = 1 UNION SELECT e.b FROM r JOIN e ON e.a = r.node) SELECT node FROM r",
-    ),
-    "recursive_set_whole": (
-        recursive_set_whole,
         "WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, (o_orderkey * 7) % (SELECT count(*) FROM customer) + 1 AS b FROM orders), r(node) AS (SELECT b FROM e WHERE a = 1 UNION SELECT e.b FROM r JOIN e ON e.a = r.node) SELECT node FROM r",
     ),
     "batch_shared_subplan": (
@@ -441,22 +401,12 @@ SELECT p_partkey, upper(p_name) AS up, length(p_name) AS n, strpos(p_name, 'e')
     "coerce_numeric_text": (
         coerce_numeric_text,
         """
-WITH t AS (SELECT round(l_extendedprice, 2) AS price, round(l_discount * 100, 1) AS share, CASE WHEN l_quantity > 40 THEN NULL ELSE -floor(l_quantity) END AS change FROM lineitem WHERE l_linenumber = 1)
-SELECT count(*) AS n, round(sum(price), 2) AS total, round(avg(share), 2) AS share, round(sum(change), 2) AS change, max(price) AS top FROM t WHERE price > 20000""",
-    ),
-    "coerce_numeric_text_whole": (
-        coerce_numeric_text_whole,
-        """
 WITH t AS (SELECT round(l_extendedprice, 2) AS price, round(l_discount * 100, 1) AS share, CASE WHEN l_quantity > 40 THEN NULL ELSE -floor(l_quantity) END AS change FROM lineitem)
 SELECT count(*) AS n, round(sum(price), 2) AS total, round(avg(share), 2) AS share, round(sum(change), 2) AS change, max(price) AS top FROM t WHERE price > 20000""",
     ),
     "filter_repair": (filter_repair, "SELECT c_custkey, c_mktsegment FROM customer WHERE lower(trim(c_mktsegment)) = 'building' AND c_acctbal > 0"),
     "lenient_setops_sort": (
         lenient_setops_sort,
-        "SELECT o_orderkey AS k, format('{:,}', CAST(round_even(o_totalprice, 0) AS BIGINT)) || ' lb' AS amount FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0 ORDER BY round_even(o_totalprice, 0) DESC, o_orderkey LIMIT 30 OFFSET 5",
-    ),
-    "lenient_setops_sort_whole": (
-        lenient_setops_sort_whole,
         "SELECT o_orderkey AS k, format('{:,}', CAST(round_even(o_totalprice, 0) AS BIGINT)) || ' lb' AS amount FROM orders ORDER BY round_even(o_totalprice, 0) DESC, o_orderkey LIMIT 30 OFFSET 5",
     ),
 }

@@ -15,6 +15,8 @@ from rowan.operators.scoring import score_answers
 from rowan.operators.verify import average_of_columns, ranked_target, relative_row
 from rowan.sources import load
 
+# the columns of lineitem in which some value reads as a number, as SQL must name them
+NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
@@ -23,11 +25,11 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def evidence_statistical(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(V.statistical_evidence(load(spark, d, "lineitem"), MEASURES), 4)
+    return rounded(V.statistical_evidence(load(spark, d, "lineitem")), 4)
 
 
 def evidence_correlation(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(V.correlation_evidence(load(spark, d, "lineitem"), MEASURES))
+    return rounded(V.correlation_evidence(load(spark, d, "lineitem")))
 
 
 def evidence_row_extrema(spark: SparkSession, d: str) -> DataFrame:
@@ -40,10 +42,6 @@ def average_rank(spark: SparkSession, d: str) -> DataFrame:
 
 
 def profile_columns(spark: SparkSession, d: str) -> DataFrame:
-    return P.profile_columns(load(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_custkey"))
-
-
-def profile_columns_whole(spark: SparkSession, d: str) -> DataFrame:
     return P.profile_columns(load(spark, d, "orders"))
 
 
@@ -157,7 +155,7 @@ def check_average_columns(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        evidence_statistical, evidence_correlation, evidence_row_extrema, average_rank, profile_columns, profile_columns_whole, join_candidates, join_paths, value_grounding, inspect_values, doc_join_pages, doc_chunk_window, doc_chunk_span,
+        evidence_statistical, evidence_correlation, evidence_row_extrema, average_rank, profile_columns, join_candidates, join_paths, value_grounding, inspect_values, doc_join_pages, doc_chunk_window, doc_chunk_span,
         doc_chunk_page, doc_rank_chunks, doc_map_reduce, udf_group, score_em, score_rouge, score_denotation, check_relative_row, check_ranked_target, check_average_columns,
     )
 }
@@ -167,24 +165,20 @@ bodies AS (SELECT doc_id, page_index, '[Page ' || page_index || ']' || chr(10) |
 placed AS (SELECT *, CAST(sum(length(body) + 2) OVER (PARTITION BY doc_id ORDER BY page_index) - 2 AS INTEGER) AS char_end FROM bodies)"""
 _WINDOWS = """chunks AS (SELECT doc_id, 'chunk_' || ((s // 280)) AS chunk_id, 'sliding_window' AS strategy, 'char' AS unit, CAST(s AS INTEGER) AS char_start, CAST(least(s + 300, length(t)) AS INTEGER) AS char_end,
   CAST(least(s + 300, length(t)) - s AS INTEGER) AS char_count, substring(t, s + 1, least(s + 300, length(t)) - s) AS text FROM (SELECT doc_id, t, unnest(range(0, greatest(length(t) - 20 - 1, 0) + 1, 280)) AS s FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)))"""
+_PHRASES = f"[{', '.join(repr(p) for p in D.PHRASES)}]"
 _STAT = "SELECT '{0}' AS \"column\", count({0}) AS n, round(avg({0}), 4) AS mean, round(median({0}), 4) AS median, round(min({0}), 4) AS min, round(max({0}), 4) AS max, round(stddev_samp({0}), 4) AS std FROM lineitem"
 _PAIR = """
 SELECT '{0}' AS "left", '{1}' AS "right", count(*) AS n, round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 6) AS spearman FROM (
   SELECT {0} AS x, {1} AS y, rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2.0 AS rx, rank() OVER (ORDER BY {1}) + (count(*) OVER (PARTITION BY {1}) - 1) / 2.0 AS ry FROM lineitem)"""
 
 ORACLES = {
-    "evidence_statistical": "\nUNION ALL ".join(_STAT.format(c) for c in MEASURES),
-    "evidence_correlation": "\nUNION ALL ".join(_PAIR.format(a, b) for i, a in enumerate(MEASURES) for b in MEASURES[i + 1 :]),
+    "evidence_statistical": "\nUNION ALL ".join(_STAT.format(c) for c in NUMBERS),
+    "evidence_correlation": "\nUNION ALL ".join(_PAIR.format(a, b) for i, a in enumerate(NUMBERS) for b in NUMBERS[i + 1 :]),
     "evidence_row_extrema": """
 SELECT l_orderkey || '-' || l_linenumber AS label, round(list_stddev_samp([l_quantity, l_extendedprice, l_discount, l_tax]), 4) AS std FROM lineitem ORDER BY list_stddev_samp([l_quantity, l_extendedprice, l_discount, l_tax]) DESC, label LIMIT 3""",
     "average_rank": "SELECT DISTINCT o_orderpriority, o_custkey, rank() OVER (PARTITION BY o_orderpriority ORDER BY o_custkey) + (count(*) OVER (PARTITION BY o_orderpriority, o_custkey) - 1) / 2.0 AS rank FROM orders",
     "profile_columns": """
 SELECT 'o_orderkey' AS "column", 'number' AS kind, count(*) AS filled, count(*) AS numbers, min(o_orderkey::VARCHAR) AS low, max(o_orderkey::VARCHAR) AS high FROM orders
-UNION ALL SELECT 'o_orderstatus', 'string', count(*), 0, min(o_orderstatus), max(o_orderstatus) FROM orders
-UNION ALL SELECT 'o_orderpriority', 'string', count(*), 0, min(o_orderpriority), max(o_orderpriority) FROM orders
-UNION ALL SELECT 'o_custkey', 'number', count(*), count(*), min(o_custkey::VARCHAR), max(o_custkey::VARCHAR) FROM orders""",
-    "profile_columns_whole": """
-SELECT 'o_orderkey' AS "column", 'number' AS kind, count(*) AS filled, count(*) AS numbers, min(o_orderkey::VARCHAR) AS low, max(o_orderkey::VARCHAR) AS high FROM orders
 UNION ALL SELECT 'o_custkey', 'number', count(*), count(*), min(o_custkey::VARCHAR), max(o_custkey::VARCHAR) FROM orders
 UNION ALL SELECT 'o_orderstatus', 'string', count(*), 0, min(o_orderstatus), max(o_orderstatus) FROM orders
 UNION ALL SELECT 'o_totalprice', 'number', count(*), count(*), min(o_totalprice::VARCHAR), max(o_totalprice::VARCHAR) FROM orders
@@ -203,7 +197,7 @@ FROM c LEFT JOIN placed p ON p.doc_id = c.doc_id AND p.char_end - length(p.body)
 WITH {_PAGES} SELECT doc_id, 'chunk_' || page_index AS chunk_id, 'page' AS strategy, 'page' AS unit, CAST(char_end - length(body) AS INTEGER) AS char_start, char_end, CAST(length(body) AS INTEGER) AS char_count,
   page_index AS page_start, page_index AS page_end, 1 AS page_count, body AS text FROM placed""",
     "doc_rank_chunks": f"""
-WITH {_WINDOWS}, s AS (SELECT *, len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[a-z][a-z0-9&%-]{{2,}}')), ['plan', 'groups', 'rows', 'vote', 'share', 'attendance'])) + 3 * (CAST(contains(lower(text), 'net income') AS INTEGER)) AS score FROM chunks),
+WITH {_WINDOWS}, s AS (SELECT *, len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[a-z][a-z0-9&%-]{{2,}}')), ['which', 'plan', 'groups', 'rows', 'vote', 'share', 'and', 'attendance'])) + 3 * len(list_filter({_PHRASES}, lambda p: contains(lower(text), p))) AS score FROM chunks),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY char_start) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS n, max(score) OVER (PARTITION BY doc_id) AS best, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, char_start) AS k FROM s)
 SELECT doc_id, chunk_id, CAST(score AS INTEGER) AS score FROM r WHERE n <= 2 OR (best > 0 AND k <= 2) OR (best = 0 AND (i = 0 OR i = n - 1))""",
     "doc_map_reduce": f"""

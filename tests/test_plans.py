@@ -5,11 +5,11 @@ from pyspark.sql import functions as F
 
 from rowan.operators.answer import accepts, append_numeric_detail, format_answer
 from rowan.operators.recursion import repeat_union
-from rowan.operators.repair import classify_empty_filter
-from rowan.plans.dialect import extract_sql, guard, normalise
+from rowan.operators.repair import classify_empty_filter, repair_filter
+from rowan.plans.dialect import extract_sql, guard, normalise, shape_answer
 from rowan.plans.engine import Engine
 from rowan.plans.expr import PlanError
-from rowan.queries_core import agg, call, chain, col, lit, op
+from rowan.queries_core import agg, call, chain, col, last, lit, op
 
 
 def run(spark, rows, schema, *steps, semantics="lenient", answer=None):
@@ -227,21 +227,109 @@ def test_extraction_and_guards():
     for bad in ("", "SELECT 1; SELECT 2", '{"a": 1}', "-- nothing"):
         with pytest.raises(PlanError):
             extract_sql(bad)
-    for bad in ("DROP TABLE t", "insert into t values (1)", "WITH x AS (SELECT 1) DELETE FROM t", "CREATE TABLE a AS SELECT 1", "SET x = 1"):
+    for bad in ("DROP TABLE t", "insert into t values (1)", "CREATE TABLE a AS SELECT 1", "SET x = 1", "TABLE t"):
         with pytest.raises(PlanError):
             guard(bad)
-    guard("SELECT replace(a, 'x', 'DROP TABLE') FROM t", {"t"})
-    guard("WITH c AS (SELECT * FROM t), d(x) AS (SELECT 1) SELECT extract(year FROM a) FROM c, d AS e LEFT JOIN t ON a IS DISTINCT FROM b", {"t"})
-    for bad in ("SELECT * FROM u", "SELECT * FROM t, u", "SELECT * FROM t JOIN u ON 1 = 1", "SELECT (SELECT max(x) FROM u) FROM t"):
+
+
+def test_guard_on_the_parsed_plan(spark):
+    e = Engine(spark).register("t", spark.createDataFrame([("DROP TABLE", datetime.date(2020, 1, 2), [1])], "a string, d date, xs array<int>"))
+    spark.range(3).createOrReplaceTempView("secret")
+    good = [
+        "SELECT replace(a, 'x', 'DROP TABLE') AS r FROM t", "WITH c AS (SELECT * FROM t), e(x) AS (SELECT 'a') SELECT extract(year FROM c.d) AS y FROM c, e AS f LEFT JOIN t ON t.a IS DISTINCT FROM f.x",
+        "SELECT x FROM t LATERAL VIEW explode(xs) v AS x", "SELECT a, (SELECT max(d) FROM t) AS m FROM t WHERE EXISTS (SELECT 1 FROM t)", "SELECT * FROM t, UNNEST(xs) AS u(x)", "SELECT id FROM range(3)", "VALUES (1), (2)",
+    ]
+    for text in good:
+        e.sql(text).collect()
+    bad = [
+        "SELECT * FROM secret", "SELECT * FROM t, secret", "SELECT * FROM t JOIN secret ON 1 = 1", "SELECT (SELECT max(id) FROM secret) FROM t", "WITH c AS (TABLE secret) SELECT * FROM c", "SELECT * FROM (TABLE secret)",
+        "SELECT reflect('java.lang.System', 'getProperty', 'user.home') FROM t", "SELECT java_method('java.lang.Math', 'abs', 1) FROM t", "SELECT try_reflect('java.lang.Math', 'abs', 1)", "SELECT * FROM parquet.`/tmp/x`", "SELECT input_file_name() FROM t",
+        "WITH x AS (SELECT 1) INSERT INTO t SELECT * FROM x", "FROM t INSERT INTO u SELECT a", "SELECT TRANSFORM(a) USING 'cat' AS (b) FROM t", "SELECT * FROM t WHERE a IN (SELECT id FROM secret)",
+    ]
+    for text in bad:
         with pytest.raises(PlanError):
-            guard(bad, {"t"})
+            e.sql(text)
+    spark.catalog.dropTempView("secret")
 
 
 def test_normalisation():
-    assert normalise("SELECT \"a \"\"b\"\"\", 'x\"y' FROM t") == ("SELECT `a \"b\"`, 'x\"y' FROM t", False)
-    assert normalise("SELECT strpos(lower(a), 'x') FROM t")[0] == "SELECT locate('x', lower(a)) FROM t"
-    assert normalise("SELECT CAST(a AS VARCHAR), CAST(b AS VARCHAR(3)) FROM t")[0] == "SELECT CAST(a AS STRING), CAST(b AS VARCHAR(3)) FROM t"
-    assert normalise("SELECT a FROM t QUALIFY rn = 1")[1]
+    assert normalise("SELECT \"a \"\"b\"\"\", 'x\"y' FROM t") == "SELECT `a \"b\"`, 'x\"y' FROM t"
+    assert normalise("SELECT strpos(lower(a), 'x') FROM t") == "SELECT locate('x', lower(a)) FROM t"
+    assert normalise("SELECT CAST(a AS VARCHAR), CAST(b AS VARCHAR(3)) FROM t") == "SELECT CAST(a AS STRING), CAST(b AS VARCHAR(3)) FROM t"
+
+
+def test_qualify_anywhere(spark):
+    e = Engine(spark).register("t", spark.createDataFrame([(1, 5), (1, 7), (2, 3)], "k int, v int"))
+    top = "SELECT k, v FROM t QUALIFY row_number() OVER (PARTITION BY k ORDER BY v DESC) = 1"
+    rows = lambda text: sorted(tuple(r) for r in e.sql(text).collect())
+    assert rows(top) == [(1, 7), (2, 3)] and e.sql(top).columns == ["k", "v"]
+    assert rows(f"SELECT k FROM ({top}) WHERE v > 3") == [(1,)]
+    assert rows(f"WITH c AS ({top}) SELECT max(v) AS m FROM c") == [(7,)]
+    assert rows(f"{top} UNION ALL {top} ORDER BY k LIMIT 3") == [(1, 7), (1, 7), (2, 3)]
+    assert rows(f"SELECT k FROM t WHERE v IN (SELECT v FROM ({top}))") == [(1,), (2,)]
+
+
+def test_frames_of_graph_windows(spark):
+    df = spark.createDataFrame([(1, 1), (2, 2), (3, 3)], "k int, v int")
+    w = lambda f, *args, **frame: {"type": "window_function", "function": {"function": f, "args": list(args)}, "order": [{"expr": col("k")}], "frame": frame or None}
+    plan = chain("t", ("Derive", {"expressions": [{"expr": w("LAST_VALUE", col("v"), start=-1, end=0), "alias": "a"}, {"expr": w("FIRST_VALUE", col("v"), start=-1, end=0), "alias": "b"}, {"expr": w("NTH_VALUE", col("v"), lit(2), start=-1, end=0), "alias": "c"}, {"expr": w("SUM", col("v"), type="RANGE", start=-1, end=0), "alias": "d"}, {"expr": w("LAST_VALUE", col("v")), "alias": "e"}]}))
+    assert [tuple(r)[2:] for r in last(Engine(spark).register("t", df), plan).orderBy("k").collect()] == [(1, 1, None, 1, 3), (2, 1, 2, 3, 3), (3, 2, 3, 5, 3)]
+    with pytest.raises(PlanError):
+        last(Engine(spark).register("t", df), chain("t", ("Derive", {"expressions": [{"expr": w("SUM", col("v"), type="GROUPS", start=-1, end=0), "alias": "a"}]})))
+
+
+def test_first_rows_follow_the_order(spark):
+    df = spark.createDataFrame([("x", 1, "b"), ("x", 3, "a"), ("y", 2, "c"), ("x", 3, "0")], "k string, n int, s string").repartition(3)
+    e = Engine(spark, "lenient").register("t", df)
+    on = ("Distinct", {"on": [col("k")]})
+    order = lambda c, d: ("Sort", {"keys": [{"expr": col(c), "direction": d}]})
+    rows = lambda *steps: sorted(tuple(r) for r in last(e, chain("t", *steps)).collect())
+    assert rows(order("n", "DESC"), on) == [("x", 3, "0"), ("y", 2, "c")]
+    assert rows(order("n", "ASC"), on) == [("x", 1, "b"), ("y", 2, "c")] == rows(on)
+    grouped = ("Group", {"keys": [col("k")]}), ("Aggregate", {"grouped": True, "aggregations": [agg("COUNT", "c")]})
+    assert sorted((r.k, r.c, r.n, r.s) for r in last(e, chain("t", order("n", "DESC"), *grouped)).collect()) == [("x", 3, 3, "0"), ("y", 1, 2, "c")]
+
+
+def test_first_emptying_node(spark):
+    e = Engine(spark).register("t", spark.createDataFrame([("Lisbon", 1), ("Porto", 2)], "city string, n int"))
+    plan = chain("t", ("Filter", {"predicate": op(">", col("n"), lit(0))}), ("Filter", {"predicate": op("=", col("city"), lit("'LISBON'"))}), ("Limit", {"count": 3}))
+    found = e.runner().first_emptying(plan)
+    assert (found["node"], found["op"]) == ("N2", "Filter") and found["literals"][0]["reason"] == "quoting"
+    assert e.runner().first_emptying(chain("t", ("Limit", {"count": 3}))) is None
+
+
+def test_repair_of_many_conditions(spark):
+    df = spark.createDataFrame([(" Lisbon", "Red", 1), ("Porto", "BLUE", 2)], "city string, colour string, n int")
+    either = lambda *xs: {"type": "logical_op", "op": "OR", "operands": list(xs)}
+    both = lambda *xs: {"type": "logical_op", "op": "AND", "operands": list(xs)}
+
+    def rows(p):
+        out, repairs = repair_filter(df, p)
+        return [r.n for r in out.collect()], [r.get("values") for r in repairs]
+
+    assert rows(both(op("=", col("city"), lit("lisbon")), op("=", col("colour"), lit("RED")))) == ([1], [["lisbon"], ["RED"]])
+    # of alternatives the last one is repaired, and no more than is needed
+    assert rows(either(op("=", col("city"), lit("LISBON")), op("=", col("colour"), lit("blue")))) == ([2], [["blue"]])
+    many = both(*[either(*[op("=", col("city"), lit(f"none {i}")) for i in range(3)], op("=", col("city"), lit("PORTO"))) for _ in range(4)])
+    assert rows(many)[0] == [2] and len(rows(many)[1]) == 4
+    assert rows(op("=", col("city"), lit("nowhere"))) == ([], [])
+
+
+def test_kept_results(spark):
+    e = Engine(spark).register("t", spark.range(5))
+    text = "SELECT id * 2 AS x FROM t WHERE id > 1"
+    assert e.result(text) is e.result(f"```sql\n{text};\n```")
+    e.register_result("before", text)
+    assert e.answer("SELECT sum(x) AS s FROM before", "s", "number") == 18 and e.result(text) is e.sources["before"]
+
+
+def test_shapes_of_answers():
+    assert shape_answer("SELECT a AS x, b FROM t", "ans") == "SELECT concat_ws(', ', a, b) AS \"ans\" FROM t"
+    assert shape_answer("SELECT count(*), max(f(a, b)) AS ans FROM t", "ans", "number") == "SELECT count(*) AS \"ans\" FROM t"
+    assert shape_answer("SELECT DISTINCT a FROM t", "ans") == "SELECT DISTINCT a AS \"ans\" FROM t"
+    for same in ("SELECT * FROM t", "WITH c AS (SELECT 1) SELECT * FROM c", "SELECT a FROM t UNION SELECT b FROM u"):
+        assert shape_answer(same, "ans") == same
+    assert shape_answer("SELECT a, b FROM t", "ans", "table") == "SELECT a, b FROM t"
 
 
 def test_validation(spark):
@@ -260,10 +348,25 @@ def test_batches_share_subplans(spark):
     runner = e.runner()
     out = runner.run({"query_plans": [{"nodes": p["nodes"], "answer": {"name": n}, "output": "T2"} for p, n in ((a, "p"), (b, "q"))]})
     assert runner.shared == 2 and out["p"].count() == 2 and out["q"].count() == 4
+
+
+def test_questions_share_statements_only_if_they_are_the_same(spark):
+    e = Engine(spark).register("t", spark.createDataFrame([(2004, 1), (2005, 9)], "y int, v int"))
+    ask = lambda q, n, kind="number": {"question": q, "answer": {"name": n, "type": kind}}
     seen = []
-    planner = lambda q: seen.append(q["question"]) or "SELECT count(*) AS n FROM t"
-    qs = [{"question": q, "answer": {"name": n, "type": "number"}} for q, n in (("How many rows are in the table t", "a"), ("How many rows are in the table t?", "b"), ("What else?", "c"))]
-    assert e.answers(qs, planner) == {"a": 9, "b": 9, "c": 9} and len(seen) == 2
+
+    def planner(q):
+        seen.append(q["question"])
+        return f"SELECT v FROM t WHERE y = {q['question'][-5:-1]}"
+
+    same = [ask("How much was sold in the year 2004?", "a"), ask("How much was sold in the year 2005?", "b"), ask("how much was sold  in the year 2004?", "c")]
+    assert e.answers(same, planner) == {"a": 1, "b": 9, "c": 1} and len(seen) == 2
+    one = iter(["SELECT count(*) AS n FROM t", None])
+    assert e.answers([ask("How many rows are in the table t", "a"), ask("How many rows are there in the table t", "b")], lambda _: next(one)) == {"a": 2, "b": 2}
+    for pair in (same[:2], [same[0], ask("How much was sold in the year 2004 ?", "b", "string")], [*same[:1], ask("Who?", "b")]):
+        one = iter(["SELECT count(*) AS n FROM t", None])
+        with pytest.raises(PlanError):
+            e.answers(pair, lambda _: next(one))  # noqa: B023
 
 
 # ---------------------------------------------------------------- answers
