@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import DataFrame
@@ -12,7 +13,7 @@ from pyspark.sql.types import NumericType, StringType
 from rowan.functions.coerce import to_number
 from rowan.operators.ranks import average_ranks
 from rowan.plans.expr import quoted
-from rowan.session import cut_lineage
+from rowan.session import cut_lineage, spread
 
 # Evidence for a planner shows so many columns and pairs; the tables it is made of have all.
 SHOWN_COLUMNS = 40
@@ -80,12 +81,9 @@ def correlation_evidence(df: DataFrame, columns: list[str] | None = None, most:
     pairs = list(combinations(columns, 2))
     if not pairs:
         return df.sparkSession.createDataFrame([], schema)
-    x = {c: _num(df, c) for c in columns}
-    packed = []
-    for a, b in pairs:
-        both = x[a].isNotNull() & x[b].isNotNull()
-        packed.append(F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.count(F.when(both, 1)).alias("n"), F.corr(F.when(both, x[a]), F.when(both, x[b])).alias("pearson")))
-    best = df.agg(F.array(*packed).alias("m")).select(F.inline("m")).filter("n >= 2 and pearson is not null and not isnan(pearson)")
+    wide = spread(df.select(*[_num(df, c).alias(f"x{i}") for i, c in enumerate(columns)]))
+    at = {c: i for i, c in enumerate(columns)}
+    best = _pair_correlations(wide, [(a, b, f"x{at[a]}", f"x{at[b]}") for a, b in pairs]).withColumnRenamed("r", "pearson").filter("n >= 2 and pearson is not null and not isnan(pearson)")
     best = best.orderBy(F.abs("pearson").desc(), "left", "right")
     best = cut_lineage(best if most is None else best.limit(most))
     rows = df.count()
@@ -93,28 +91,36 @@ def correlation_evidence(df: DataFrame, columns: list[str] | None = None, most:
     parts = []
     whole = sorted({c for a, b, complete in chosen if complete for c in (a, b)})
     if whole:  # without NULLs a column's ranks are the same in every pair
-        wide = df.select(*[x[c].alias(f"x{i}") for i, c in enumerate(whole)])
-        long = wide.select(F.inline(F.array(*[F.struct(F.lit(i).alias("c"), F.col(f"x{i}").alias("v")) for i in range(len(whole))])))
+        long = wide.select(F.inline(F.array(*[F.struct(F.lit(at[c]).alias("c"), F.col(f"x{at[c]}").alias("v")) for c in whole])))
         ranks = cut_lineage(average_ranks(long, ["c"], "v"))
         values = dict(ranks.groupBy("c").count().collect())
-        for i in range(len(whole)):
+        ranked = wide
+        for i in sorted((at[c] for c in whole), key=lambda i: -values.get(i, 0)):
             own = ranks.filter(F.col("c") == i).select(F.col("v").alias(f"x{i}"), F.col("rank").alias(f"r{i}"))
-            wide = wide.join(F.broadcast(own) if values.get(i, 0) <= BROADCAST_VALUES else own, f"x{i}")
-        at = {c: f"r{i}" for i, c in enumerate(whole)}
-        packed = [F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.corr(at[a], at[b]).alias("spearman")) for a, b, complete in chosen if complete]
-        parts.append(wide.agg(F.array(*packed).alias("m")).select(F.inline("m")))
+            ranked = ranked.join(F.broadcast(own) if values.get(i, 0) <= BROADCAST_VALUES else own, f"x{i}")
+        parts.append(_pair_correlations(ranked, [(a, b, f"r{at[a]}", f"r{at[b]}") for a, b, complete in chosen if complete]))
     gaps = [(a, b) for a, b, complete in chosen if not complete]
     if gaps:
-        long = df.select(F.inline(F.array(*[F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), x[a].alias("x"), x[b].alias("y")) for a, b in gaps]))).filter("x is not null and y is not null")
-        ranks = [average_ranks(long, ["left", "right"], c).withColumnRenamed("rank", f"r{c}") for c in ("x", "y")]
-        ranked = long.join(ranks[0], ["left", "right", "x"]).join(ranks[1], ["left", "right", "y"])
-        parts.append(ranked.groupBy("left", "right").agg(F.corr("rx", "ry").alias("spearman")))
+        long = wide.select(F.inline(F.array(*[F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(f"x{at[a]}").alias("x"), F.col(f"x{at[b]}").alias("y")) for a, b in gaps]))).filter("x is not null and y is not null")
+        both = [average_ranks(long, ["left", "right"], c).withColumnRenamed("rank", f"r{c}") for c in ("x", "y")]
+        parts.append(long.join(both[0], ["left", "right", "x"]).join(both[1], ["left", "right", "y"]).groupBy("left", "right").agg(F.corr("rx", "ry").alias("r")))
     if not parts:
         return best.withColumn("spearman", F.lit(None).cast("double"))
-    spearman = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    spearman = reduce(DataFrame.union, [p.select("left", "right", F.col("r").alias("spearman")) for p in parts])
     return best.join(spearman, ["left", "right"], "left").orderBy(F.abs("pearson").desc(), "left", "right")
 
 
+def _pair_correlations(wide: DataFrame, pairs: list[tuple[str, str, str, str]]) -> DataFrame:
+    """left, right, n, r of pairs (left, right, column, column) over rows in which both are there.
+
+    Each row gives one row a pair, aggregated where it is, so that any number of pairs keeps to one small compiled aggregate.
+    """
+    rows = wide.select(F.inline(F.array(*[F.struct(F.lit(i).alias("p"), F.col(x).alias("x"), F.col(y).alias("y")) for i, (*_, x, y) in enumerate(pairs)])))
+    out = rows.filter("x is not null and y is not null").groupBy("p").agg(F.count("*").alias("n"), F.corr("x", "y").alias("r"))
+    name = lambda side: F.array(*[F.lit(p[side]) for p in pairs])[F.col("p")]
+    return out.select(name(0).alias("left"), name(1).alias("right"), "n", "r")
+
+
 def plain(v: float | int | None) -> float | int | None:
     """A number as evidence shows it: 12 digits, whole ones as int, nothing for what is not finite."""
     if v is None or not math.isfinite(v):

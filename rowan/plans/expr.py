@@ -313,7 +313,9 @@ def aggregate(scope: Scope, a: dict) -> Column:
         return function(only(y), only(x))
     if name not in AGGREGATES:
         raise PlanError(f"Unsupported aggregate: {name}")
-    return AGGREGATES[name](scope, a, only(value))
+    if a.get("number") and name not in ("MIN", "MAX"):
+        value = F.col(quoted(a["number"]))
+    return AGGREGATES[name](scope, a | ({"number": only(F.col(quoted(a["number"])))} if a.get("number") else {}), only(value))
 
 
 def _numeric(f: Callable[[Column], Column], empty: object = None) -> Callable:
@@ -340,7 +342,7 @@ def _extreme(least: bool) -> Callable:
         filled = F.nullif(F.trim(c), F.lit(""))
         n = F.count(filled)
         time = F.when(filled.rlike(coerce.DATE_SHAPE), coerce.to_timestamp(filled))
-        number = coerce.to_number(filled)
+        number = a["number"] if a.get("number") is not None else coerce.to_number(filled)
         return F.when(n == F.count(time), by(filled, time)).when(n == F.count(number), by(filled, number)).otherwise(plain(filled))
 
     return run
@@ -378,6 +380,9 @@ def _count(scope: Scope, a: dict, c: Column) -> Column:
     return F.count_distinct(c) if a.get("distinct") else F.count(c)
 
 
+# Aggregates that read numbers in text.
+NUMERIC = set("MIN MAX SUM TOTAL AVG MEAN MEDIAN STDDEV STDDEV_SAMP STDEV STDDEV_POP VARIANCE VAR_SAMP VAR_POP PERCENTILE_CONT".split())
+
 AGGREGATES: dict[str, Callable] = {
     "COUNT": _count,
     "MIN": _extreme(True),
@@ -396,9 +401,22 @@ AGGREGATES: dict[str, Callable] = {
 }
 
 def prepare(scope: Scope, aggregations: list[dict]) -> tuple[Scope, list[dict]]:
-    """Aggregations of which the engine's function takes columns only get their values as columns of a new scope."""
+    """Aggregations of which the engine's function takes columns only, and those that read numbers in text, get their values as columns of a new scope.
+
+    So a text is read once, however many aggregates need its number.
+    """
     extra, out = {}, []
+    read: dict[str, str] = {}
     for i, a in enumerate(aggregations):
+        name = str(a.get("function", "")).upper()
+        if scope.lenient and name in NUMERIC and (a.get("argument") or {}).get("type") not in (None, "wildcard"):
+            c = scope.eval(a["argument"])
+            if isinstance(scope.kind(c), StringType):
+                key = c._jc.toString()
+                if key not in read:
+                    read[key] = f"_number_{len(read)}"
+                    extra[read[key]] = coerce.to_number(c)
+                a = a | {"number": read[key]}
         if str(a.get("function", "")).upper() == "PERCENTILE_DISC":
             c = scope.number(scope.eval(a["argument"]))
             extra[f"_values_{i}"] = c if a.get("filter") is None else F.when(scope.truth(a["filter"]), c)
