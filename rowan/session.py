@@ -35,14 +35,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     have = sc._jsc.sc().getCheckpointDir()
-    if have.isDefined():
+    local = sc.master.startswith("local[") or sc.master == "local"
+    if have.isDefined() and (named is None or named.split(":")[-1].rstrip("/") in have.get()):
         return have.get()
     if named is None:
-        if not sc.master.startswith("local[") and sc.master != "local":
+        if not local:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="rowan-checkpoint-")
     sc.setCheckpointDir(named)
-    return named
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
