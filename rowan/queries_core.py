@@ -363,7 +363,36 @@ def lenient_setops_sort(spark: SparkSession, d: str) -> DataFrame:
     return e.run_plan({"nodes": nodes})["l"]
 
 
+def lenient_join_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Keys that are text on one side meet numbers on the other, and missing keys meet each other."""
+    key = F.when(F.col("s_nationkey") != 3, F.concat(F.lit(" "), F.col("s_nationkey").cast("string"), F.lit(".0")))
+    left = load(spark, d, "supplier").select("s_suppkey", key.alias("nation"))
+    right = load(spark, d, "nation").select(F.when(F.col("n_nationkey") != 3, F.col("n_nationkey")).alias("n_key"), "n_name")
+    plan = chain("suppliers", ("Join", {"joins": [{"kind": "INNER", "source": "nations", "alias": "n", "on": op("=", col("nation"), col("n_key", "n"))}]}), ("Project", {"expressions": [{"expr": col("s_suppkey")}, {"expr": col("n_name")}]}))
+    return last(Engine(spark, "lenient").register("suppliers", left).register("nations", right), plan)
+
+
+def answers_typed(spark: SparkSession, d: str) -> DataFrame:
+    """Answers of all kinds from results of statements, as text."""
+    e = engine(spark, d, ["nation", "region", "orders"])
+    asked = {
+        "number": "SELECT count(*) AS n FROM orders", "boolean": "SELECT max(o_totalprice) > 1000 AS b FROM orders", "string": "SELECT n_name, n_regionkey FROM nation ORDER BY n_nationkey LIMIT 1",
+        "list[string]": "SELECT r_name FROM region ORDER BY r_name", "list[number]": "SELECT r_regionkey FROM region ORDER BY 1", "date": "SELECT CAST(min(o_orderdate) AS DATE) AS day FROM orders", "list": "SELECT n_name FROM nation WHERE n_nationkey < 0",
+    }
+    rows = [(kind, "|".join(map(str, v)) if isinstance(v := e.answer(text, None, kind), list) else str(v)) for kind, text in asked.items()]
+    return spark.createDataFrame(rows, "kind string, value string")
+
+
 GRAPHS: dict[str, tuple[Query, str]] = {
+    "lenient_join_keys": (lenient_join_keys, "SELECT s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey"),
+    "answers_typed": (
+        answers_typed,
+        """
+SELECT 'number' AS kind, count(*)::VARCHAR AS value FROM orders UNION ALL SELECT 'boolean', CASE WHEN max(o_totalprice) > 1000 THEN 'True' ELSE 'False' END FROM orders
+UNION ALL SELECT 'string', n_name || ', ' || n_regionkey FROM nation WHERE n_nationkey = (SELECT min(n_nationkey) FROM nation)
+UNION ALL SELECT 'list[string]', string_agg(r_name, '|' ORDER BY r_name) FROM region UNION ALL SELECT 'list[number]', string_agg(r_regionkey::VARCHAR, '|' ORDER BY r_regionkey) FROM region
+UNION ALL SELECT 'date', CAST(CAST(min(o_orderdate) AS DATE) AS VARCHAR) FROM orders UNION ALL SELECT 'list', ''""",
+    ),
     "dag_flagship": (dag_flagship, SHARED["flagship_revenue"]),
     "dag_aggregates": (
         dag_aggregates,

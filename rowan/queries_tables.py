@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +14,9 @@ from rowan.operators import profile as P
 from rowan.operators import udf
 from rowan.operators.ranks import average_ranks
 from rowan.operators.scoring import score_answers
-from rowan.operators.verify import average_of_columns, ranked_target, relative_row
-from rowan.sources import load
+from rowan.operators.verify import agrees, average_of_columns, ranked_target, relative_row
+from rowan.session import ensure_checkpoint_dir
+from rowan.sources import load, read_source, write_source
 
 # the columns of lineitem in which some value reads as a number, as SQL must name them
 NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -136,7 +139,7 @@ def score_rouge(spark: SparkSession, d: str) -> DataFrame:
 
 
 def score_denotation(spark: SparkSession, d: str) -> DataFrame:
-    df = load(spark, d, "part").select("p_partkey", F.concat_ws("; ", "p_brand", F.col("p_size").cast("string")).alias("expected"), F.concat_ws("; ", F.format_string("%d.0", "p_size"), F.lower("p_brand")).alias("actual"))
+    df = load(spark, d, "part").select("p_partkey", F.concat_ws("; ", "p_brand", F.col("p_size").cast("string")).alias("expected"), F.concat_ws("; ", F.format_string("%d.0", "p_size"), F.when(F.col("p_size") % 3 == 0, F.lower("p_type")).otherwise(F.lower("p_brand"))).alias("actual"))
     return score_answers(df, "denotation_em").select("p_partkey", "score")
 
 
@@ -152,11 +155,40 @@ def check_average_columns(spark: SparkSession, d: str) -> DataFrame:
     return rounded(average_of_columns(load(spark, d, "lineitem"), ["l_discount", "l_tax"]))
 
 
+def check_facts(spark: SparkSession, d: str) -> DataFrame:
+    """For each nation, whether its number of customers is the sum of those by segment, and its mean balance what two facts give."""
+    c = load(spark, d, "customer")
+    parts = c.groupBy("c_nationkey", "c_mktsegment").agg(F.count("*").alias("n")).groupBy("c_nationkey").agg(F.sort_array(F.collect_list("n")).alias("parts"), F.sum("n").alias("n"))
+    rows = parts.orderBy("c_nationkey").collect()  # one row a nation
+    out = [(r.c_nationkey, agrees("number", "sum", r.parts, f"{r.n:,} customers"), agrees("number", "difference", [r.n, r.parts[0]], r.n), agrees("boolean", "ge", [r.n, r.parts[-1]], "yes")) for r in rows]
+    return spark.createDataFrame(out, "c_nationkey bigint, total boolean, difference boolean, most boolean")
+
+
+def _written(spark: SparkSession, df: DataFrame, fmt: str) -> DataFrame:
+    """A table written in a format to the shared folder, and read again."""
+    path = f"{ensure_checkpoint_dir(spark)}/written-{uuid.uuid4().hex}.{fmt}"
+    write_source(df, path, fmt)
+    return read_source(spark, path, fmt)
+
+
+def source_csv(spark: SparkSession, d: str) -> DataFrame:
+    return _written(spark, load(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment"), "csv")
+
+
+def source_jsonl(spark: SparkSession, d: str) -> DataFrame:
+    return _written(spark, load(spark, d, "part").select("p_partkey", "p_name", "p_type"), "jsonl")
+
+
+def source_orc(spark: SparkSession, d: str) -> DataFrame:
+    return _written(spark, load(spark, d, "nation"), "orc")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         evidence_statistical, evidence_correlation, evidence_row_extrema, average_rank, profile_columns, join_candidates, join_paths, value_grounding, inspect_values, doc_join_pages, doc_chunk_window, doc_chunk_span,
         doc_chunk_page, doc_rank_chunks, doc_map_reduce, udf_group, score_em, score_rouge, score_denotation, check_relative_row, check_ranked_target, check_average_columns,
+        check_facts, source_csv, source_jsonl, source_orc,
     )
 }
 
@@ -203,9 +235,15 @@ SELECT doc_id, chunk_id, CAST(score AS INTEGER) AS score FROM r WHERE n <= 2 OR
     "doc_map_reduce": f"""
 WITH {_WINDOWS}, a AS (SELECT doc_id, nullif(regexp_extract(text, '[0-9]{{4}}'), '') AS answer FROM chunks)
 SELECT 'year' AS task, doc_id, 2 * count(*) AS outputs, 2 * count(answer) AS included, 0 AS failed, coalesce(string_agg(DISTINCT answer, chr(10) ORDER BY answer), '') AS summary FROM a GROUP BY doc_id""",
+    "check_facts": """
+WITH p AS (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY ALL)
+SELECT c_nationkey, true AS total, min(n) = 0 AS difference, sum(n) >= max(n) AS most FROM p GROUP BY c_nationkey""",
+    "source_csv": "SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer",
+    "source_jsonl": "SELECT p_partkey, p_name, p_type FROM part",
+    "source_orc": "SELECT * FROM nation",
     "udf_group": "SELECT p_brand, count(*) AS parts, max(p_retailprice) AS dearest FROM part GROUP BY p_brand",
     "score_em": "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 1.0 ELSE 0.0 END AS score FROM part",
-    "score_denotation": "SELECT p_partkey, 1.0 AS score FROM part",
+    "score_denotation": "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 0.0 ELSE 1.0 END AS score FROM part",
     "check_relative_row": "SELECT o_custkey, nxt AS o_orderkey FROM (SELECT o_custkey, o_orderpriority, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS nxt FROM orders) WHERE o_orderpriority = '1-URGENT'",
     "check_ranked_target": "SELECT p_partkey, round(p_retailprice / p_size, 4) AS value FROM part WHERE p_size <> 0 ORDER BY p_retailprice / p_size DESC, p_partkey LIMIT 1",
     "check_average_columns": "SELECT round((sum(l_discount) + sum(l_tax)) / (count(l_discount) + count(l_tax)), 6) AS mean FROM lineitem",
