@@ -9,7 +9,6 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -105,9 +104,3 @@ def slices(batch: pa.RecordBatch, text: str, most: int) -> Iterator[pa.RecordBat
         used += int(sizes[i])
     if begin < total:
         yield batch.slice(begin)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """A scan that fills less than half of the cluster's cores, over all of them; others as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df

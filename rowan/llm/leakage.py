@@ -27,8 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowan.llm._arrays import code_points, mix, powers, slices, span_hashes, spread, word_spans
+from rowan.llm._arrays import code_points, mix, powers, slices, span_hashes, word_spans
 from rowan.llm.sampling import from_driver
+from rowan.session import spread
 
 SEGMENT = 1 << 16
 BATCH_BYTES = 8 << 20

@@ -17,8 +17,8 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from rowan.session import spread
 
-from rowan.llm._arrays import spread
 
 DEFECTS = ("empty", "refusal", "copy", "truncated", "other_language")
 INVISIBLE = re.compile("[\u200b\u200c\u200d\u2060\ufeff\xad]")

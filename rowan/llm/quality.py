@@ -14,7 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from rowan.llm._arrays import category_table, code_points, slices, span_hashes, spread, word_spans
+from rowan.llm._arrays import category_table, code_points, slices, span_hashes, word_spans
+from rowan.session import spread
 
 STATES = ("prose", "list", "table", "junk")
 BATCH_BYTES = 4 << 20
