@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from rowan.functions.labels import label
 from rowan.llm._flow import MinCostFlow
-from rowan.llm.sampling import collect_small
+from rowan.llm.sampling import collect_small, from_driver
 from rowan.session import cut_lineage
 
 # Fixed value: a token is a run of letters, digits and underscores, or of other characters that are not white space.
 TOKEN = r"(?U)[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
 BUCKET_BITS = 12
+BROADCAST_TOTALS = 1 << 19
 
 
 def token_count(text) -> F.Column:
@@ -126,7 +127,7 @@ class Mixture:
     def select(self) -> DataFrame:
         """mixture_id, source, the record's id, tokens and repeats (how often it is used there).
 
-        Records of a pattern are ordered by a seeded key. Each source takes every record as often as its
+        Records of a pattern are ordered by a seeded key, the MD5 digest of seed and id, the same in any engine. Each source takes every record as often as its
         tokens cover the pattern whole, and the records in whose middle its stretch of the order lies once
         more; stretches of several sources follow each other, so uses spread evenly. What a source gets
         differs from its tokens by less than one record at each end of its stretch. Only buckets of the order
@@ -140,21 +141,25 @@ class Mixture:
             whole, rest = divmod(n, size)
             at[mixture, i] = (begin + rest) % size
             first = min(rest, size - begin)
-            parts.append((mixture, list(patterns[i].pattern), x, whole, begin, begin + first, rest - first))
-        plan = self.spark.createDataFrame(parts, "mixture_id bigint, pattern array<string>, source string, whole bigint, begin bigint, end bigint, wrapped bigint")
-        named = self.records.withColumn("key", F.xxhash64(F.lit(self.seed), F.col(self.doc_id)))
-        rows = cut_lineage(named.withColumn("bucket", F.shiftrightunsigned("key", 64 - BUCKET_BITS)))
-        totals = rows.groupBy("pattern", "bucket").agg(F.sum("tokens").alias("sum"))
-        before = F.sum("sum").over(Window.partitionBy("pattern").orderBy("bucket")) - F.col("sum")
-        totals = totals.withColumn("before", before)
-        edges = plan.select("pattern", F.explode(F.array("begin", "end", "wrapped")).alias("edge")).distinct()
-        split = totals.join(F.broadcast(edges), "pattern").filter("before < edge and edge < before + sum").select("pattern", "bucket", "before").distinct()
-        inside = F.sum("tokens").over(Window.partitionBy("pattern", "bucket").orderBy("key", self.doc_id)) - F.col("tokens")
-        fine = rows.join(F.broadcast(split), ["pattern", "bucket"]).withColumn("middle", F.col("before") + inside + F.col("tokens") / 2)
-        coarse = rows.join(F.broadcast(split.drop("before")), ["pattern", "bucket"], "left_anti").join(totals.select("pattern", "bucket", "before", "sum"), ["pattern", "bucket"])
-        coarse = coarse.withColumn("middle", F.col("before") + F.col("sum") / 2)
-        columns = [self.doc_id, "tokens", "pattern", "middle"]
-        placed = fine.select(*columns).unionByName(coarse.select(*columns)).join(F.broadcast(plan), "pattern")
+            parts.append((mixture, i, x, whole, begin, begin + first, rest - first))
+        plan = from_driver(self.records, parts, "mixture_id bigint, p int, source string, whole bigint, begin bigint, end bigint, wrapped bigint")
+        numbers = from_driver(self.records, [(i, list(p.pattern)) for i, p in enumerate(patterns)], "p int, pattern array<string>")
+        named = self.records.join(numbers, "pattern").withColumn("key", F.md5(F.concat_ws(":", F.lit(str(self.seed)), F.col(self.doc_id).cast("string"))))
+        rows = cut_lineage(named.select(self.doc_id, "tokens", "p", "key", F.conv(F.substring("key", 1, BUCKET_BITS // 4), 16, 10).cast("int").alias("bucket")))
+        totals = rows.groupBy("p", "bucket").agg(F.sum("tokens").alias("sum"))
+        before = F.sum("sum").over(Window.partitionBy("p").orderBy("bucket")) - F.col("sum")
+        totals = cut_lineage(totals.withColumn("before", before))
+        edges = plan.select("p", F.explode(F.array("begin", "end", "wrapped")).alias("edge")).distinct()
+        inner = totals.join(edges, "p").filter("before < edge and edge < before + sum").select("p", "bucket").distinct()
+        marked = totals.join(inner.withColumn("split", F.lit(True)), ["p", "bucket"], "left")
+        if len(patterns) << BUCKET_BITS <= BROADCAST_TOTALS:  # at most so many rows
+            marked = F.broadcast(marked)
+        both = rows.join(marked, ["p", "bucket"])
+        inside = F.sum("tokens").over(Window.partitionBy("p", "bucket").orderBy("key", self.doc_id)) - F.col("tokens")
+        fine = both.filter("split").withColumn("middle", F.col("before") + inside + F.col("tokens") / 2)
+        coarse = both.filter("split is null").withColumn("middle", F.col("before") + F.col("sum") / 2)
+        columns = [self.doc_id, "tokens", "p", "middle"]
+        placed = fine.select(*columns).unionByName(coarse.select(*columns)).join(plan, "p")
         extra = ((F.col("middle") >= F.col("begin")) & (F.col("middle") < F.col("end")) | (F.col("middle") < F.col("wrapped"))).cast("bigint")
         return placed.withColumn("repeats", F.col("whole") + extra).filter("repeats > 0").select("mixture_id", "source", self.doc_id, "tokens", "repeats")
 

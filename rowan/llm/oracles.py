@@ -42,6 +42,30 @@ WITH i AS (
 )
 SELECT DISTINCT dg.doc_id, ig.item_id FROM dg JOIN ig ON ig.n = dg.n AND ig.g = dg.g"""
 
+_PLANNED = f"""
+WITH size AS (
+  SELECT {_LABEL.format('source')} AS s, sum(len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s\\p{{Z}}]+'))) AS tokens FROM documents GROUP BY 1
+), t AS (
+  SELECT *, sum(weight) OVER (PARTITION BY mixture_id) AS total FROM mixture_targets
+), r AS (
+  SELECT t.mixture_id, t.source, CAST(coalesce(size.tokens, 0) AS BIGINT) AS size_tokens, t.weight / t.total * t.budget_tokens AS wanted,
+    CAST(t.max_repeats * coalesce(size.tokens, 0) AS BIGINT) AS most_tokens
+  FROM t LEFT JOIN size ON size.s = {_LABEL.format('t.source')}
+)
+SELECT mixture_id, source, size_tokens, round(wanted, 6) AS wanted_tokens, most_tokens,
+  least(CAST(floor(wanted + 0.5) AS BIGINT), most_tokens) AS allotted_tokens, most_tokens < wanted AS short
+FROM r"""
+# each document has one source, so a source takes the beginning of its documents' order
+_SELECTED = f"""
+docs AS (
+  SELECT doc_id, {_LABEL.format('source')} AS source, len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s\\p{{Z}}]+')) AS tokens FROM documents
+), placed AS (
+  SELECT doc_id, source, tokens, sum(tokens) OVER (PARTITION BY source ORDER BY md5('20260619:' || doc_id), doc_id) - tokens / 2.0 AS middle, sum(tokens) OVER (PARTITION BY source) AS size FROM docs WHERE tokens > 0
+), planned AS ({_PLANNED}), chosen AS (
+  SELECT p.mixture_id, d.source, d.doc_id, CAST(d.tokens AS BIGINT) AS tokens, CAST(p.allotted_tokens // d.size + CASE WHEN d.middle < p.allotted_tokens % d.size THEN 1 ELSE 0 END AS BIGINT) AS repeats
+  FROM placed d JOIN planned p ON d.source = {_LABEL.format('p.source')} WHERE p.allotted_tokens // d.size + CASE WHEN d.middle < p.allotted_tokens % d.size THEN 1 ELSE 0 END > 0
+)"""
+
 ORACLES: dict[str, str] = {
     "p1_quotas": f"WITH {_QUOTAS} SELECT DISTINCT plan_id, stratum, required, available FROM q",
     # strata share no case in these tables, so only minimum rows and what is there bind
@@ -81,17 +105,11 @@ WITH size AS (
 SELECT DISTINCT t.mixture_id, t.source
 FROM t LEFT JOIN size ON size.s = {_LABEL.format('t.source')}
 WHERE t.max_repeats * coalesce(size.tokens, 0) < t.weight / t.total * t.budget_tokens""",
-    "p7_plan": f"""
-WITH size AS (
-  SELECT {_LABEL.format('source')} AS s, sum(len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s\\p{{Z}}]+'))) AS tokens FROM documents GROUP BY 1
-), t AS (
-  SELECT *, sum(weight) OVER (PARTITION BY mixture_id) AS total FROM mixture_targets
-), r AS (
-  SELECT t.mixture_id, t.source, CAST(coalesce(size.tokens, 0) AS BIGINT) AS size_tokens, t.weight / t.total * t.budget_tokens AS wanted,
-    CAST(t.max_repeats * coalesce(size.tokens, 0) AS BIGINT) AS most_tokens
-  FROM t LEFT JOIN size ON size.s = {_LABEL.format('t.source')}
-)
-SELECT mixture_id, source, size_tokens, round(wanted, 6) AS wanted_tokens, most_tokens,
-  least(CAST(floor(wanted + 0.5) AS BIGINT), most_tokens) AS allotted_tokens, most_tokens < wanted AS short
-FROM r""",
+    "p7_plan": _PLANNED,
+    "p7_selection": f"WITH {_SELECTED} SELECT mixture_id, source, doc_id, tokens, repeats FROM chosen",
+    "p7_shares": f"""
+WITH {_SELECTED}, got AS (SELECT mixture_id, source, CAST(sum(tokens * repeats) AS BIGINT) AS tokens, count(*) AS records FROM chosen GROUP BY ALL),
+w AS (SELECT mixture_id, {_LABEL.format('source')} AS source, weight / sum(weight) OVER (PARTITION BY mixture_id) AS target_share FROM mixture_targets),
+j AS (SELECT w.mixture_id, w.source, w.target_share, coalesce(got.tokens, 0) AS tokens, coalesce(got.records, 0) AS records FROM w LEFT JOIN got ON got.mixture_id = w.mixture_id AND got.source = w.source)
+SELECT *, CASE WHEN sum(tokens) OVER (PARTITION BY mixture_id) > 0 THEN tokens / sum(tokens) OVER (PARTITION BY mixture_id) ELSE 0.0 END AS share FROM j""",
 }
