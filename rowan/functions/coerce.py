@@ -20,12 +20,12 @@ DATE_PATTERNS = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "
 def to_number(c: Column) -> Column:
     """The first number in a text, without thousands separators, percent and leading currency; NULL if there is none.
 
-    A sign may stand apart from its digits. A text of digits, signs and points only is not searched.
+    A sign may stand apart from its digits. A text of digits only is not searched.
     """
     s = F.translate(F.trim(c.cast("string")), ",%", "")
-    plain = F.translate(s, "0123456789.", "") == ""
-    first = F.translate(F.regexp_extract(s, NUMBER, 1), " \t\r\n\x0b\f", "")
-    return F.coalesce(F.when(plain, s.try_cast("double")), first.try_cast("double"))
+    digits = (F.translate(s, "0123456789", "") == "") & (s != "")
+    first = F.nullif(F.translate(F.regexp_extract(s, NUMBER, 1), " \t\r\n\x0b\f", ""), F.lit(""))  # a cast of what is no number costs an exception
+    return F.when(digits, s).otherwise(first).try_cast("double")
 
 
 def to_bool(c: Column) -> Column:

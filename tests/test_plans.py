@@ -382,3 +382,31 @@ def test_answer_types(spark):
         format_answer(spark.range(5), "id", "list", most_rows=4)
     assert append_numeric_detail("It rose.", "by 5 points") == "It rose (by 5 points)" and append_numeric_detail("7 rows", "5") == "7 rows"
     assert accepts("number", 1) and not accepts("number", True) and accepts("list[string]", ["a"]) and not accepts("list", []) and not accepts("string", " ")
+
+
+# ---------------------------------------------------------------- what is an error, and small rules
+
+
+def test_row_guard_and_unknown_parts(spark):
+    e = Engine(spark, max_rows=5).register("t", spark.range(4))
+    cross = ("Join", {"joins": [{"kind": "CROSS", "source": "t", "alias": "b"}]})
+    with pytest.raises(PlanError, match="more than 5 rows"):
+        last(e, chain("t", cross))
+    assert last(e, chain("t", ("Limit", {"count": 1}), cross)).count() == 4
+    for bad in (call("NOPE", col("id")), {"type": "riddle"}, col("nowhere"), op("~", col("id"), lit(1))):
+        with pytest.raises(PlanError):
+            last(e, chain("t", ("Derive", {"expressions": [{"expr": bad, "alias": "x"}]})))
+
+
+def test_small_rules(spark):
+    rows = [("1961–1974", None, "yes"), ("12 lb", 3, "no"), (None, 5, "maybe")]
+    e = Engine(spark, "lenient").register("t", spark.createDataFrame(rows, "a string, n int, b string"))
+    derived = {"year": {"type": "cast", "expr": col("a"), "to": "INTEGER"}, "truth": {"type": "cast", "expr": col("b"), "to": "BOOLEAN"}, "today": call("CURRENT_DATE"), "pair": {"type": "tuple", "items": [col("n"), lit(1)]}}
+    out = last(e, chain("t", ("Derive", {"expressions": [{"expr": x, "alias": k} for k, x in derived.items()]}))).orderBy("n").collect()
+    assert [(r.year, r.truth, tuple(r.pair)) for r in out] == [(1961, True, (None, 1)), (12, False, (3, 1)), (None, None, (5, 1))]
+    assert out[0].today == spark.range(1).select(F.current_date()).first()[0]
+    # two-valued logic: what is not known to be greater is not greater
+    assert last(e, chain("t", ("Filter", {"predicate": {"type": "not", "expr": op(">", col("n"), lit(3))}}))).count() == 2
+    assert last(e, chain("t", ("Filter", {"predicate": op("!=", col("n"), lit(3))}))).count() == 2
+    dates = Engine(spark, "lenient").register("d", spark.createDataFrame([("2/1/2020",), ("15/12/2019",)], "day string"))
+    assert last(dates, chain("d", agg_step(agg("MAX", "latest", col("day"))))).first().latest == "2/1/2020"
