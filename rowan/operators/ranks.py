@@ -21,3 +21,16 @@ def average_ranks(df: DataFrame, groups: list[str], value: str) -> DataFrame:
     inside = F.sum("_n").over(Window.partitionBy("_part", *groups).orderBy(value)) - F.col("_n")
     ranked = parts.withColumn("_inside", inside).join(before, ["_part", *groups])
     return ranked.select(*groups, value, (F.col("_before") + F.col("_inside") + (F.col("_n") + 1) / 2).alias("rank"))
+
+
+def positions(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df with each row's place, from 0, in an order of the whole table, without a task that sees all of it.
+
+    Rows are split by range of the order's columns; each task numbers its own and adds how many are before them. Rows that tie in all columns of the
+    order have some order among themselves.
+    """
+    parts = cut_lineage(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_rows"))
+    before = sizes.withColumn("_before", F.sum("_rows").over(Window.orderBy("_part")) - F.col("_rows")).drop("_rows")  # one row a task
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return parts.withColumn("_inside", inside).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_inside")).drop("_part", "_inside", "_before")

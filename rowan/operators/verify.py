@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from rowan.functions.coerce import FALSE_WORDS, TRUE_WORDS, to_number
 from rowan.operators.answer import accepts, number
+from rowan.operators.ranks import positions
 from rowan.plans.expr import quoted
+from rowan.session import cut_lineage
 
 TOLERANCE = 1e-6
 
@@ -111,10 +113,18 @@ def finalise(kind: str, candidates: list[dict]) -> object:
 
 
 def relative_row(df: DataFrame, order: list[str], anchor: str, value: object, target: str, step: int = 1, within: list[str] | None = None) -> DataFrame:
-    """The target's value ``step`` rows after (or, negative, before) the rows where anchor is value, by an order, within groups."""
-    w = Window.partitionBy(*(within or [F.lit(0)])).orderBy(*order)
-    found = F.lead(F.col(quoted(target)), step).over(w) if step >= 0 else F.lag(F.col(quoted(target)), -step).over(w)
-    return df.withColumn("_found", found).filter(F.col(quoted(anchor)) == F.lit(value)).select(*(within or []), F.col("_found").alias(target))
+    """The target's value ``step`` rows after (or, negative, before) the rows where anchor is value, by an order, within groups or in the whole table.
+
+    In the whole table rows get their places first, split by range of the order, and meet by place; groups are ordered each in one task.
+    """
+    if within:
+        w = Window.partitionBy(*within).orderBy(*order)
+        found = F.lead(F.col(quoted(target)), step).over(w) if step >= 0 else F.lag(F.col(quoted(target)), -step).over(w)
+        return df.withColumn("_found", found).filter(F.col(quoted(anchor)) == F.lit(value)).select(*within, F.col("_found").alias(target))
+    narrow = df.select(*[F.col(quoted(c)).alias(f"_o{i}") for i, c in enumerate(order)], (F.col(quoted(anchor)) == F.lit(value)).alias("_here"), F.col(quoted(target)).alias("_found"))
+    placed = cut_lineage(positions(narrow, [f"_o{i}" for i in range(len(order))], "_at"))
+    here = placed.filter("_here").select((F.col("_at") + step).alias("_at"))
+    return here.join(placed.select("_at", "_found"), "_at", "left").select(F.col("_found").alias(target))
 
 
 def ranked_target(df: DataFrame, target: str, numerator: str, denominator: str | None = None, highest: bool = True) -> DataFrame:

@@ -147,6 +147,11 @@ def check_relative_row(spark: SparkSession, d: str) -> DataFrame:
     return relative_row(load(spark, d, "orders"), ["o_orderdate", "o_orderkey"], "o_orderpriority", "1-URGENT", "o_orderkey", 1, ["o_custkey"])
 
 
+def check_relative_row_whole_order(spark: SparkSession, d: str) -> DataFrame:
+    """The order after each urgent one, in the order of the whole table."""
+    return relative_row(load(spark, d, "orders"), ["o_orderdate", "o_orderkey"], "o_orderpriority", "1-URGENT", "o_orderkey", 1)
+
+
 def check_ranked_target(spark: SparkSession, d: str) -> DataFrame:
     return rounded(ranked_target(load(spark, d, "part"), "p_partkey", "p_retailprice", "p_size"), 4)
 
@@ -187,7 +192,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         evidence_statistical, evidence_correlation, evidence_row_extrema, average_rank, profile_columns, join_candidates, join_paths, value_grounding, inspect_values, doc_join_pages, doc_chunk_window, doc_chunk_span,
-        doc_chunk_page, doc_rank_chunks, doc_map_reduce, udf_group, score_em, score_rouge, score_denotation, check_relative_row, check_ranked_target, check_average_columns,
+        doc_chunk_page, doc_rank_chunks, doc_map_reduce, udf_group, score_em, score_rouge, score_denotation, check_relative_row, check_relative_row_whole_order, check_ranked_target, check_average_columns,
         check_facts, source_csv, source_jsonl, source_orc,
     )
 }
@@ -245,6 +250,7 @@ SELECT c_nationkey, true AS total, min(n) = 0 AS difference, sum(n) >= max(n) AS
     "score_em": "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 1.0 ELSE 0.0 END AS score FROM part",
     "score_denotation": "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 0.0 ELSE 1.0 END AS score FROM part",
     "check_relative_row": "SELECT o_custkey, nxt AS o_orderkey FROM (SELECT o_custkey, o_orderpriority, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS nxt FROM orders) WHERE o_orderpriority = '1-URGENT'",
+    "check_relative_row_whole_order": "SELECT nxt AS o_orderkey FROM (SELECT o_orderpriority, lead(o_orderkey) OVER (ORDER BY o_orderdate, o_orderkey) AS nxt FROM orders) WHERE o_orderpriority = '1-URGENT'",
     "check_ranked_target": "SELECT p_partkey, round(p_retailprice / p_size, 4) AS value FROM part WHERE p_size <> 0 ORDER BY p_retailprice / p_size DESC, p_partkey LIMIT 1",
     "check_average_columns": "SELECT round((sum(l_discount) + sum(l_tax)) / (count(l_discount) + count(l_tax)), 6) AS mean FROM lineitem",
 }
