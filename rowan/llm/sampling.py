@@ -201,8 +201,8 @@ def key_bucket(record_key: Column, buckets: int) -> Column:
 
 
 def bucket_order(seed: Column, bucket: Column) -> Column:
-    """A plan's permutation of the buckets is their order by this."""
-    return F.md5(F.concat_ws(":", seed.cast("string"), bucket.cast("string")))
+    """A plan's permutation of the buckets is their order by this, the first 60 bits of a digest, and by bucket."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", seed.cast("string"), bucket.cast("string"))), 1, 15), 16, 10).cast("bigint")
 
 
 class BucketLists:
@@ -230,14 +230,16 @@ class BucketLists:
         rows = self.plans.withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(self.buckets - 1).cast("bigint"))))
         return rows.withColumn("position", F.row_number().over(order).cast("bigint"))
 
-    def extended(self, keys: DataFrame) -> DataFrame:
-        """plan_id, seed, length: the lists, made long enough for the keys (column bucket), and written if there is a path."""
+    def needed(self, keys: DataFrame) -> DataFrame:
+        """plan_id, seed, bucket, position of the shortest lists that hold the requested size of the keys (column bucket)."""
         held = keys.groupBy("bucket").agg(F.count("*").alias("held"))
         before = F.sum("held").over(Window.partitionBy("plan_id", "seed").orderBy("position")) - F.col("held")
         rows = self._permuted().join(held, "bucket", "left").fillna(0, ["held"]).withColumn("before", before)
-        needed = rows.filter("before < size").groupBy("plan_id", "seed").agg(F.max("position").alias("needed"))
-        if self.path is None:
-            return needed.withColumnRenamed("needed", "length")
+        return rows.filter("before < size").select("plan_id", "seed", "bucket", "position")
+
+    def extended(self, keys: DataFrame) -> DataFrame:
+        """plan_id, seed, length: the lists at the path, made long enough for the keys."""
+        needed = self.needed(keys).groupBy("plan_id", "seed").agg(F.max("position").alias("needed"))
         both = needed.join(self.written(), ["plan_id", "seed"], "left")
         grown = both.filter("length is null or needed > length").select("plan_id", "seed", F.lit(self.buckets).cast("bigint").alias("buckets"), F.col("needed").alias("length"))
         if rows := collect_small(grown, "plans"):
@@ -287,9 +289,10 @@ def stable_sample(
         .withColumn("bucket", key_bucket(F.col("case_id"), buckets))
     )
     made = BucketLists(plans, buckets, lists)
-    opening = keys
     if lists is None:
         earliest = records.filter(key(F.col(record_key)).isNotNull()).agg(F.min(F.col(batch).cast("bigint"))).first()[0]
-        opening = keys.filter(F.col("first_batch") == F.lit(last if earliest is None else earliest))
-    chosen = keys.join(made.listed(made.extended(opening)), "bucket")
+        listed = made.needed(keys.filter(F.col("first_batch") == F.lit(last if earliest is None else earliest))).drop("seed")
+    else:
+        listed = made.listed(made.extended(keys))
+    chosen = keys.join(listed, "bucket")
     return chosen.select("plan_id", "case_id", F.when(F.col("first_batch") < last, F.col("first_batch")).alias("first_batch"), "position")
