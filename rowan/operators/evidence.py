@@ -45,11 +45,12 @@ def statistical_evidence(df: DataFrame, columns: list[str] | None = None) -> Dat
     if not columns:
         return df.sparkSession.createDataFrame([], "column string, n bigint, mean double, median double, min double, max double, std double")
     packed = []
-    for c in columns:
-        x = _num(df, c)
+    wide = spread(df.select(*[_num(df, c).alias(f"x{i}") for i, c in enumerate(columns)]))
+    for i, c in enumerate(columns):
+        x = F.col(f"x{i}")
         std = F.when(F.count(x) > 1, F.stddev_samp(x)).when(F.count(x) == 1, F.lit(0.0))
         packed.append(F.struct(F.lit(c).alias("column"), F.count(x).alias("n"), F.avg(x).alias("mean"), F.median(x).alias("median"), F.min(x).alias("min"), F.max(x).alias("max"), std.alias("std")))
-    return df.agg(F.array(*packed).alias("m")).select(F.inline("m"))
+    return wide.agg(F.array(*packed).alias("m")).select(F.inline("m"))
 
 
 def std_extrema(stats: DataFrame, lowest: bool = True) -> DataFrame:

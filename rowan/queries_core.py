@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rowan.plans.dialect import table_names, tokens
 from rowan.plans.engine import Engine
+from rowan.session import spread
 from rowan.sources import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -337,7 +338,7 @@ def coerce_numeric_text(spark: SparkSession, d: str) -> DataFrame:
         ("Aggregate", {"aggregations": [agg("COUNT", "n"), agg("SUM", "total", col("price")), agg("AVG", "share", col("share")), agg("SUM", "change", col("Change")), agg("MAX", "top", col("price"))]}),
         ("Project", {"expressions": [{"expr": col("n")}] + [{"expr": call("ROUND", col(c), lit(2)), "alias": c} for c in ("total", "share", "change")] + [{"expr": {"type": "cast", "expr": col("top"), "to": "double"}, "alias": "top"}]}),
     )
-    e = Engine(spark, "lenient").register("prices", _text_lineitem(load(spark, d, "lineitem")))
+    e = Engine(spark, "lenient").register("prices", _text_lineitem(spread(load(spark, d, "lineitem"))))
     return last(e, plan)
 
 
